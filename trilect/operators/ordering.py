@@ -39,8 +39,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     """Equi-join on ``keys`` in which NULL meets NULL; the keys come from ``left``."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    if small_enough(right):
-        renamed = F.broadcast(renamed)
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -81,7 +79,7 @@ def positions(
     """
     staged = range_sorted(df, [*within, *order])
     offsets = offsets_of(staged, within, {"_before": F.lit(1)})
-    joined = null_safe_join(staged, offsets, ["_pid", *within])
+    joined = null_safe_join(staged, checked_broadcast(offsets), ["_pid", *within])
     return joined.select(*df.columns, (F.col("_before") + F.col("_mid") - F.col("_first") + F.lit(1)).alias(name))
 
 

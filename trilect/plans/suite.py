@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from trilect.plans import corpus  # noqa: F401
+from trilect.plans import corpus, relational_queries, scalar_queries  # noqa: F401
 from trilect.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
