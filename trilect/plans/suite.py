@@ -1,6 +1,14 @@
 """All registered queries."""
 
-from trilect.plans import corpus, relational_queries, scalar_queries  # noqa: F401
+from trilect.plans import (  # noqa: F401
+    catalog_queries,
+    corpus,
+    profile_queries,
+    relational_queries,
+    repair_queries,
+    scalar_queries,
+    text_queries,
+)
 from trilect.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
