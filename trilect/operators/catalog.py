@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trilect.operators.ordering import _as_column, lookup_join
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
-from trilect.session import cut
+from trilect.session import cut, cut_round
 
 # --- type classes -------------------------------------------------------------
 
@@ -496,14 +496,14 @@ def fk_levels(tables: DataFrame, edges: DataFrame) -> DataFrame:
     level = 0
     while True:
         blocked = live.select(*TABLE).distinct().withColumn("_blocked", F.lit(True))
-        state = cut(waiting.join(blocked, TABLE, "left"))
+        state = cut_round(waiting.join(blocked, TABLE, "left"))
         ready = state.filter(F.col("_blocked").isNull()).select(*TABLE)
         waiting = state.filter(F.col("_blocked").isNotNull()).select(*TABLE)
         if ready.isEmpty():
             break
         placed.append(ready.withColumn("level", F.lit(level)))
         done = ready.select("db", F.col("table_name").alias("ref_table"))
-        live = cut(lookup_join(live, done, ["db", "ref_table"], "left_anti"))
+        live = cut_round(lookup_join(live, done, ["db", "ref_table"], "left_anti", counted=True))
         level += 1
     levels = reduce(DataFrame.unionByName, placed) if placed else nodes.limit(0).withColumn("level", F.lit(0))
     last = levels.groupBy("db").agg((F.max("level") + 1).alias("_last"))

@@ -96,13 +96,19 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     )
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", counted: bool = False
+) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has at most one row per key.
 
     Rows with one of the most frequent keys, or with none, join a broadcast of at
     most ``HOT_KEYS`` right rows and are never shuffled; the rest have no hot key.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti. ``counted`` says that ``right``
+    is cheap to count (read from a checkpoint), so that it is broadcast whole when
+    it turns out small.
     """
+    if counted and small_enough(right):
+        return left.join(F.broadcast(right), list(on), how)
     hot = hot_keys(left, on).withColumn("_hot", F.lit(True))
     absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     marked = left.join(F.broadcast(hot), list(on), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilect.operators.ordering import _as_column, lookup_join, null_safe_join, positions
-from trilect.session import cut
+from trilect.session import cut, cut_round
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -84,9 +84,7 @@ def hierarchy(
     todo = df.withColumn("_row", F.struct(*df.columns)).select(
         F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"), "_row"
     )
-    state = cut(
-        todo.withColumn("_depth", F.when(F.col("_parent").isNull(), F.lit(root_level)).cast("int"))
-    )
+    state = cut(todo.withColumn("_depth", F.when(F.col("_parent").isNull(), F.lit(root_level)).cast("int")))
     placed = state.filter(F.col("_depth").isNotNull())
     levels = [placed]
     todo = state.filter(F.col("_depth").isNull()).drop("_depth")
@@ -94,7 +92,7 @@ def hierarchy(
     while (max_depth is None or depth - root_level < max_depth) and not todo.isEmpty():
         depth += 1
         frontier = placed.select(F.col("_id").alias("_parent"), F.lit(depth).alias("_depth")).distinct()
-        state = cut(lookup_join(todo, frontier, ["_parent"], "left"))
+        state = cut_round(lookup_join(todo, frontier, ["_parent"], "left", counted=True))
         placed = state.filter(F.col("_depth").isNotNull()).select("_id", "_parent", "_row", "_depth")
         if placed.isEmpty():
             break

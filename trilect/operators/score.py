@@ -159,7 +159,7 @@ def evaluate_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """Run both queries of every pair (query_id, source_sql, translated_sql, ..) over the session's views.
 
-    Returns (graded results, one-row report). Results are appended to ``path`` by the
+    Returns (graded results, one-row report). Results are written under ``path`` by the
     executors and all of them are compared in one job; the driver holds query
     texts and statuses only.
     """
@@ -171,8 +171,9 @@ def evaluate_pairs(
         timer = Timer(timeout, sc.cancelJobsWithTag, [tag])
         timer.start()
         try:
-            rows = result_rows(spark.sql(sql), F.lit(query_id).cast("bigint"), side)
-            rows.write.mode("append").parquet(f"{path}/rows")
+            rows = result_rows(spark.sql(sql), F.lit(query_id), side)
+            # a folder of its own: concurrent writers must not share a commit
+            rows.select("cells").write.mode("overwrite").parquet(f"{path}/rows/query_id={query_id}/side={side}")
             return query_id, side, ""
         except Exception as e:  # whatever the query raised is its outcome
             return query_id, side, str(e) or type(e).__name__
@@ -186,11 +187,13 @@ def evaluate_pairs(
     todo = pairs.select("query_id", "source_sql", "translated_sql").filter(F.coalesce("translated_sql", F.lit("")) != "")
     with ThreadPoolExecutor(workers) as pool:
         outcomes = [o for two in pool.map(both, todo.toLocalIterator()) for o in two]
-    # an empty append fixes the layout when no query returned rows
-    cells = "array<struct<name:string,kind:int,s:string,n:double>>"
-    layout = f"query_id bigint, side string, cells {cells}"
-    spark.createDataFrame([], layout).write.mode("append").parquet(f"{path}/rows")
-    rows = spark.read.schema(layout).parquet(f"{path}/rows")
+    layout = "cells array<struct<name:string,kind:int,s:string,n:double>>, query_id bigint, side string"
+    written = any(not error for _, _, error in outcomes)
+    rows = (
+        spark.read.schema(layout).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+        if written
+        else spark.createDataFrame([], layout)
+    )
     status = spark.createDataFrame(outcomes, "query_id bigint, side string, error string")
     errors = status.groupBy("query_id").agg(
         F.max(F.when(F.col("side") == "source", F.col("error"))).alias("source_error"),

@@ -62,3 +62,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for the state of a loop: unions in it must not add partitions round by round."""
+    return cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
