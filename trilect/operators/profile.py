@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilect.operators.ordering import _as_column, positions
+from trilect.operators.ordering import _as_column, checked_broadcast, lookup_join, positions
 from trilect.operators.relational import top_per_key
+from trilect.session import cut
+from trilect.sources.tables import explode_requirements
 
 # The names that mark a column as a row's human-readable key.
 KEY_NAMES = ["name", "shortname", "short_name", "title", "fullname", "full_name"]
@@ -153,7 +153,7 @@ def coverage_allocate(
         target,
         (F.pmod((F.col("_t") - 1) * F.lit(per_target) + F.col("_k"), F.lit(n_items)) + 1).alias("_i"),
     )
-    return slots.join(placed_items, "_i").select(target, item)
+    return slots.join(checked_broadcast(cut(placed_items)), "_i").select(target, item)
 
 
 def discover(assigned: DataFrame, available: DataFrame, key: str) -> DataFrame:
@@ -189,12 +189,12 @@ def existing_value_digest(df: DataFrame, pk: str, fields: Sequence[str], show: i
     )
 
 
-def requirements_for(assigned: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Bridge (db, diff_id) joined to exploded requirements (id, kind, ordinal, requirement)."""
-    return assigned.join(requirements, assigned["diff_id"] == requirements["id"]).select(
-        "db", "diff_id", "feature", "category", "kind", "ordinal", "requirement"
-    )
-
+def requirements_for(assigned: DataFrame, differences: DataFrame) -> DataFrame:
+    """Bridge (db, diff_id) with the listed requirements of each difference, one row per requirement.
 
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    The lists are exploded after the lookup: a difference that most databases share
+    is looked up, and its requirements are not multiplied before the join.
+    """
+    details = differences.withColumnRenamed("id", "diff_id")
+    found = lookup_join(assigned, details, ["diff_id"]).withColumnRenamed("diff_id", "id")
+    return explode_requirements(found, ["db"]).withColumnRenamed("id", "diff_id")

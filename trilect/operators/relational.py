@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilect.operators.ordering import _as_column, lookup_join, null_safe_join, positions
+from trilect.operators.ordering import (
+    _as_column,
+    checked_broadcast,
+    lookup_join,
+    null_safe_join,
+    positions,
+    range_sorted,
+)
 from trilect.session import cut, cut_round
 
 
@@ -51,26 +59,23 @@ def row_numbers(
     return positions(df, order, keys, name)
 
 
-def lag_by_bucket(
-    df: DataFrame, keys: Sequence[str], at: str, bucket: Column, value: Column, name: str, tiebreak: Sequence[str] = ()
+def lag_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, name: str
 ) -> DataFrame:
-    """``LAG(value) OVER (PARTITION BY keys ORDER BY at)`` for keys with any number of rows.
+    """``LAG(value) OVER (PARTITION BY keys ORDER BY order)`` for keys with any number of rows.
 
-    ``bucket`` grows with ``at`` (a day of a timestamp). Rows meet only inside one
-    (key, bucket); a summary with one row per bucket carries the last value across.
+    Rows are range-sorted on (keys, order), so a hot key is spread over partitions.
+    Inside a partition LAG is a window; a summary with one row per partition and key
+    carries the last value across.
     """
-    order = [F.col(at), *[F.col(t) for t in tiebreak]]
-    bucketed = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    last = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_last"))
-    carried = last.select(
-        *keys,
-        "_bucket",
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))["_value"].alias("_carry"),
-    )
-    here = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = bucketed.withColumn("_n", F.row_number().over(here)).withColumn("_lag", F.lag("_value").over(here))
-    joined = null_safe_join(ranked, carried, [*keys, "_bucket"], "left")
-    return joined.select(*df.columns, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag")).alias(name))
+    staged = range_sorted(df, [*keys, *order])
+    last = staged.groupBy("_pid", *keys).agg(F.max_by(F.struct(value), "_mid").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid")
+    carried = cut(last.select("_pid", *keys, F.lag(F.col(f"_last.{value}")).over(earlier).alias("_carry")))
+    here = Window.partitionBy("_pid", *keys).orderBy("_mid")
+    lagged = staged.withColumn("_nth", F.row_number().over(here)).withColumn("_lag", F.lag(value).over(here))
+    joined = null_safe_join(lagged, checked_broadcast(carried), ["_pid", *keys], "left")
+    return joined.select(*df.columns, F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_lag")).alias(name))
 
 
 def hierarchy(
@@ -78,30 +83,27 @@ def hierarchy(
 ) -> DataFrame:
     """``WITH RECURSIVE`` from the rows without a parent (depth 0), or ``CONNECT BY`` (LEVEL 1: ``root_level=1``).
 
-    Level by level: the rows not yet placed look up the level placed last. Each
-    row is placed once, and a row on a cycle is never reached, as in the dialects.
+    ``id_col`` is unique. Level by level, the rows not yet placed look up the level
+    placed last; each row is placed once, and a row on a cycle is never reached, as
+    in the dialects. Only ids go round; the rows are joined once at the end.
     """
-    todo = df.withColumn("_row", F.struct(*df.columns)).select(
-        F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"), "_row"
-    )
-    state = cut(todo.withColumn("_depth", F.when(F.col("_parent").isNull(), F.lit(root_level)).cast("int")))
+    ids = df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"))
+    state = cut(ids.withColumn("_depth", F.when(F.col("_parent").isNull(), F.lit(root_level)).cast("int")))
     placed = state.filter(F.col("_depth").isNotNull())
     levels = [placed]
     todo = state.filter(F.col("_depth").isNull()).drop("_depth")
     depth = root_level
     while (max_depth is None or depth - root_level < max_depth) and not todo.isEmpty():
         depth += 1
-        frontier = placed.select(F.col("_id").alias("_parent"), F.lit(depth).alias("_depth")).distinct()
+        frontier = placed.select(F.col("_id").alias("_parent"), F.lit(depth).alias("_depth"))
         state = cut_round(lookup_join(todo, frontier, ["_parent"], "left", counted=True))
-        placed = state.filter(F.col("_depth").isNotNull()).select("_id", "_parent", "_row", "_depth")
+        placed = state.filter(F.col("_depth").isNotNull())
         if placed.isEmpty():
             break
         levels.append(placed)
         todo = state.filter(F.col("_depth").isNull()).drop("_depth")
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("_row.*", F.col("_depth").alias(name))
+    depths = reduce(DataFrame.unionByName, levels).select(F.col("_id").alias(id_col), F.col("_depth").alias(name))
+    return df.join(depths, id_col)
 
 
 def densify(

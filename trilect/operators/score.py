@@ -173,10 +173,10 @@ def evaluate_pairs(
         try:
             rows = result_rows(spark.sql(sql), F.lit(query_id), side)
             # a folder of its own: concurrent writers must not share a commit
-            rows.select("cells").write.mode("overwrite").parquet(f"{path}/rows/query_id={query_id}/side={side}")
+            rows.select("columns", "cells").write.mode("overwrite").parquet(f"{path}/rows/query_id={query_id}/side={side}")
             return query_id, side, ""
         except Exception as e:  # whatever the query raised is its outcome
-            return query_id, side, str(e) or type(e).__name__
+            return query_id, side, (str(e) or type(e).__name__)[:ERROR_CHARS]
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
@@ -187,7 +187,7 @@ def evaluate_pairs(
     todo = pairs.select("query_id", "source_sql", "translated_sql").filter(F.coalesce("translated_sql", F.lit("")) != "")
     with ThreadPoolExecutor(workers) as pool:
         outcomes = [o for two in pool.map(both, todo.toLocalIterator()) for o in two]
-    layout = "cells array<struct<name:string,kind:int,s:string,n:double>>, query_id bigint, side string"
+    layout = "columns array<string>, cells array<struct<s:string,n:double>>, query_id bigint, side string"
     written = any(not error for _, _, error in outcomes)
     rows = (
         spark.read.schema(layout).option("basePath", f"{path}/rows").parquet(f"{path}/rows")

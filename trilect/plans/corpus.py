@@ -18,7 +18,7 @@ from trilect.operators.relational import (
     distinct_list,
     distinct_on,
     hierarchy,
-    lag_by_bucket,
+    lag_in_order,
     ordered_list,
     paginate,
     rank_top,
@@ -26,6 +26,7 @@ from trilect.operators.relational import (
     row_numbers,
 )
 from trilect.plans.registry import Tables, per_dialect
+from trilect.session import cut
 
 ORDERS_AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-01-31"
@@ -252,7 +253,7 @@ def lag_or_distinct_on(t: Tables, dialect: str) -> DataFrame:
         )
     start = d.shift_days(day(EVENTS_AS_OF), -90).cast("timestamp_ntz")
     recent = t.events.filter(F.col("ts") >= start).select("event_id", "user_id", "ts", "value")
-    lagged = lag_by_bucket(recent, ["user_id"], "ts", F.to_date("ts"), F.col("ts"), "_before", ["event_id"])
+    lagged = lag_in_order(recent, ["user_id"], ["ts", "event_id"], "ts", "_before")
     return lagged.select(
         "event_id",
         "user_id",
@@ -456,7 +457,7 @@ def salary_analysis(t: Tables, dialect: str) -> DataFrame:
         "c_custkey", "c_nationkey", (F.round(F.abs("c_acctbal"), 0).cast("bigint") + one).alias("salary")
     )
     mean = people.groupBy("c_nationkey").agg((F.sum("salary").cast("double") / F.count(F.lit(1))).alias("mean"))
-    staff = people.join(checked_broadcast(mean), "c_nationkey").join(
+    staff = people.join(checked_broadcast(cut(mean)), "c_nationkey").join(
         t.nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     work = t.orders.select(

@@ -9,7 +9,6 @@ from trilect.operators import catalog as c
 from trilect.operators import profile as p
 from trilect.plans.derived import CATALOG, CATALOG_FLAGS, DIFFERENCES
 from trilect.plans.registry import Tables, plain, query
-from trilect.sources.tables import explode_requirements
 
 
 @query(
@@ -181,7 +180,7 @@ def requirements(t: Tables) -> DataFrame:
             none.alias("schema_requirements"),
         ).alias("test_requirements"),
     )
-    return p.requirements_for(t.sql(_ASSIGNED), explode_requirements(differences))
+    return p.requirements_for(t.sql(_ASSIGNED), differences)
 
 
 @query(

@@ -13,7 +13,7 @@ from trilect.operators.relational import (
     distinct_on,
     full_key_diff,
     hierarchy,
-    lag_by_bucket,
+    lag_in_order,
     lookup_with_missing,
     ordered_list,
     paginate,
@@ -391,15 +391,8 @@ def two_level(t: Tables) -> DataFrame:
        CAST(o_orderdate AS DATE)) AS INTEGER) AS gap_days FROM orders""",
 )
 def lag_gap(t: Tables) -> DataFrame:
-    lagged = lag_by_bucket(
-        t.orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-        ["o_custkey"],
-        "o_orderdate",
-        d.date_trunc("month", "o_orderdate"),
-        F.col("o_orderdate"),
-        "_before",
-        ["o_orderkey"],
-    )
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    lagged = lag_in_order(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderdate", "_before")
     return lagged.select("o_orderkey", d.days_between("o_orderdate", "_before").alias("gap_days"))
 
 

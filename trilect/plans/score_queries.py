@@ -28,18 +28,21 @@ _TARGET = f"""
 
 def _result_sets(t: Tables) -> DataFrame:
     """Kind 0 is copied, 1 and 2 are scaled, 3 loses rows, 4 gets a renamed column, 5 reordered lists, 6 filled NULLs."""
-    columns = ["K", "Price", "Day", "Note"]
     source, target = t.sql(_SOURCE), t.sql(_TARGET)
 
-    def rows(df: DataFrame, side: str, cells: Column) -> DataFrame:
-        return df.select(F.col("query_id"), F.lit(side).alias("side"), cells.alias("cells"))
 
-    cells = m.normalize_cells(source.select(*columns))
-    renamed = F.transform(
-        cells, lambda c: F.when(c["name"] == "note", c.withField("name", F.lit("remark"))).otherwise(c)
-    )
-    return rows(source, "source", cells).unionByName(
-        rows(target, "target", F.when(F.col("kind") == 4, renamed).otherwise(cells))
+    def rows(df: DataFrame, side: str, note: str = "Note") -> DataFrame:
+        data = df.select("K", "Price", "Day", F.col("Note").alias(note), "query_id")
+        result = data.drop("query_id")
+        return data.select(
+            "query_id", F.lit(side).alias("side"), m.column_names(result).alias("columns"), m.row_sort_key(result).alias("cells")
+        )
+
+    same_names, renamed = target.filter(F.col("kind") != 4), target.filter(F.col("kind") == 4)
+    return (
+        rows(source, "source")
+        .unionByName(rows(same_names, "target"))
+        .unionByName(rows(renamed, "target", "Remark"))
     )
 
 
@@ -100,20 +103,26 @@ def compare_large(t: Tables) -> DataFrame:
         QUALIFY nth <= 5""",
 )
 def sample(t: Tables) -> DataFrame:
-    rows = _result_sets(t).withColumn("cells", m.row_sort_key("cells"))
+    rows = _result_sets(t)
     counts = rows.groupBy("query_id").agg(
         F.count_if(F.col("side") == "source").alias("a"), F.count_if(F.col("side") == "target").alias("b")
     )
-    equal = counts.filter((F.col("a") == F.col("b"))).select("query_id")
-    shared = F.filter("cells", lambda c: ~c["name"].isin("note", "remark"))
-    picked = rows.join(equal, "query_id").withColumn(
-        "cells", F.when(F.col("query_id") % 8 == 4, shared).otherwise(F.col("cells"))
-    )
-    pairs = m._pair_by_position(m.distinct_counts(picked, ["query_id"]), ["query_id"])
-    order = F.array(*[F.lit(c) for c in ("k", "price", "day", "note")])
-    shown = m.mismatch_sample(
-        m.mismatches(pairs, ["query_id"]), equal.withColumn("_source_cols", order), ["query_id"]
+    equal = counts.filter(F.col("a") == F.col("b")).select("query_id")
+
+    def names(*given: str) -> Column:
+        return F.array(*[F.lit(c) for c in given])
+
+    # the note is renamed on one side of these queries
+    odd = F.col("query_id") % 8 == 4
+    shared = m.cells_of(names("day", "k", "price"))
+    picked = rows.join(equal, "query_id").withColumn("cells", F.when(odd, shared).otherwise(F.col("cells")))
+    pairs = m.pair_by_position(m.distinct_counts(picked, ["query_id"]), ["query_id"])
+    columns = equal.select(
+        "query_id",
+        F.when(odd, names("day", "k", "price")).otherwise(names("day", "k", "note", "price")).alias("_common"),
+        names("k", "price", "day", "note").alias("_source_cols"),
     )
+    shown = m.mismatch_sample(m.mismatches(pairs, ["query_id"]), columns, ["query_id"])
     return shown.select(
         "query_id", "row", "column", "nth",
         F.round(F.col("source").try_cast("double"), 6).alias("source_number"), F.col("source").alias("source_text"),
@@ -134,11 +143,11 @@ def bags(t: Tables) -> DataFrame:
 
 @query(
     "E1_normalize_cells",
-    """SELECT event_id, 'ts' AS name, CAST(2 AS INTEGER) AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, CAST(NULL AS DOUBLE) AS n FROM events
-       UNION ALL SELECT event_id, 'value', 1, NULL, value FROM events UNION ALL SELECT event_id, 'money', 1, NULL, CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) FROM events
-       UNION ALL SELECT event_id, 'odd', 1, NULL, CAST(event_id % 2 AS DOUBLE) FROM events UNION ALL SELECT event_id, 'props', 2, props, NULL FROM events
-       UNION ALL SELECT event_id, 'raw', 2, props, NULL FROM events UNION ALL SELECT event_id, 'day', 2, strftime(ts, '%Y-%m-%d'), NULL FROM events
-       UNION ALL SELECT event_id, 'gone', 0, NULL, NULL FROM events UNION ALL SELECT event_id, 'span', 1, NULL, CAST(event_id AS DOUBLE) FROM events""",
+    """SELECT event_id, 'ts' AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, CAST(NULL AS DOUBLE) AS n FROM events
+       UNION ALL SELECT event_id, 'value', NULL, value FROM events UNION ALL SELECT event_id, 'money', NULL, CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) FROM events
+       UNION ALL SELECT event_id, 'odd', NULL, CAST(event_id % 2 AS DOUBLE) FROM events UNION ALL SELECT event_id, 'props', props, NULL FROM events
+       UNION ALL SELECT event_id, 'raw', props, NULL FROM events UNION ALL SELECT event_id, 'day', strftime(ts, '%Y-%m-%d'), NULL FROM events
+       UNION ALL SELECT event_id, 'gone', NULL, NULL FROM events UNION ALL SELECT event_id, 'span', NULL, CAST(event_id AS DOUBLE) FROM events""",
 )
 def cells(t: Tables) -> DataFrame:
     rows = t.events.select(
@@ -153,8 +162,9 @@ def cells(t: Tables) -> DataFrame:
         F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)")).alias("span"),
         "event_id",
     )
-    cell = m.normalize_cells(rows.drop("event_id"))
-    return rows.select("event_id", F.explode(cell).alias("c")).select("event_id", "c.*")
+    result = rows.drop("event_id")
+    named = F.arrays_zip(F.array_sort(m.column_names(result)).alias("name"), m.row_sort_key(result).alias("cell"))
+    return rows.select("event_id", F.explode(named).alias("c")).select("event_id", "c.name", "c.cell.*")
 
 
 @query(
@@ -202,8 +212,11 @@ def sort_key(t: Tables) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("Day"),
         "o_orderkey",
     )
-    key = m.row_sort_key(m.normalize_cells(rows.drop("o_orderkey")))
-    shown = F.transform(key, lambda c: F.concat(c["name"], F.lit("="), F.coalesce(m.cell_text(c), F.lit("-"))))
+    result = rows.drop("o_orderkey")
+    named = F.arrays_zip(F.array_sort(m.column_names(result)).alias("name"), m.row_sort_key(result).alias("cell"))
+    shown = F.transform(
+        named, lambda c: F.concat(c["name"], F.lit("="), F.coalesce(m.cell_text(c["cell"]), F.lit("-")))
+    )
     return rows.select("o_orderkey", F.array_join(shown, " ").alias("v"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,8 +93,8 @@ def read_differences(spark: SparkSession, path: str) -> DataFrame:
     return last.select("d.*")
 
 
-def explode_requirements(differences: DataFrame) -> DataFrame:
-    """(id, kind, ordinal, requirement), one row per listed requirement."""
+def explode_requirements(differences: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep.., id, feature, category, kind, ordinal, requirement), one row per listed requirement."""
     kinds = F.array(
         *[
             F.struct(F.lit(kind).alias("kind"), F.col(f"test_requirements.{kind}").alias("items"))
@@ -100,8 +102,8 @@ def explode_requirements(differences: DataFrame) -> DataFrame:
         ]
     )
     return (
-        differences.select("id", "feature", "category", F.explode(kinds).alias("k"))
-        .select("id", "feature", "category", "k.kind", F.posexplode("k.items").alias("ordinal", "requirement"))
+        differences.select(*keep, "id", "feature", "category", F.explode(kinds).alias("k"))
+        .select(*keep, "id", "feature", "category", "k.kind", F.posexplode("k.items").alias("ordinal", "requirement"))
     )
 
 
@@ -131,6 +133,3 @@ def write_sql_dump(script: DataFrame, path: str) -> None:
     )
     ordered.select("line").write.mode("overwrite").text(path)
 
-
-def text_column(column: Column) -> Column:
-    return column.cast("string")
