@@ -257,7 +257,7 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
         (serial | F.col("_rest").contains("AUTO_INCREMENT")).alias("is_auto"),
         (
             F.col("_rest").contains("UNIQUE")
-            | F.exists("_unique", lambda u: F.regexp_replace(u, r'[`"\s]', "") == F.lower(F.col("column_name")))
+            | F.exists("_unique", lambda u: F.regexp_replace(u, r'[`"]', "") == F.lower(F.col("column_name")))
         ).alias("is_unique"),
         F.nullif(length, F.lit("")).cast("int").alias("max_length"),
         F.when(F.size(labels) > 0, labels).alias("allowed_values"),

@@ -172,19 +172,18 @@ def existing_value_digest(df: DataFrame, pk: str, fields: Sequence[str], show: i
 
     The distinct values are counted in parallel; only the first ``show`` are listed.
     """
-    head = df.agg(F.count(F.lit(1)).alias("row_count"), F.max(pk).alias("max_id"))
-    values = df.select(
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("v")) for f in list(fields)[:2]])).alias("p")
-    ).select("p.*")
-    distinct = values.filter(F.col("v") != "").distinct()
+    long = df.select(
+        pk, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("v")) for f in list(fields)[:2]])).alias("p")
+    ).select(pk, "p.*")
+    heads = long.groupBy("field").agg(F.count(F.lit(1)).alias("row_count"), F.max(pk).alias("max_id"))
+    distinct = long.filter(F.col("v") != "").select("field", "v").distinct()
     counted = distinct.groupBy("field").agg(F.count(F.lit(1)).alias("n_distinct"))
     listed = (
         top_per_key(distinct, ["field"], [F.col("v")], show)
         .groupBy("field")
         .agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("shown"))
     )
-    per_field = counted.join(listed, "field").withColumn("_table", F.lit(1))
-    return per_field.join(head.withColumn("_table", F.lit(1)), "_table").select(
+    return heads.join(counted, "field").join(listed, "field").select(
         "field", "row_count", "max_id", (F.col("max_id") + 1).alias("next_id"), "n_distinct", "shown"
     )
 
