@@ -26,7 +26,7 @@ from trilect.operators.relational import (
     row_numbers,
 )
 from trilect.plans.registry import Tables, per_dialect
-from trilect.session import cut
+from trilect.session import cut, spread
 
 ORDERS_AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-01-31"
@@ -681,7 +681,8 @@ def bytes_regex_hex(t: Tables, dialect: str) -> DataFrame:
         "oracle": lang.isin("en", "fr", "de"),
     }[dialect]
     cleaned = d.regexp_replace("text", "[^a-zA-Z0-9@.]", "", dialect, flags="g" if dialect == "pg" else "")
-    tagged = t.documents.filter(member).select(
+    people = spread(t.documents.filter(member).select("lang", "doc_id", "source", "text"))
+    tagged = people.select(
         "lang",
         "doc_id",
         "source",
@@ -690,4 +691,5 @@ def bytes_regex_hex(t: Tables, dialect: str) -> DataFrame:
         F.md5(cleaned).alias("clean_md5"),
         d.hex_text(F.left("text", F.lit(4))).alias("name_hex"),
     )
-    return row_numbers(tagged, ["source"], [F.col("byte_len").desc(), F.col("doc_id")], "byte_rank").drop("source")
+    # written once: the range sort reads its input twice, and the texts are long
+    return row_numbers(cut(tagged), ["source"], [F.col("byte_len").desc(), F.col("doc_id")], "byte_rank").drop("source")

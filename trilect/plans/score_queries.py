@@ -9,7 +9,7 @@ from trilect.operators import compare as m
 from trilect.operators import score as s
 from trilect.plans.derived import GRADED
 from trilect.plans.registry import TABLES, Tables, plain, query
-from trilect.session import ensure_checkpoint_dir
+from trilect.session import ensure_checkpoint_dir, spread
 
 # --- result sets: forty queries, each with a source and a changed target ----------------
 
@@ -28,7 +28,7 @@ _TARGET = f"""
 
 def _result_sets(t: Tables) -> DataFrame:
     """Kind 0 is copied, 1 and 2 are scaled, 3 loses rows, 4 gets a renamed column, 5 reordered lists, 6 filled NULLs."""
-    source, target = t.sql(_SOURCE), t.sql(_TARGET)
+    source, target = spread(t.sql(_SOURCE)), spread(t.sql(_TARGET))
 
 
     def rows(df: DataFrame, side: str, note: str = "Note") -> DataFrame:
@@ -86,9 +86,9 @@ def compare_large(t: Tables) -> DataFrame:
     """One query holds the whole fact table on both sides, and every float differs a little."""
     one = F.lit(1).cast("bigint")
     keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    source = t.lineitem.select(*keep, "l_extendedprice")
-    target = t.lineitem.select("l_extendedprice", *keep).withColumn("l_extendedprice", F.col("l_extendedprice") * 1.00000001)
-    rows = m.result_rows(source, one, "source").unionByName(m.result_rows(target, one, "target"))
+    lines = spread(t.lineitem.select(*keep, "l_extendedprice"))
+    changed = lines.select((F.col("l_extendedprice") * 1.00000001).alias("l_extendedprice"), *keep)
+    rows = m.result_rows(lines, one, "source").unionByName(m.result_rows(changed, one, "target"))
     return m.compare_results(rows, t.spark.range(1, 2).withColumnRenamed("id", "query_id"))
 
 

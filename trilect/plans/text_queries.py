@@ -9,6 +9,7 @@ from trilect.functions import sqltext as x
 from trilect.operators.relational import top_per_key
 from trilect.plans.derived import QUERY_TEXTS
 from trilect.plans.registry import Tables, plain, query
+from trilect.session import spread
 
 
 
@@ -89,7 +90,7 @@ _PAGE_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replac
 
 @query("T5_html_to_text", f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages")
 def page_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", x.html_to_text("html").alias("text"))
+    return spread(t.pages).select("page_id", x.html_to_text("html").alias("text"))
 
 
 _LINKED = "SELECT page_id, html, CASE WHEN page_id % 9 = 0 THEN replace(url, '.example.', '.reddit.') ELSE url END AS url FROM {pages}"
@@ -102,7 +103,7 @@ _LINKED = "SELECT page_id, html, CASE WHEN page_id % 9 = 0 THEN replace(url, '.e
         AND length({_PAGE_TEXT}) >= 100 AS keep FROM ({plain(_LINKED)}) p""",
 )
 def keep_page(t: Tables) -> DataFrame:
-    pages = t.sql(_LINKED).withColumn("text", x.html_to_text("html"))
+    pages = spread(t.sql(_LINKED)).withColumn("text", x.html_to_text("html"))
     return pages.select("page_id", x.page_host("url").alias("host"), x.keep_page("url", "text").alias("keep"))
 
 

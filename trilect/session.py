@@ -64,6 +64,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than the session has cores.
+
+    For work that is heavy per row. An input with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_round(df: DataFrame) -> DataFrame:
     """``cut`` for the state of a loop: unions in it must not add partitions round by round."""
     return cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
