@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilect.session import cut
+from trilect.session import cut, store
 
 # A side is broadcast only after it was counted and found at or under this many rows.
 BROADCAST_ROWS = 200_000
@@ -50,7 +50,7 @@ def range_sorted(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    return cut(placed).withColumn("_pid", F.shiftrightunsigned("_mid", 33))
+    return store(placed).withColumn("_pid", F.shiftrightunsigned("_mid", 33))
 
 
 def offsets_of(staged: DataFrame, within: Sequence[str], weights: dict[str, Column]) -> DataFrame:
@@ -104,8 +104,8 @@ def lookup_join(
     Rows with one of the most frequent keys, or with none, join a broadcast of at
     most ``HOT_KEYS`` right rows and are never shuffled; the rest have no hot key.
     ``how`` is inner, left, left_semi or left_anti. ``counted`` says that ``right``
-    is cheap to count (read from a checkpoint), so that it is broadcast whole when
-    it turns out small.
+    is cheap to count (a table, a checkpoint), so that it is broadcast whole when it
+    turns out small.
     """
     if counted and small_enough(right):
         return left.join(F.broadcast(right), list(on), how)

@@ -195,5 +195,5 @@ def requirements_for(assigned: DataFrame, differences: DataFrame) -> DataFrame:
     is looked up, and its requirements are not multiplied before the join.
     """
     details = differences.withColumnRenamed("id", "diff_id")
-    found = lookup_join(assigned, details, ["diff_id"]).withColumnRenamed("diff_id", "id")
+    found = lookup_join(assigned, details, ["diff_id"], counted=True).withColumnRenamed("diff_id", "id")
     return explode_requirements(found, ["db"]).withColumnRenamed("id", "diff_id")

@@ -164,6 +164,6 @@ def full_key_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
 
 def lookup_with_missing(ids: DataFrame, details: DataFrame, key: str) -> DataFrame:
     """Every id with its detail columns and a ``missing`` flag; ``details`` has one row per key."""
-    return lookup_join(ids, details.withColumn("_found", F.lit(True)), [key], "left").withColumn(
+    return lookup_join(ids, details.withColumn("_found", F.lit(True)), [key], "left", counted=True).withColumn(
         "missing", F.col("_found").isNull()
     ).drop("_found")

@@ -26,7 +26,7 @@ from trilect.operators.relational import (
     row_numbers,
 )
 from trilect.plans.registry import Tables, per_dialect
-from trilect.session import cut, spread
+from trilect.session import cut, spread, store
 
 ORDERS_AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-01-31"
@@ -364,7 +364,7 @@ def json_regex_or_age(t: Tables, dialect: str) -> DataFrame:
             "n_name",
             F.format_string('{"seg": "%s"}', "c_mktsegment").alias("metadata"),
         )
-        rows = lookup_join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), people, ["o_custkey"])
+        rows = lookup_join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), people, ["o_custkey"], counted=True)
         return rows.select(
             "o_orderkey",
             "n_name",
@@ -466,7 +466,7 @@ def salary_analysis(t: Tables, dialect: str) -> DataFrame:
     )
     # customer LEFT JOIN orders, taken from the order side so that a customer with
     # very many orders is looked up and not gathered
-    busy = lookup_join(work, staff, ["c_custkey"])
+    busy = lookup_join(work, staff, ["c_custkey"], counted=True)
     idle = staff.join(work.select("c_custkey").distinct(), "c_custkey", "left_anti").withColumn(
         "hours", F.lit(None).cast("bigint")
     )
@@ -692,4 +692,4 @@ def bytes_regex_hex(t: Tables, dialect: str) -> DataFrame:
         d.hex_text(F.left("text", F.lit(4))).alias("name_hex"),
     )
     # written once: the range sort reads its input twice, and the texts are long
-    return row_numbers(cut(tagged), ["source"], [F.col("byte_len").desc(), F.col("doc_id")], "byte_rank").drop("source")
+    return row_numbers(store(tagged), ["source"], [F.col("byte_len").desc(), F.col("doc_id")], "byte_rank").drop("source")

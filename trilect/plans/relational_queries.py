@@ -188,7 +188,7 @@ _ORPHAN_LINES = """
 @query("J4_anti_join", f"SELECT * FROM ({plain(_ORPHAN_LINES)}) x WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
 def anti_join(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"))
-    return lookup_join(t.sql(_ORPHAN_LINES), parts, ["l_partkey"], "left_anti")
+    return lookup_join(t.sql(_ORPHAN_LINES), parts, ["l_partkey"], "left_anti", counted=True)
 
 
 @query(
@@ -201,7 +201,7 @@ def self_join(t: Tables) -> DataFrame:
         "c_custkey", F.col("c_name").alias("name"), F.floor(F.col("c_custkey") / 10).alias("boss")
     )
     bosses = t.customer.select(F.col("c_custkey").alias("boss"), F.col("c_name").alias("manager"))
-    return lookup_join(staff, bosses, ["boss"]).drop("boss")
+    return lookup_join(staff, bosses, ["boss"], counted=True).drop("boss")
 
 
 @query(
