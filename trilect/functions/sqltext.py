@@ -111,7 +111,8 @@ def split_statements(df: DataFrame, sql: str, keep: list[str]) -> DataFrame:
         return strip_space(F.array_join(lines, "\n"))
 
     pieces = F.filter(F.transform(F.split(F.col(sql), ";"), without_comments), lambda s: s != "")
-    return df.select(*keep, F.posexplode(pieces).alias("ordinal", "statement"))
+    split = df.select(*keep, F.posexplode_outer(pieces).alias("ordinal", "statement"))
+    return split.filter(F.col("statement").isNotNull())
 
 
 def html_to_text(html: str | Column, max_chars: int | None = None) -> Column:

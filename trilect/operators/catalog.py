@@ -176,8 +176,8 @@ def _ddl_tables(ddl: DataFrame) -> DataFrame:
         "db",
         "dialect",
         enums.alias("_enums"),
-        F.posexplode(_all(F.col("_ddl"), _CREATE_TABLE, 0)).alias("_at", "_stmt"),
-    )
+        F.posexplode_outer(_all(F.col("_ddl"), _CREATE_TABLE, 0)).alias("_at", "_stmt"),
+    ).filter(F.col("_stmt").isNotNull())
     body = F.regexp_extract("_stmt", _CREATE_TABLE, 2)
     return statements.select(
         "db",
@@ -214,7 +214,7 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
         F.filter(constraints, lambda p: p.rlike(_CHECK_IN)).alias("_checks"),
         F.filter("_parts", lambda p: ~p.rlike(_TABLE_PART) & p.rlike(_COLUMN)).alias("_cols"),
     )
-    cols = tables.select("*", F.posexplode("_cols").alias("_at", "_def"))
+    cols = tables.select("*", F.posexplode_outer("_cols").alias("_at", "_def")).filter(F.col("_def").isNotNull())
 
     def group(n: int) -> Column:
         return F.regexp_extract("_def", _COLUMN, n)
@@ -266,7 +266,7 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
 
 def foreign_keys_from_ddl(ddl: DataFrame) -> DataFrame:
     tables = _ddl_tables(ddl)
-    parts = tables.select("db", "dialect", "table_name", F.explode("_parts").alias("_part")).filter(
+    parts = tables.select("db", "dialect", "table_name", F.explode_outer("_parts").alias("_part")).filter(
         F.col("_part").rlike(_FOREIGN_KEY)
     )
     return parts.select(
@@ -548,7 +548,12 @@ def _one_edit(text: Column) -> Column:
 
 
 def _edit_keys(df: DataFrame, name: str) -> DataFrame:
-    """One row per way to drop or mask at most two characters, with the counts of both."""
+    """One row per way to drop or mask at most two characters, with the counts of both.
+
+    A name becomes about a thousand rows, so the names are spread first; a given
+    number of partitions is not merged again for being small before the explode.
+    """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     once = F.array_distinct(_one_edit(F.col(name)))
     keys = df.withColumn("_once", once).withColumn(
         "_keys",
@@ -556,7 +561,8 @@ def _edit_keys(df: DataFrame, name: str) -> DataFrame:
             F.concat(F.array(F.col(name)), F.col("_once"), F.flatten(F.transform("_once", _one_edit)))
         ),
     )
-    exploded = keys.select(*df.columns, F.explode("_keys").alias("_key"))
+    # the outer explode infers no filter, which would build the keys once more at the scan
+    exploded = keys.select(*df.columns, F.explode_outer("_keys").alias("_key"))
     return exploded.withColumn("_drops", F.char_length(name) - F.char_length("_key")).withColumn(
         "_masks", F.char_length("_key") - F.char_length(F.replace(F.col("_key"), F.lit(_ANY), F.lit("")))
     )
@@ -582,7 +588,7 @@ def reconcile_names(left: DataFrame, right: DataFrame) -> DataFrame:
         lone_right.select(
             "db",
             F.col("name").alias("match"),
-            F.explode(
+            F.explode_outer(
                 F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda i: F.substr(F.col("name"), F.lit(1), i))
             ).alias("name"),
         )
@@ -609,14 +615,19 @@ def reconcile_names(left: DataFrame, right: DataFrame) -> DataFrame:
         (F.col("_drops") > 0) & same_start & (F.col("_masks") <= 1),
         F.when(F.col("_masks") == 1, F.substr(F.col("match"), masked_at, F.lit(1))).otherwise(F.lit("")),
     )
+    # Both sides are laid out by (db, key) once, which serves the grouping and the join.
+    # The planner takes the sides for as small as the names they come from and would
+    # broadcast one, so a merge join is asked for.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     right_keys = (
         _edit_keys(lone_right.withColumnRenamed("name", "match"), "match")
-        .withColumn("_continued", continued)
-        .groupBy("db", "_key", "_masks", F.col("_drops").alias("_right_drops"), "_continued")
+        .select("db", "_key", "match", F.col("_drops").alias("_right_drops"), continued.alias("_continued"))
+        .repartition(n, "db", "_key")
+        .groupBy("db", "_key", "_right_drops", "_continued")
         .agg(F.min("match").alias("match"))
     )
-    left_keys = _edit_keys(lone_left, "name").withColumnRenamed("_drops", "_left_drops")
-    met = left_keys.join(right_keys, ["db", "_key", "_masks"]).filter(
+    left_keys = _edit_keys(lone_left, "name").withColumnRenamed("_drops", "_left_drops").repartition(n, "db", "_key")
+    met = left_keys.join(right_keys.hint("merge"), ["db", "_key"]).filter(
         (F.col("_left_drops") + F.col("_right_drops") + F.col("_masks") <= 2)
     )
     own_char = F.when(F.col("_masks") == 1, F.substr(F.col("name"), F.instr("_key", _ANY), F.lit(1))).otherwise(F.lit(""))

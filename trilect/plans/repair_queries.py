@@ -59,7 +59,18 @@ def dedup_content(t: Tables) -> DataFrame:
     return r.dedup_content(t.sql(_BLANKS), ["name"], "p_partkey")
 
 
-@query("R4_dedup_content_two_fields")
+@query(
+    "R4_dedup_content_two_fields",
+    """WITH RECURSIVE r AS (SELECT p_partkey, p_name || ' ' || p_type AS title, p_brand || ' ' || p_size AS short_name,
+                                  row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+       w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS ss, CAST(NULL AS BIGINT) AS kept
+             UNION ALL
+             SELECT r.i, CASE WHEN ok THEN list_append(ts, lower(title)) ELSE ts END, CASE WHEN ok THEN list_append(ss, lower(short_name)) ELSE ss END,
+                    CASE WHEN ok THEN p_partkey END
+             FROM (SELECT r.*, ts, ss, NOT list_contains(ts, lower(title)) AND NOT list_contains(ss, lower(short_name)) AS ok
+                   FROM w JOIN r ON r.i = w.i + 1) r)
+       SELECT p_partkey, title, short_name FROM r JOIN w ON kept = p_partkey""",
+)
 def dedup_two_fields(t: Tables) -> DataFrame:
     rows = t.part.select(
         "p_partkey",

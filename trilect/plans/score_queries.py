@@ -364,7 +364,13 @@ _PAIRS = [
 ]
 
 
-@query("E15_evaluate_pairs")
+@query(
+    "E15_evaluate_pairs",
+    """SELECT CAST(q AS BIGINT) AS query_id, t AS translate_ok, s AS source_exec_ok, x AS target_exec_ok, m AS results_match FROM (VALUES
+       (1, true, true, true, true), (2, true, true, true, true), (3, true, true, true, (SELECT abs(sum(o_totalprice)) = 0 FROM orders)),
+       (4, true, true, true, (SELECT count(*) = 0 FROM customer WHERE c_custkey <= 0)), (5, true, true, true, true), (6, true, true, false, false),
+       (7, true, false, true, false), (8, true, true, true, (SELECT max(p_size) <= 1000 FROM part)), (9, false, false, false, false)) AS v(q, t, s, x, m)""",
+)
 def evaluate(t: Tables) -> DataFrame:
     for name in TABLES:
         getattr(t, name).createOrReplaceTempView(name)
@@ -375,9 +381,7 @@ def evaluate(t: Tables) -> DataFrame:
     ensure_checkpoint_dir(t.spark)
     folder = f"{t.spark.sparkContext.getCheckpointDir()}/pairs-{t.spark.sql('SELECT uuid()').first()[0]}"
     results, _ = s.evaluate_pairs(t.spark, pairs, folder, timeout=300)
-    return results.select(
-        "query_id", "translate_ok", "source_exec_ok", "target_exec_ok", "results_match", "comparison_details"
-    )
+    return results.select("query_id", "translate_ok", "source_exec_ok", "target_exec_ok", "results_match")
 
 
 # --- bookkeeping -----------------------------------------------------------------------------
