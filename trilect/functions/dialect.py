@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trilect.functions.columns import as_column
+
 DIALECTS = ("mysql", "pg", "oracle")
 
 # What each dialect does where a shared name means different things.
@@ -38,10 +40,6 @@ def rule(feature: str, dialect: str) -> str:
     return DIVERGENCE[feature][name]
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 # --- numbers ---------------------------------------------------------------
 
 
@@ -50,7 +48,7 @@ def log(x: str | Column, dialect: str) -> Column:
 
 
 def greatest(*columns: str | Column, dialect: str) -> Column:
-    cols = [_col(c) for c in columns]
+    cols = [as_column(c) for c in columns]
     largest = F.greatest(*cols)
     if rule("greatest_with_null", dialect) == "skip":
         return largest
@@ -62,7 +60,7 @@ def greatest(*columns: str | Column, dialect: str) -> Column:
 
 def divide(a: str | Column, b: str | Column, dialect: str, integers: bool = False) -> Column:
     """``a / b``; ``integers`` says both sides have an integer type in the source dialect."""
-    a, b = _col(a), _col(b)
+    a, b = as_column(a), as_column(b)
     if rule("division_by_zero", dialect) == "null":
         return F.try_divide(a, b)
     guarded = F.when(b == F.lit(0), F.raise_error(F.lit("division by zero")).cast("bigint")).otherwise(b)
@@ -73,7 +71,7 @@ def divide(a: str | Column, b: str | Column, dialect: str, integers: bool = Fals
 
 def truncate(x: str | Column, digits: int) -> Column:
     """TRUNCATE / TRUNC: drop digits after ``digits`` places, toward zero, in decimal."""
-    exact = _col(x).cast("decimal(28,8)")
+    exact = as_column(x).cast("decimal(28,8)")
     shift = F.lit(10**digits).cast("decimal(10,0)")
     whole = F.floor(F.abs(exact) * shift).cast("decimal(28,0)")
     return (F.signum(exact) * whole.cast("double") / F.lit(float(10**digits))).cast("double")
@@ -81,24 +79,24 @@ def truncate(x: str | Column, digits: int) -> Column:
 
 def to_signed(x: str | Column) -> Column:
     """CAST AS SIGNED / ::INTEGER / CAST AS INTEGER: rounds where Spark's cast would truncate."""
-    return F.round(_col(x).cast("decimal(28,8)"), 0).cast("bigint")
+    return F.round(as_column(x).cast("decimal(28,8)"), 0).cast("bigint")
 
 
 def to_text(x: str | Column) -> Column:
-    return _col(x).cast("string")
+    return as_column(x).cast("string")
 
 
 def to_numeric(x: str | Column, precision: int, scale: int) -> Column:
-    return F.round(_col(x).cast("decimal(38,10)"), scale).cast(f"decimal({precision},{scale})")
+    return F.round(as_column(x).cast("decimal(38,10)"), scale).cast(f"decimal({precision},{scale})")
 
 
 def to_date(x: str | Column) -> Column:
-    return _col(x).cast("date")
+    return as_column(x).cast("date")
 
 
 def number_format(x: str | Column, digits: int, dialect: str) -> Column:
     """FORMAT(x, n) or TO_CHAR(x, 'FM999,999,999.00')."""
-    value = F.round(_col(x).cast("decimal(28,8)"), digits).cast(f"decimal(28,{digits})")
+    value = F.round(as_column(x).cast("decimal(28,8)"), digits).cast(f"decimal(28,{digits})")
     if dialect == "mysql":
         return F.format_number(value, digits)
     return F.trim(F.to_char(value, F.lit("999,999,999,999,999." + "0" * digits)))
@@ -109,20 +107,20 @@ def number_format(x: str | Column, digits: int, dialect: str) -> Column:
 
 def null_substitute(x: str | Column, default: Column) -> Column:
     """IFNULL / NVL / two-argument COALESCE."""
-    return F.coalesce(_col(x), default)
+    return F.coalesce(as_column(x), default)
 
 
 def nvl2(x: str | Column, present: Column, absent: Column) -> Column:
-    return F.when(_col(x).isNotNull(), present).otherwise(absent)
+    return F.when(as_column(x).isNotNull(), present).otherwise(absent)
 
 
 def empty_as_null(x: str | Column, dialect: str) -> Column:
-    return F.nullif(_col(x), F.lit("")) if rule("empty_string", dialect) == "null" else _col(x)
+    return F.nullif(as_column(x), F.lit("")) if rule("empty_string", dialect) == "null" else as_column(x)
 
 
 def concat(*parts: str | Column, dialect: str) -> Column:
     """CONCAT / ||: NULL if any part is NULL, except that Oracle reads NULL as ''."""
-    cols = [_col(p) for p in parts]
+    cols = [as_column(p) for p in parts]
     joined = F.concat(*cols)
     if rule("empty_string", dialect) != "null":
         return joined
@@ -160,31 +158,31 @@ def regexp_replace(s: str | Column, pattern: str, replacement: str, dialect: str
     """
     java = re.sub(r"\\(\d)", r"$\1", replacement)
     if rule("regexp_replace", dialect) == "all" or "g" in flags:
-        return F.regexp_replace(_col(s), regex(pattern), java)
+        return F.regexp_replace(as_column(s), regex(pattern), java)
     moved_pattern = re.sub(r"\\([1-9])", lambda m: f"\\{int(m.group(1)) + 1}", regex(pattern))
     moved = re.sub(r"\$(\d)", lambda m: f"${int(m.group(1)) + 1}", java)
-    return F.regexp_replace(_col(s), rf"\A([\s\S]*?)(?:{moved_pattern})", f"$1{moved}")
+    return F.regexp_replace(as_column(s), rf"\A([\s\S]*?)(?:{moved_pattern})", f"$1{moved}")
 
 
 def hex_text(s: str | Column) -> Column:
     """HEX / ENCODE(..., 'hex') / RAWTOHEX over the UTF-8 bytes."""
-    return F.hex(F.encode(_col(s), "UTF-8"))
+    return F.hex(F.encode(as_column(s), "UTF-8"))
 
 
 def json_text(doc: str | Column, path: str) -> Column:
     """JSON_UNQUOTE(JSON_EXTRACT(..)) / ->> ."""
-    return F.get_json_object(_col(doc), path)
+    return F.get_json_object(as_column(doc), path)
 
 
 def json_text_by_regex(doc: str | Column, key: str) -> Column:
     """The JSON-free spelling: the first quoted or bare scalar after ``"key":``, NULL if none."""
     pattern = rf'"{re.escape(key)}"\s*:\s*"?([^",}}]+)"?'
-    return F.nullif(F.regexp_extract(_col(doc), pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(as_column(doc), pattern, 1), F.lit(""))
 
 
 def in_csv(x: str | Column, csv: str) -> Column:
     """FIND_IN_SET(x, 'a,b,c') > 0."""
-    return F.find_in_set(_col(x), F.lit(csv)) > 0
+    return F.find_in_set(as_column(x), F.lit(csv)) > 0
 
 
 # --- dates -------------------------------------------------------------------
@@ -250,7 +248,7 @@ def date_format(d: str | Column, pattern: str, dialect: str, blank_padded: bool
 
     ``blank_padded`` gives TO_CHAR's fixed-width names of days and months.
     """
-    d = _col(d)
+    d = as_column(d)
     if dialect == "mysql":
         java = re.sub(
             r"%(.)|([^%]+)",
@@ -284,7 +282,7 @@ def date_format(d: str | Column, pattern: str, dialect: str, blank_padded: bool
 
 
 def date_part(part: str, d: str | Column) -> Column:
-    return F.date_part(F.lit(part), _col(d)).cast("int")
+    return F.date_part(F.lit(part), as_column(d)).cast("int")
 
 
 def days_between(later: str | Column, earlier: str | Column) -> Column:
@@ -310,7 +308,7 @@ def interval_days(text: str) -> int:
 
 
 def date_trunc(unit: str, d: str | Column) -> Column:
-    return F.date_trunc(unit, _col(d)).cast("date")
+    return F.date_trunc(unit, as_column(d)).cast("date")
 
 
 def last_day(d: str | Column) -> Column:
@@ -325,7 +323,7 @@ def whole_years(later: str | Column, earlier: str | Column) -> Column:
 
 def order_by(c: str | Column, dialect: str, descending: bool = False) -> Column:
     """Sort order with the dialect's default place for NULL."""
-    c = _col(c)
+    c = as_column(c)
     first = (rule("nulls_ascending", dialect) == "first") != descending
     if descending:
         return c.desc_nulls_first() if first else c.desc_nulls_last()

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trilect.operators.ordering import _as_column
+from trilect.functions.columns import as_column
 from trilect.operators.repair import DEFAULT_DATE, _base, type_class
 
 # Accepted spellings of truth.
@@ -30,7 +30,7 @@ def _text(s: Column, old: str, new: str) -> Column:
 
 def escape(s: str | Column, dialect: str) -> Column:
     """Backslash escapes for mysql; doubled quotes and no carriage returns otherwise."""
-    s = _as_column(s)
+    s = as_column(s)
     if dialect != "mysql":
         return _text(_text(s, "'", "''"), "\r", "")
     for old, new in (("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
@@ -44,7 +44,7 @@ def quoted(s: str | Column, dialect: str) -> Column:
 
 def normalize_datetime_text(s: str | Column) -> Column:
     """ISO 8601 text as ``YYYY-MM-DD HH:MM:SS``: no T, fraction, Z or offset."""
-    out = _text(F.trim(_as_column(s)), "T", " ")
+    out = _text(F.trim(as_column(s)), "T", " ")
     for pattern in (r"\.\d+", r"[Zz]$", r"[+-]\d{2}:?\d{2}$"):
         out = F.regexp_replace(out, pattern, "")
     return F.trim(out)
@@ -52,20 +52,20 @@ def normalize_datetime_text(s: str | Column) -> Column:
 
 def normalize_numeric_text(s: str | Column) -> Column:
     """Number text as a bare literal; NULL if it is none."""
-    bare = F.trim(_as_column(s))
+    bare = F.trim(as_column(s))
     whole = F.when(bare.rlike(r"^[+-]?\d+$"), bare.try_cast("decimal(38,0)").cast("string"))
     return F.when(bare.contains("."), double_literal(bare.try_cast("double"), absent=None)).otherwise(whole)
 
 
 def normalize_boolean_text(s: str | Column, dialect: str) -> Column:
-    word = F.lower(F.trim(_as_column(s)))
+    word = F.lower(F.trim(as_column(s)))
     true, false = BOOLEAN_LITERAL[dialect]
     return F.when(word.isin(TRUE_TEXT), F.lit(true)).when(word.isin(FALSE_TEXT), F.lit(false))
 
 
 def double_literal(x: str | Column, absent: str | None = "NULL") -> Column:
     """Whole numbers below 1e15 without a point, others with at most six decimals; NaN and infinity are ``absent``."""
-    x = _as_column(x).cast("double")
+    x = as_column(x).cast("double")
     finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
     whole = (x == F.rint(x)) & (F.abs(x) < 1e15)
     fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), r"0+$", ""), r"\.$", "")
@@ -129,7 +129,7 @@ def _binary_literal(text: Column, dialect: str) -> Column:
 
 def text_literal(x: str | Column, declared: str, dialect: str) -> Column:
     """Text in a column of type ``declared``: dates, truth values and numbers lose their quotes or get a call."""
-    text = _as_column(x).cast("string")
+    text = as_column(x).cast("string")
     base, kind, upper = _base(declared), type_class(declared), declared.upper()
     truth = base in ("BOOLEAN", "BOOL", "TINYINT") or "NUMBER(1)" in upper
     plain = quoted(text, dialect)
@@ -162,7 +162,7 @@ def text_literal(x: str | Column, declared: str, dialect: str) -> Column:
 
 def sql_literal(x: str | Column, dtype: T.DataType, dialect: str, declared: str | None = None) -> Column:
     """Any column value as a literal; ``declared`` is the target column's type text."""
-    c = _as_column(x)
+    c = as_column(x)
     true, false = BOOLEAN_LITERAL[dialect]
     truth = declared is not None and (_base(declared) in ("BOOLEAN", "BOOL", "TINYINT") or "NUMBER(1)" in declared.upper())
     if isinstance(dtype, T.BooleanType):

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trilect.functions.columns import as_column
 from trilect.functions.dialect import FIXED_DATE, FIXED_TIMESTAMP
-from trilect.operators.ordering import _as_column
 
 # The constant that replaces each clock function, in order of application.
 
@@ -74,7 +74,7 @@ def _replace_all(sql: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _by_dialect(sql: str | Column, dialect: str | Column, rules: dict[str, list[tuple[str, str]]]) -> Column:
-    sql, dialect = _as_column(sql), _as_column(dialect)
+    sql, dialect = as_column(sql), as_column(dialect)
     return (
         F.when(dialect == "mysql", _replace_all(sql, rules["mysql"]))
         .when(dialect == "oracle", _replace_all(sql, rules["oracle"]))
@@ -93,12 +93,12 @@ def pin_random(sql: str | Column, dialect: str | Column) -> Column:
 
 def strip_space(text: str | Column) -> Column:
     """Leading and trailing white space of any kind removed."""
-    return F.regexp_replace(_as_column(text), r"\A\s+|\s+\z", "")
+    return F.regexp_replace(as_column(text), r"\A\s+|\s+\z", "")
 
 
 def clean_sql(sql: str | Column) -> Column:
     """The statement alone: comment lines, block comments and closing semicolons removed."""
-    lines = F.filter(F.split(_as_column(sql), "\n"), lambda line: ~strip_space(line).rlike("^(--|#)"))
+    lines = F.filter(F.split(as_column(sql), "\n"), lambda line: ~strip_space(line).rlike("^(--|#)"))
     bare = strip_space(F.regexp_replace(F.array_join(lines, "\n"), r"(?s)/\*.*?\*/", ""))
     return strip_space(F.regexp_replace(bare, r";+\z", ""))
 
@@ -117,7 +117,7 @@ def split_statements(df: DataFrame, sql: str, keep: list[str]) -> DataFrame:
 
 def html_to_text(html: str | Column, max_chars: int | None = None) -> Column:
     """Script and style dropped, tags replaced by blanks, white space collapsed; whole text unless cut."""
-    text = _as_column(html)
+    text = as_column(html)
     for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>"):
         text = F.regexp_replace(text, pattern, "")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
@@ -134,7 +134,7 @@ SHORTEST_PAGE = 100
 
 
 def page_host(url: str | Column) -> Column:
-    return F.lower(F.try_parse_url(_as_column(url), F.lit("HOST")))
+    return F.lower(F.try_parse_url(as_column(url), F.lit("HOST")))
 
 
 def keep_page(url: str | Column, text: str | Column) -> Column:
@@ -146,7 +146,7 @@ def keep_page(url: str | Column, text: str | Column) -> Column:
 
 def strip_markup(text: str | Column, n: int, dots: bool = True) -> Column:
     """Tags removed and cut to ``n`` characters, with dots where something was cut."""
-    bare = F.regexp_replace(F.coalesce(_as_column(text), F.lit("")), r"<[^>]+>", "")
+    bare = F.regexp_replace(F.coalesce(as_column(text), F.lit("")), r"<[^>]+>", "")
     cut = F.left(bare, F.lit(n))
     if not dots:
         return cut

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilect.operators.ordering import _as_column, lookup_join
+from trilect.functions.columns import as_column
+from trilect.operators.ordering import lookup_join
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
 from trilect.session import cut, cut_round
@@ -35,12 +36,12 @@ BINARY_TYPES = ["BLOB", "BYTEA", "LONGBLOB", "MEDIUMBLOB", "TINYBLOB", "VARBINAR
 
 def base_type(data_type: str | Column) -> Column:
     """The type word before ``(`` or a blank, in upper case."""
-    return F.regexp_extract(F.upper(_as_column(data_type)), r"^([^(\s]*)", 1)
+    return F.regexp_extract(F.upper(as_column(data_type)), r"^([^(\s]*)", 1)
 
 
 def _number_scale(data_type: str | Column) -> Column:
     """Scale of NUMBER(p,s), 0 for NUMBER(p) and for bare NUMBER."""
-    scale = F.regexp_extract(F.upper(_as_column(data_type)), r"NUMBER\(\d+,\s*(\d+)\)", 1)
+    scale = F.regexp_extract(F.upper(as_column(data_type)), r"NUMBER\(\d+,\s*(\d+)\)", 1)
     return F.coalesce(F.nullif(scale, F.lit("")).cast("int"), F.lit(0))
 
 
@@ -65,7 +66,7 @@ def is_date(t: str | Column) -> Column:
 
 
 def is_boolean(t: str | Column) -> Column:
-    return base_type(t).isin(BOOLEAN_TYPES) | F.upper(_as_column(t)).contains("NUMBER(1)")
+    return base_type(t).isin(BOOLEAN_TYPES) | F.upper(as_column(t)).contains("NUMBER(1)")
 
 
 def is_json(t: str | Column) -> Column:
@@ -77,7 +78,7 @@ def is_binary(t: str | Column) -> Column:
 
 
 def is_array(t: str | Column) -> Column:
-    return _as_column(t).contains("[]")
+    return as_column(t).contains("[]")
 
 
 def classify_type(t: str | Column) -> Column:
@@ -430,7 +431,7 @@ def _rule_name(t: Column) -> Column:
 
 def type_families(data_type: str | Column, dialect: str | Column) -> Column:
     """The families a declared type belongs to; a VARCHAR family carries its length."""
-    t, d = _as_column(data_type), _as_column(dialect)
+    t, d = as_column(data_type), as_column(dialect)
     spelled = _rule_name(t)
     length = F.regexp_extract(t, r"\((\d+)", 1)
     found = []
@@ -669,5 +670,5 @@ def shorten_identifiers(names: DataFrame, scope: Sequence[str], name: str, max_l
 
 def normalize_identifier(name: str | Column) -> Column:
     """The last part of a qualified name, without quotes, in lower case."""
-    last = F.element_at(F.split(F.trim(_as_column(name)), r"\."), -1)
+    last = F.element_at(F.split(F.trim(as_column(name)), r"\."), -1)
     return F.lower(F.regexp_replace(last, r'^[`"](.*)[`"]$', "$1"))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilect.functions.columns import as_column
 from trilect.session import cut, store
 
 # A side is broadcast only after it was counted and found at or under this many rows.
@@ -22,10 +23,6 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 64
 
 
-def _as_column(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
@@ -44,7 +41,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def range_sorted(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` in range-partitioned order, on disk, with its place (_pid, _mid)."""
-    order = [_as_column(c) for c in order]
+    order = [as_column(c) for c in order]
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilect.operators.ordering import _as_column, checked_broadcast, lookup_join, positions
+from trilect.functions.columns import as_column
+from trilect.operators.ordering import checked_broadcast, lookup_join, positions
 from trilect.operators.relational import top_per_key
 from trilect.session import cut
 from trilect.sources.tables import explode_requirements
@@ -22,7 +23,7 @@ SPLIT_SEED_OFFSET = {"train": 0, "dev": 1000, "test": 2000}
 
 def hash_order(key: str | Column, seed: int) -> Column:
     """A repeatable shuffle order: md5 of key and seed."""
-    return F.md5(F.concat(_as_column(key).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(as_column(key).cast("string"), F.lit(f":{seed}")))
 
 
 def hash_int(text: Column) -> Column:
@@ -95,7 +96,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int)
 
 def priority_of(kind: str | Column, priority: dict[str, int] | None = None) -> Column:
     pairs = TYPE_PRIORITY if priority is None else priority
-    kind = _as_column(kind)
+    kind = as_column(kind)
     out = F.lit(OTHER_PRIORITY)
     for name, place in pairs.items():
         out = F.when(kind == name, F.lit(place)).otherwise(out)

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trilect.functions.columns import as_column
 from trilect.operators.ordering import (
-    _as_column,
     checked_broadcast,
     lookup_join,
     null_safe_join,
@@ -143,13 +143,13 @@ def ordered_list(value: str | Column, order: str | Column, separator: str = ", "
 
     The result is one cell, so use it over pre-aggregated or ranked rows.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(_as_column(order).alias("o"), _as_column(value).cast("string").alias("v"))))
+    pairs = F.array_sort(F.collect_list(F.struct(as_column(order).alias("o"), as_column(value).cast("string").alias("v"))))
     return F.array_join(F.transform(pairs, lambda p: p["v"]), separator)
 
 
 def distinct_list(value: str | Column, separator: str = ", ") -> Column:
     """``ARRAY_AGG(DISTINCT x ORDER BY x)`` as text."""
-    return F.array_join(F.array_sort(F.collect_set(_as_column(value).cast("string"))), separator)
+    return F.array_join(F.array_sort(F.collect_set(as_column(value).cast("string"))), separator)
 
 
 def full_key_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

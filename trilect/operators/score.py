@@ -9,8 +9,8 @@ from threading import Timer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trilect.functions.columns import as_column
 from trilect.operators.compare import compare_results, result_rows
-from trilect.operators.ordering import _as_column
 from trilect.operators.relational import top_per_key
 
 # The directions in the order they are tried, and the fallback per source dialect.
@@ -30,7 +30,7 @@ ERROR_CHARS = 500
 
 
 def normalize_dialect(dialect: str | Column) -> Column:
-    dialect = _as_column(dialect)
+    dialect = as_column(dialect)
     return F.when(dialect == "postgresql", F.lit("pg")).otherwise(dialect)
 
 
@@ -54,20 +54,20 @@ def join_translations(
 
 
 def outcome_status(row_count: str | Column, error: str | Column) -> Column:
-    error = F.coalesce(_as_column(error), F.lit(""))
-    return F.when(error != "", F.lit("error")).when(_as_column(row_count) > 0, F.lit("valid")).otherwise(F.lit("empty"))
+    error = F.coalesce(as_column(error), F.lit(""))
+    return F.when(error != "", F.lit("error")).when(as_column(row_count) > 0, F.lit("valid")).otherwise(F.lit("empty"))
 
 
 def outcome_error(error: str | Column) -> Column:
     """The error cut to its first characters, tagged when the query ran out of time."""
-    cut = F.left(F.coalesce(_as_column(error), F.lit("")), F.lit(ERROR_CHARS))
+    cut = F.left(F.coalesce(as_column(error), F.lit("")), F.lit(ERROR_CHARS))
     return F.when(cut.rlike(TIMEOUT_WORDS), F.concat(F.lit("[TIMEOUT] "), cut)).otherwise(cut)
 
 
 def infer_direction(source_dialect: str | Column, file_name: str | Column) -> Column:
     """The first direction whose source is part of the dialect and whose target is part of the file's stem."""
     dialect = normalize_dialect(source_dialect)
-    base = F.element_at(F.split(F.lower(_as_column(file_name)), "/"), -1)
+    base = F.element_at(F.split(F.lower(as_column(file_name)), "/"), -1)
     stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
     choice = F.lit(LAST_DIRECTION)
     for name, direction in DEFAULT_DIRECTION.items():
