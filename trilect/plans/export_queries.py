@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trilect.functions import literals as lit
 from trilect.operators import export as x
+from trilect.operators.score import score_report
+from trilect.plans.derived import GRADED, QUERY_TEXTS
 from trilect.plans.registry import Tables, per_dialect, plain, query
+from trilect.session import ensure_checkpoint_dir
+from trilect.sources import tables as io
 
 _STAMP = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
@@ -184,6 +190,57 @@ def script(t: Tables, dialect: str) -> DataFrame:
     )
 
 
+# --- what is written is read back ------------------------------------------------------
+
+
+def _folder(t: Tables, name: str) -> str:
+    """A new folder beside the session's checkpoints."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "IO4_report_files",
+    f"""SELECT database, count(*) AS n, count(*) FILTER (WHERE results_match) AS matched, (SELECT count(*) FROM ({plain(GRADED)}) g) AS reported
+        FROM ({plain(GRADED)}) g GROUP BY 1""",
+)
+def report_files(t: Tables) -> DataFrame:
+    results, folder = t.sql(GRADED), _folder(t, "report")
+    io.write_report(score_report(results), results, folder)
+    written = t.spark.read.schema("database string, results_match boolean").json(f"{folder}/results")
+    report = t.spark.read.schema("total_queries bigint").json(f"{folder}/report")
+    total = report.first()["total_queries"]
+    return written.groupBy("database").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("results_match").alias("matched"), F.lit(total).cast("bigint").alias("reported")
+    )
+
+
+_FILED = f"SELECT query_id, 'db' || CAST(query_id % 12 AS STRING) AS database, dialect, sql FROM ({QUERY_TEXTS}) q"
+
+
+@query("IO5_partitioned_query_files", f"SELECT query_id, database, dialect, sql FROM ({plain(_FILED)}) q WHERE dialect = 'pg'")
+def partitioned_files(t: Tables) -> DataFrame:
+    folder = _folder(t, "queries")
+    io.write_partitioned_queries(t.sql(_FILED), folder)
+    layout = "query_id bigint, sql string, database string, dialect string"
+    return t.spark.read.schema(layout).json(folder).filter(F.col("dialect") == "pg")
+
+
+@query(
+    "IO6_sql_dump_lines",
+    """SELECT CAST((SELECT count(*) FROM customer) AS BIGINT) AS value_lines, CAST(ceil((SELECT count(*) FROM customer) / 50) AS BIGINT) AS statements""",
+)
+def dump_lines(t: Tables) -> DataFrame:
+    folder = _folder(t, "dump")
+    rows = t.customer.select("c_custkey", "c_name")
+    io.write_sql_dump(x.database_script({"customer": rows}, {}, {"customer": ["c_custkey"]}, "pg"), folder)
+    lines = t.spark.read.text(folder)
+    return lines.agg(
+        F.count_if(F.col("value").startswith("  (")).alias("value_lines"),
+        F.count_if(F.col("value").startswith("INSERT INTO")).alias("statements"),
+    )
+
+
 _CASES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE NULL END AS name, upper(c_mktsegment) AS other FROM {customer}"
 
 

@@ -453,12 +453,12 @@ for _dialect, _nulls in (("mysql", "FIRST"), ("pg", "LAST"), ("oracle", "LAST"))
 
     @query(
         f"L2_null_order_{_dialect}",
-        f"""SELECT c_custkey, k FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)
-            ORDER BY k ASC NULLS {_nulls}, c_custkey LIMIT 40""",
+        f"""SELECT c_custkey, k, row_number() OVER (ORDER BY k ASC NULLS {_nulls}, c_custkey) AS place
+            FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)""",
     )
     def null_order(t: Tables, dialect: str = _dialect) -> DataFrame:
         rows = t.customer.select("c_custkey", F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k"))
-        return rows.orderBy(d.order_by("k", dialect), "c_custkey").limit(40)
+        return row_numbers(rows, [], [d.order_by("k", dialect), "c_custkey"], "place")
 
 
 @query("L3_page", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 50")

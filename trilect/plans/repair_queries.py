@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trilect.operators import catalog as c
 from trilect.operators import repair as r
+from trilect.operators.ordering import lookup_join
 from trilect.plans.derived import CATALOG, CATALOG_FLAGS
 from trilect.plans.registry import Tables, plain, query
 
@@ -209,9 +210,9 @@ def cascade(t: Tables) -> DataFrame:
     changed = fixed.filter(F.col("name") != F.col("name_old")).select(
         F.col("name_old").alias("old_value"), F.col("name").alias("new_value"), F.col("p_partkey").alias("nth")
     )
-    children = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", "l_linenumber", F.col("p_name").alias("name")
-    )
+    names = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    children = lookup_join(lines, names, ["l_partkey"], counted=True).drop("l_partkey")
     return r.cascade_update(children, "name", changed, "all_to_first")
 
 
