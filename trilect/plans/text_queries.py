@@ -43,7 +43,7 @@ _ORACLE = [
         ELSE {_pinned('oracle', _ORACLE)} END AS sql FROM ({plain(QUERY_TEXTS)}) q""",
 )
 def pin_time(t: Tables) -> DataFrame:
-    return t.sql(QUERY_TEXTS).select("query_id", x.pin_time("sql", "dialect").alias("sql"))
+    return spread(t.sql(QUERY_TEXTS)).select("query_id", x.pin_time("sql", "dialect").alias("sql"))
 
 
 @query(
