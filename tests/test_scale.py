@@ -77,6 +77,11 @@ def test_lookup_join_without_a_broadcast_right(spark, skewed, monkeypatch):
     assert got == skewed.join(right, "k", "left").agg(F.sum("w")).first()[0]
 
 
+def test_wide_rows_are_not_small(spark):
+    few = spark.range(100).select("id", F.lit("x" * 1000).alias("text"), F.array(F.lit("y")).alias("tags"))
+    assert o.small_enough(few) and not o.small_enough(few, size=50_000) and not o.small_enough(few, rows=99)
+
+
 def test_top_rows_are_cut_before_the_exchange(skewed):
     plan = plan_of(rel.top_per_key(skewed, ["k"], [F.col("v")], 2))
     assert plan.count("WindowGroupLimit") >= 2 and plan.index("WindowGroupLimit") < len(plan)

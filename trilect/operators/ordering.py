@@ -12,19 +12,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trilect.functions.columns import as_column
 from trilect.session import cut, store
 
-# A side is broadcast only after it was counted and found at or under this many rows.
+# A side is broadcast only after it was measured and found within both bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20
 # The most frequent keys of a join that get their own broadcast lookup. Every key
 # with more than 1/65 of the rows is among them.
 HOT_KEYS = 64
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; looks at ``rows`` + 1 rows at most."""
+
+    def width(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + F.lit(16)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)) + F.lit(16)
+        return F.lit(16)
+
+    row = reduce(lambda a, b: a + b, [width(f) for f in df.schema.fields], F.lit(16))
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("bigint")).alias("b")).first()
+    return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -101,8 +114,8 @@ def lookup_join(
     Rows with one of the most frequent keys, or with none, join a broadcast of at
     most ``HOT_KEYS`` right rows and are never shuffled; the rest have no hot key.
     ``how`` is inner, left, left_semi or left_anti. ``counted`` says that ``right``
-    is cheap to count (a table, a checkpoint), so that it is broadcast whole when it
-    turns out small.
+    is cheap to measure (a table, a checkpoint), so that it is broadcast whole when
+    it turns out small.
     """
     if counted and small_enough(right):
         return left.join(F.broadcast(right), list(on), how)
