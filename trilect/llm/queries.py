@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trilect.llm.pieces import encode_pieces
 from trilect.llm.quality_rules import quality_rules
 from trilect.llm.shared import table
 
@@ -37,7 +39,7 @@ line AS (SELECT r, l FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FR
 lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM line GROUP BY r),
 m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
          (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
          (length(text) - length(translate(text, '!', '')))::BIGINT AS n_exclaims,
          coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(lines.dup, 0)::BIGINT AS n_dup_lines,
@@ -59,3 +61,18 @@ SELECT *, failed = 0 AS kept, failed & 3 <> 0 AS base_failed FROM f
 @register("op7_quality_rules", QUALITY_SQL)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def tokenizer(name: str = "piece_bpe_32k.model") -> str:
+    """The tokenizer file: TRILECT_TOKENIZERS names another folder than the installed one."""
+    folder = os.environ.get("TRILECT_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer(), digests=True)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,13 @@ def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
 def parts_for(amount: int, each: int) -> int:
     """How many parts of about ``each`` hold ``amount``; at least one."""
     return max(1, math.ceil(amount / each))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about ``limit`` bytes in ``column``, a single row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // limit
+        begins = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows] if batch.num_rows else []
+        for a, b in zip(begins, begins[1:]):
+            yield batch.slice(a, b - a)
