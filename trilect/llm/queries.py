@@ -13,6 +13,7 @@ from trilect.llm.pieces import encode_pieces
 from trilect.llm.quality_rules import quality_rules
 from trilect.llm.shared import table
 from trilect.llm.topk_search import top_k
+from trilect.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,25 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @register("op6_top_k_search", TOP_K_SQL)
 def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+t AS (SELECT html, max(page_id) AS target FROM p GROUP BY html),
+r AS (SELECT p.page_id, p.html, t.target, t.target IS NOT NULL AND p.page_id IS DISTINCT FROM t.target AS again
+      FROM p JOIN t USING (html)),
+b AS (SELECT *, from_hex(sha1(html))::BIT::VARCHAR AS bits FROM r)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
+           + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT
+           + substr(bits, 5 * i + 5, 1)::INT, 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN target END AS refers_to
+FROM b
+"""
+
+
+@register("op9_warc", WARC_SQL)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
