@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trilect.llm.class_lm import score_held_out
 from trilect.llm.mixing import mix_sources
 from trilect.llm.pieces import encode_pieces
 from trilect.llm.quality_rules import quality_rules
@@ -126,3 +127,8 @@ FROM b
 @register("op9_warc", WARC_SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+@register("op10_class_lm")
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
