@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trilect.llm.class_lm import score_held_out
 from trilect.llm.mixing import mix_sources
 from trilect.llm.pieces import encode_pieces
+from trilect.llm.quality_model import score_quality
 from trilect.llm.quality_rules import quality_rules
 from trilect.llm.shared import table
 from trilect.llm.topk_search import top_k
@@ -132,3 +133,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_class_lm")
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
+
+
+@register("op4_quality_model")
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
