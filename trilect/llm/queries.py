@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trilect.llm.class_lm import score_held_out
 from trilect.llm.mixing import mix_sources
+from trilect.llm.ngram_join import ngram_join
 from trilect.llm.pieces import encode_pieces
 from trilect.llm.quality_model import score_quality
 from trilect.llm.quality_rules import quality_rules
@@ -138,3 +139,8 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_quality_model")
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
