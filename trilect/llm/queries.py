@@ -15,6 +15,7 @@ from trilect.llm.pieces import encode_pieces
 from trilect.llm.quality_model import score_quality
 from trilect.llm.quality_rules import quality_rules
 from trilect.llm.shared import table
+from trilect.llm.suffix_dedup import remove_repeats
 from trilect.llm.topk_search import top_k
 from trilect.llm.warc import round_trip
 
@@ -144,3 +145,15 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@register("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
