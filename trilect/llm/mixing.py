@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilect.llm.shared import text_of, word_count
@@ -131,3 +131,21 @@ def mix_sources(
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken")
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them.
+
+    Rows that agree in doc_id, source and size share out their copies by the hash of the text.
+    """
+    keys = ["doc_id", "source", "size"]
+    taken = mix_sources(docs).groupBy(*keys).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    taken = cut(taken.withColumn("n", F.size("copies")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = rows.withColumns({"doc_id": F.col("_doc.doc_id"), "source": F.col("_doc.source"), "size": word_count(text_of(F.col("_doc.text")))})
+    single = null_safe_join(rows, checked_broadcast(taken.filter("n = 1").drop("n")), keys).withColumn("place", F.lit(1))
+    several = null_safe_join(rows, checked_broadcast(taken.filter("n > 1").drop("n")), keys)
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("_doc.text")))
+    several = several.withColumn("place", F.row_number().over(order))
+    each = single.unionByName(several).select("_doc", F.get("copies", F.col("place") - 1).alias("copies")).filter("copies > 0")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")

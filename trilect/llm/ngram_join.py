@@ -135,12 +135,13 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             sets = list(shingle_sets(batch.column(1).to_pylist(), width))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
+                "of_text": batch.column(2),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                 "sketch": pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()),
             })
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, of_text bigint, n_shingles bigint, node binary, sketch binary")
 
 
 def short(node: bytes | Column) -> Column:
@@ -295,11 +296,11 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold)
 
 
 def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    """Per row doc_id, n_shingles and component_id, the smallest doc_id reachable by links; ``of_text`` is a hash of the text."""
     threshold = Threshold(num, den)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     named = source.filter(F.col("doc_id").isNotNull())
-    rows = store(describe(source, width))
+    rows = store(describe(source.withColumn("of_text", F.xxhash64("text")), width))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # About a third of a signature for every shingle at 0.9; more at lower thresholds.
@@ -370,6 +371,23 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
         least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"))
         of_linked = grouped.join(least, "root").select("node", "least")
         best = best.join(of_linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("doc_id"))
-    result = rows.select("doc_id", "n_shingles", "node").join(best.withColumnRenamed("doc_id", "component_id"), "node", "left")
+    result = rows.select("doc_id", "n_shingles", "node", "of_text").join(best.withColumnRenamed("doc_id", "component_id"), "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return result.select("doc_id", "n_shingles", own.alias("component_id"))
+    return result.select("doc_id", "n_shingles", own.alias("component_id"), "of_text")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component, that with the smallest doc_id; rows with a NULL doc_id all stay.
+
+    Where rows share that doc_id, the text with the least hash stays, and of equal rows one.
+    """
+    judged = ngram_join(docs, width, num, den).filter("doc_id = component_id")
+    least = judged.groupBy("doc_id").agg(F.min("of_text").alias("of_text"))
+    counted = judged.groupBy("doc_id", "of_text").agg(F.count(F.lit(1)).alias("n"))
+    stay = cut(least.join(counted, ["doc_id", "of_text"]))
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    hashed = hashed.withColumns({"doc_id": F.col("_doc.doc_id").cast("bigint"), "of_text": F.xxhash64(text_of(F.col("_doc.text")))})
+    single = hashed.join(checked_broadcast(stay.filter("n = 1").drop("n")), ["doc_id", "of_text"], "left_semi")
+    several = hashed.join(checked_broadcast(stay.filter("n > 1").drop("n")), ["doc_id", "of_text"], "left_semi")
+    kept = single.unionByName(several.dropDuplicates(["doc_id"])).unionByName(hashed.filter("doc_id is null"))
+    return kept.select("_doc.*")

@@ -145,7 +145,7 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("of_text")
 
 
 @register("op8_suffix_dedup")

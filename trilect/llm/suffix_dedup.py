@@ -323,17 +323,21 @@ def _remove(texts: pa.Table, covered: pa.Table, schema: pa.Schema) -> pa.Table:
         sizes.append(len(text))
         spans.append(runs)
         kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+    if schema.field("kept").type == pa.string():
+        kept = [k.decode(errors="ignore") for k in kept]
     own = {"n_bytes": sizes, "spans": spans, "kept": kept}
     return pa.table([pa.array(own[f.name], f.type) if f.name in own else texts[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (), as_text: bool = False
+) -> DataFrame:
     """Per row doc_id, n_bytes, spans (begin and end of what was removed, in bytes) and kept, the bytes left.
 
-    Columns named in ``carry`` come along as ``_carried_0``, ``_carried_1`` and so on.
+    With ``as_text`` kept is a string, without the bytes of characters that a span cuts. Columns named in ``carry`` come along as ``_carried_0``, ``_carried_1`` and so on.
     """
     spark = docs.sparkSession
-    carried = [F.col(c).alias(f"_carried_{k}") for k, c in enumerate(carry)]
+    carried = [F.col(f"`{c}`").alias(f"_carried_{k}") for k, c in enumerate(carry)]
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"), *carried)
     total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -374,7 +378,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     result = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", spans),
-        T.StructField("kept", T.BinaryType()), *[source.schema[c] for c in extra],
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[source.schema[c] for c in extra],
     ])
     arrow = to_arrow_schema(result)
     return packed.groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(lambda t, c: _remove(t, c, arrow), result)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` counted anew."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    done = remove_repeats(docs, carry=rest, as_text=True)
+    values = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    values |= {c: F.col(f"_carried_{k}") for k, c in enumerate(rest)}
+    return done.select(*[values[c].alias(c) for c in docs.columns])
