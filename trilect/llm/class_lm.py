@@ -141,7 +141,8 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, total: int, cla
             inner = matrix.diagonal()
             gain = (g(matrix + after) - g(matrix)).sum(1) + (g(matrix.T + before) - g(matrix.T)).sum(1)
             gain += g(inner + after + before + itself) + g(inner) - g(inner + after) - g(inner + before)
-            for sums, own in ((matrix.sum(1), after.sum() + itself), (matrix.sum(0), before.sum() + itself)):
+            # Whatever class takes the symbol, the others keep their pairs with it in their totals.
+            for sums, own in ((matrix.sum(1) + before, after.sum() + itself), (matrix.sum(0) + after, before.sum() + itself)):
                 gain -= g(sums + own) - g(sums)
             gain[-1] = -np.inf
             best = int(np.argmax(gain))

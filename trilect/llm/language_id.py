@@ -60,7 +60,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
                 found += np.bincount(trigrams(t), minlength=BUCKETS)
             for name, counts in sums.items():
                 there = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_pydict({"lang": [name] * len(there), "bucket": pa.array(there, pa.int32()), "n": counts[there]})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(there), pa.string()), "bucket": pa.array(there, pa.int32()), "n": counts[there]})
 
     counted = store(source.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     known = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
