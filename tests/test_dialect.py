@@ -59,7 +59,7 @@ def test_regexp_replace_first_match_behind_a_line_break(spark):
 
 
 def test_regexp_replace_backreference_in_pattern(spark):
-    assert one(spark, d.regexp_replace(F.lit("abccdd"), r"([a-z])\1", "<$1>", "pg")) == "ab<c>dd"
+    assert one(spark, d.regexp_replace(F.lit("abccdd"), r"([a-z])\1", r"<\1>", "pg")) == "ab<c>dd"
 
 
 def test_truncate_goes_toward_zero(spark):
@@ -123,3 +123,34 @@ def test_null_order(spark):
 
 def test_posix_classes():
     assert d.regex("[[:space:]]*[^[:digit:]]") == r"[\s]*[^0-9]"
+
+
+def test_hard_numbers(spark):
+    t = lambda x, n: one(spark, d.truncate(F.lit(x), n))
+    assert [t(1234.5, -2), t(-1234.5, -2), t(-7.89, 1), t(0.123456789012345, 12), t(1e22, 2), t(1.5e20, -19)] == [
+        1200.0, -1200.0, -7.8, 0.123456789012, 1e22, 1.5e20,
+    ]
+    f = lambda x, dialect, n=2: one(spark, d.number_format(F.lit(x), n, dialect))
+    assert [f(-5.5, "oracle"), f(-0.5, "pg"), f(0.25, "oracle"), f(-1234567.891, "mysql"), f(-0.5, "mysql")] == [
+        "-5.50", "-.50", ".25", "-1,234,567.89", "-0.50",
+    ]
+    assert f(1e16, "oracle") == "10,000,000,000,000,000.00"
+    assert one(spark, d.greatest(F.lit(3), dialect="pg")) == 3
+
+
+def test_replacement_text(spark):
+    r = lambda text, pattern, new, dialect: one(spark, d.regexp_replace(F.lit(text), pattern, new, dialect))
+    assert r("a1b2", "[0-9]", "$", "pg") == "a$b2" and r("a1b2", "[0-9]", "$1", "oracle") == "a$1b2"
+    assert r("a1", "([0-9])", r"\\\1", "pg") == r"a\1" and r("a1b2", "([0-9])", "<$1>", "mysql") == "a<1>b<2>"
+
+
+@pytest.mark.parametrize("pattern,dialect", [("%D", "mysql"), ("%Y %u", "mysql"), ("IW", "pg"), ("YYYY-D", "oracle"), ("YYYYT", "pg")])
+def test_unknown_format_codes_raise(pattern, dialect):
+    with pytest.raises(ValueError, match="unknown format code"):
+        d.date_format(F.lit("2024-01-02").cast("date"), pattern, dialect)
+
+
+def test_literal_letters(spark):
+    when = F.lit("2024-01-02").cast("date")
+    assert one(spark, d.date_format(when, '"Year" YYYY"-T-"MM', "pg")) == "Year 2024-T-01"
+    assert one(spark, d.date_format(when, "%Y%% %m", "mysql")) == "2024% 01"

@@ -49,7 +49,7 @@ def log(x: str | Column, dialect: str) -> Column:
 
 def greatest(*columns: str | Column, dialect: str) -> Column:
     cols = [as_column(c) for c in columns]
-    largest = F.greatest(*cols)
+    largest = F.greatest(*cols) if len(cols) > 1 else cols[0]
     if rule("greatest_with_null", dialect) == "skip":
         return largest
     any_null = cols[0].isNull()
@@ -69,12 +69,19 @@ def divide(a: str | Column, b: str | Column, dialect: str, integers: bool = Fals
     return a / guarded
 
 
+# Doubles from here on have no digits after the point; below it 18 of them fit a decimal.
+_WHOLE_FROM = 1e15
+
+
 def truncate(x: str | Column, digits: int) -> Column:
-    """TRUNCATE / TRUNC: drop digits after ``digits`` places, toward zero, in decimal."""
-    exact = as_column(x).cast("decimal(28,8)")
-    shift = F.lit(10**digits).cast("decimal(10,0)")
-    whole = F.floor(F.abs(exact) * shift).cast("decimal(28,0)")
-    return (F.signum(exact) * whole.cast("double") / F.lit(float(10**digits))).cast("double")
+    """TRUNCATE / TRUNC: drop digits after ``digits`` places, toward zero, in decimal; ``digits`` may be negative."""
+    value = as_column(x)
+
+    def cut(exact: Column) -> Column:
+        return F.when(exact < 0, F.ceil(exact, F.lit(digits))).otherwise(F.floor(exact, F.lit(digits))).cast("double")
+
+    large = value.cast("double") if digits >= 0 else cut(value.cast("decimal(38,0)"))
+    return F.when(F.abs(value) < F.lit(_WHOLE_FROM), cut(value.cast("decimal(38,18)"))).otherwise(large)
 
 
 def to_signed(x: str | Column) -> Column:
@@ -95,11 +102,13 @@ def to_date(x: str | Column) -> Column:
 
 
 def number_format(x: str | Column, digits: int, dialect: str) -> Column:
-    """FORMAT(x, n) or TO_CHAR(x, 'FM999,999,999.00')."""
-    value = F.round(as_column(x).cast("decimal(28,8)"), digits).cast(f"decimal(28,{digits})")
-    if dialect == "mysql":
-        return F.format_number(value, digits)
-    return F.trim(F.to_char(value, F.lit("999,999,999,999,999." + "0" * digits)))
+    """FORMAT(x, n) or TO_CHAR(x, 'FM999,999,999.00'); the mask of the latter has no leading zero."""
+    value = as_column(x)
+    fraction = F.round(value.cast("decimal(38,18)"), digits)
+    text = F.when(F.abs(value) < F.lit(_WHOLE_FROM), F.format_number(fraction, digits)).otherwise(
+        F.format_number(value.cast("decimal(38,0)"), digits)
+    )
+    return text if dialect == "mysql" else F.regexp_replace(text, r"^(-?)0\.", "$1.")
 
 
 # --- nulls and text ----------------------------------------------------------
@@ -150,18 +159,36 @@ POSIX_CLASSES = {
 }
 
 
+def _java_replacement(replacement: str, dialect: str, moved: int = 0) -> str:
+    """A replacement in Java's spelling, with group numbers raised by ``moved``.
+
+    In pg and oracle a dollar sign is itself, ``\\1`` a group and ``\\\\`` a backslash;
+    mysql writes groups as ``$1``.
+    """
+
+    def piece(m: re.Match[str]) -> str:
+        if m["group"]:
+            return f"${int(m['group'][1:]) + moved}"
+        if m["dollar"]:
+            return r"\$"
+        return r"\\"
+
+    dollar = "(?!)" if dialect == "mysql" else r"\$"
+    group = r"[\\$]\d" if dialect == "mysql" else r"\\\d"
+    return re.sub(rf"(?P<group>{group})|(?P<dollar>{dollar})|\\\\?", piece, replacement)
+
+
 def regexp_replace(s: str | Column, pattern: str, replacement: str, dialect: str, flags: str = "") -> Column:
     """REGEXP_REPLACE with the dialect's default scope; ``flags='g'`` forces all matches.
 
     First-only scope is one native call: the text before the first match is
-    captured and put back, so group numbers move up by one.
+    captured and put back, so group numbers move up by two.
     """
-    java = re.sub(r"\\(\d)", r"$\1", replacement)
     if rule("regexp_replace", dialect) == "all" or "g" in flags:
-        return F.regexp_replace(as_column(s), regex(pattern), java)
-    moved_pattern = re.sub(r"\\([1-9])", lambda m: f"\\{int(m.group(1)) + 1}", regex(pattern))
-    moved = re.sub(r"\$(\d)", lambda m: f"${int(m.group(1)) + 1}", java)
-    return F.regexp_replace(as_column(s), rf"\A([\s\S]*?)(?:{moved_pattern})", f"$1{moved}")
+        return F.regexp_replace(as_column(s), regex(pattern), _java_replacement(replacement, dialect))
+    inner = re.sub(r"\\([1-9])", lambda m: f"\\{int(m.group(1)) + 2}", regex(pattern))
+    java = _java_replacement(replacement, dialect, moved=2)
+    return F.regexp_replace(as_column(s), rf"\A([\s\S]*?)({inner})", f"$1{java}")
 
 
 def hex_text(s: str | Column) -> Column:
@@ -237,6 +264,27 @@ TO_CHAR_CODES = {
 _NAME_CODES = {"MONTH", "MON", "DAY", "DY"}
 _PADDED_CODES = {"MONTH", "DAY"}
 _TO_CHAR = re.compile("|".join(sorted(TO_CHAR_CODES, key=len, reverse=True)), re.IGNORECASE)
+_IN_QUOTES = re.compile(r'"([^"]*)"')
+
+
+def _literal(text: str) -> str:
+    """Text between TO_CHAR codes: what stands in double quotes, and signs; any other letter is no code."""
+    out, at = "", 0
+    for m in [*_IN_QUOTES.finditer(text), None]:
+        plain = text[at : m.start()] if m else text[at:]
+        if unknown := re.search(r"[A-Za-z]+", plain):
+            raise ValueError(f"unknown format code: {unknown[0]}")
+        out += plain + (m[1] if m else "")
+        at = m.end() if m else at
+    return _quoted(out)
+
+
+def _percent_code(letter: str) -> str:
+    if letter in PERCENT_CODES:
+        return PERCENT_CODES[letter]
+    if letter.isalpha():
+        raise ValueError(f"unknown format code: %{letter}")
+    return _quoted(letter)
 
 
 def _quoted(literal: str) -> str:
@@ -246,13 +294,14 @@ def _quoted(literal: str) -> str:
 def date_format(d: str | Column, pattern: str, dialect: str, blank_padded: bool = False) -> Column:
     """DATE_FORMAT with %-codes (mysql) or TO_CHAR codes (pg, oracle).
 
-    ``blank_padded`` gives TO_CHAR's fixed-width names of days and months.
+    ``blank_padded`` gives TO_CHAR's fixed-width names of days and months. A code that
+    isn't in the tables raises a ValueError; literal letters of TO_CHAR stand in double quotes.
     """
     d = as_column(d)
     if dialect == "mysql":
         java = re.sub(
             r"%(.)|([^%]+)",
-            lambda m: PERCENT_CODES.get(m.group(1), _quoted(m.group(1))) if m.group(1) else _quoted(m.group(2)),
+            lambda m: _percent_code(m.group(1)) if m.group(1) else _quoted(m.group(2)),
             pattern,
         )
         return F.date_format(d, java)
@@ -260,8 +309,10 @@ def date_format(d: str | Column, pattern: str, dialect: str, blank_padded: bool
     pieces: list[Column] = []
     plain = ""
     at = 0
-    for m in _TO_CHAR.finditer(pattern):
-        plain += _quoted(pattern[at : m.start()])
+    # Codes inside double quotes are text.
+    hidden = _IN_QUOTES.sub(lambda m: " " * len(m[0]), pattern)
+    for m in _TO_CHAR.finditer(hidden):
+        plain += _literal(pattern[at : m.start()])
         at = m.end()
         code = m.group(0).upper()
         cased = code in _NAME_CODES and (m.group(0).isupper() or m.group(0).islower())
@@ -275,7 +326,7 @@ def date_format(d: str | Column, pattern: str, dialect: str, blank_padded: bool
         if cased:
             name = F.upper(name) if m.group(0).isupper() else F.lower(name)
         pieces.append(F.rpad(name, 9, " ") if blank_padded and code in _PADDED_CODES else name)
-    plain += _quoted(pattern[at:])
+    plain += _literal(pattern[at:])
     if plain:
         pieces.append(F.date_format(d, plain))
     return pieces[0] if len(pieces) == 1 else F.concat(*pieces)

@@ -101,6 +101,15 @@ def regexp_groups(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(d.regexp_replace("text", "([a-z]+) ([a-z]+)", r"\2 \1", "pg")).alias("v"))
 
 
+@per_dialect(
+    "D6_regexp_replace_dollar",
+    {d_: rf"SELECT doc_id, md5(regexp_replace(text, '([a-z]+)[.]', '$1 \1 $'{g})) AS v FROM documents" for d_, g in (("pg", ""), ("oracle", ""))},
+    ("pg", "oracle"),
+)
+def regexp_dollar(t: Tables, dialect: str) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(d.regexp_replace("text", "([a-z]+)[.]", r"$1 \1 $", dialect)).alias("v"))
+
+
 @query("D7_null_substitute", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS v FROM customer")
 def null_substitute(t: Tables) -> DataFrame:
     return t.customer.select(
@@ -133,6 +142,21 @@ def truncate(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", d.truncate(F.col("s_acctbal") / 7 - 300, 1).alias("v"))
 
 
+@query(
+    "D9_truncate_places",
+    """SELECT c_custkey, trunc(c_acctbal / 100) * 100 + 0 AS hundreds, c_acctbal * 1e18 AS huge,
+              CAST('-' || c_custkey || '.123456789012' AS DOUBLE) AS places FROM customer""",
+)
+def truncate_places(t: Tables) -> DataFrame:
+    long = F.concat(F.lit("-"), F.col("c_custkey").cast("string"), F.lit(".123456789012987")).cast("decimal(25,15)")
+    return t.customer.select(
+        "c_custkey",
+        d.truncate("c_acctbal", -2).alias("hundreds"),
+        d.truncate(F.col("c_acctbal") * F.lit(1e18), 2).alias("huge"),
+        d.truncate(long, 12).alias("places"),
+    )
+
+
 _FORMAT = "SELECT event_id, strftime(ts, '{}') AS v FROM events"
 
 
@@ -157,6 +181,19 @@ def padded_format(t: Tables) -> DataFrame:
     return t.events.select("event_id", d.date_format("ts", "Day, MONTH DD", "oracle", blank_padded=True).alias("v"))
 
 
+@per_dialect(
+    "D10_date_format_codes",
+    {
+        "mysql": "SELECT event_id, strftime(ts, '%a %b %-d %j %H:%M:%S %y %-m') AS v FROM events",
+        "oracle": "SELECT event_id, strftime(ts, '%a %b %d %j %H:%M:%S %y') || ' Q ' || quarter(ts) AS v FROM events",
+    },
+    ("mysql", "oracle"),
+)
+def date_codes(t: Tables, dialect: str) -> DataFrame:
+    pattern = "%a %b %e %j %T %y %c" if dialect == "mysql" else 'Dy Mon DD DDD HH24:MI:SS YY "Q" Q'
+    return t.events.select("event_id", d.date_format("ts", pattern, dialect).alias("v"))
+
+
 @query(
     "D11_date_parts",
     """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m,
@@ -245,6 +282,19 @@ def number_format(t: Tables, dialect: str) -> DataFrame:
     return t.orders.select("o_orderkey", d.number_format("o_totalprice", 2, dialect).alias("v"))
 
 
+_SIGNED = "SELECT c_custkey, {} AS v, {} AS small FROM (SELECT *, format('{{:,.2f}}', c_acctbal) AS f, format('{{:,.2f}}', round(c_acctbal / 20000, 2) + 0.0) AS g FROM customer)"
+
+
+@per_dialect(
+    "D19_number_format_signed",
+    {"mysql": _SIGNED.format("f", "g"), "oracle": _SIGNED.format(*[rf"regexp_replace({c}, '^(-?)0\.', '\1.')" for c in "fg"])},
+    ("mysql", "oracle"),
+)
+def number_format_signed(t: Tables, dialect: str) -> DataFrame:
+    small = F.round(F.col("c_acctbal") / 20000, 2)
+    return t.customer.select("c_custkey", d.number_format("c_acctbal", 2, dialect).alias("v"), d.number_format(small, 2, dialect).alias("small"))
+
+
 @per_dialect("D20_json_text", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events", ("mysql", "oracle"))
 def json_text(t: Tables, dialect: str) -> DataFrame:
     value = d.json_text("props", "$.k") if dialect == "mysql" else d.json_text_by_regex("props", "k")
