@@ -70,3 +70,10 @@ def test_markup(spark):
     assert one(spark, x.strip_markup(F.lit("<b>abcdef</b>"), 4)) == "abcd..."
     assert one(spark, x.strip_markup(F.lit("<b>abcdef</b>"), 4, dots=False)) == "abcd"
     assert one(spark, x.strip_markup(F.lit(None).cast("string"), 4)) == ""
+
+
+def test_aliases_stay_behind_any_white_space(spark):
+    rows = [(k, f"SELECT 1 AS{' ' * k}current_date, CURRENT_DATE AS\n\t  Current_Timestamp") for k in range(1, 41)]
+    df = spark.createDataFrame(rows, "k int, sql string")
+    for k, got in df.select("k", x.pin_time("sql", F.lit("pg"))).collect():
+        assert got == f"SELECT 1 AS{' ' * k}current_date, '2024-06-15'::date AS\n\t  Current_Timestamp"
