@@ -115,3 +115,28 @@ def test_short_identifiers_stay_distinct(spark):
     names = spark.range(500).select(F.lit("d").alias("db"), F.concat(F.lit("x" * 40), F.col("id").cast("string")).alias("name"))
     got = c.shorten_identifiers(names, ["db"], "name").collect()
     assert len({x["short_name"].upper() for x in got}) == 500 and all(len(x["short_name"]) == 30 for x in got)
+
+
+def test_short_names_are_unique_whatever_clashes(spark):
+    stem = "customer_order_line_item_extra_"
+    names = [stem + str(k) for k in range(20_000)] + [stem.upper() + str(k) for k in range(500)]
+    df = spark.createDataFrame([("d", n) for n in names], "db string, name string")
+    got = c.shorten_identifiers(df, ["db"], "name").collect()
+    assert len(got) == len(names) and len({r.short_name.upper() for r in got}) == len(names)
+    assert max(len(r.short_name) for r in got) == 30
+
+
+def test_ddl_with_brackets_of_any_depth(spark):
+    deep = "CHECK (" + "(" * 12 + "s = ANY (ARRAY['a'::text, 'b);,('::text])" + ")" * 12 + ")"
+    ddl = f"""
+        CREATE TABLE IF NOT EXISTS shop."first" (id int PRIMARY KEY, s varchar(10) NOT NULL, -- ); no end
+            /* CREATE TABLE x (y int); */ CONSTRAINT k {deep}, price decimal(10, 2));
+        CREATE TYPE mood AS ENUM ('sad', 'it''s (ok), fine');
+        create unlogged table second (a int, m mood, UNIQUE (a)) ENGINE=InnoDB;
+        CREATE TABLE broken id int;
+        CREATE TABLE unended (id int
+    """
+    df = spark.createDataFrame([("d", "pg", ddl), ("e", "pg", None)], "db string, dialect string, ddl string")
+    got = [(r.table_name, r.column_name) for r in c.catalog_from_ddl(df).orderBy("table_name", "ordinal").collect()]
+    assert got == [("first", "id"), ("first", "s"), ("first", "price"), ("second", "a"), ("second", "m")]
+    assert [r.statement for r in c.ddl_rejects(df).collect()] == ["CREATE TABLE broken id int"]

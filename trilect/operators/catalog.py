@@ -7,14 +7,16 @@ nullable, is_pk, is_auto, is_unique, max_length, allowed_values). Foreign keys:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilect.functions.columns import as_column
-from trilect.operators.ordering import lookup_join
+from trilect.operators.ordering import lookup_join, null_safe_join, positions
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
 from trilect.session import cut, cut_round
@@ -139,15 +141,91 @@ def catalog_from_frames(frames: dict[str, DataFrame], db: str, primary_keys: dic
     return reduce(DataFrame.unionByName, out)
 
 
-_STRING = r"'(?:[^'\\]|\\.|'')*+'"
-_LEVEL2 = rf"\((?:[^()']++|{_STRING})*+\)"
-_LEVEL1 = rf"\((?:[^()']++|{_STRING}|{_LEVEL2})*+\)"
-_CREATE_TABLE = (
-    r"(?is)CREATE\s+(?:UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?"
-    rf'[`"]?(\w+)[`"]?\s*\(((?:[^()\']++|{_STRING}|{_LEVEL1})*+)\)[^;]*;'
+# A token of DDL text: a comment, a quoted text or name, a bracket, comma or end, or other text.
+_TOKEN = re.compile(
+    r"""--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\]|\\.|\'\')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|[(),;]|\s+|[^\s'"`(),;/-]+|.""", re.DOTALL
 )
-_PART = rf"((?:[^,()']++|{_STRING}|{_LEVEL1})++)"
-_CREATE_ENUM = r"(?is)CREATE\s+TYPE\s+[`\"]?(\w+)[`\"]?\s+AS\s+ENUM\s*\(([^)]+)\)"
+_QUOTES = "`\""
+
+
+def _statements(ddl: str) -> Iterator[list[str]]:
+    """The tokens of each statement, without comments, white space as one blank."""
+    tokens: list[str] = []
+    for m in _TOKEN.finditer(ddl):
+        token = m[0]
+        if token == ";":
+            yield tokens
+            tokens = []
+        elif not token.startswith(("--", "/*")):
+            tokens.append(" " if token.isspace() else token)
+    # A statement without an end is still being written and is left out.
+
+
+def _bracketed(tokens: list[str], at: int) -> list[str]:
+    """The comma-separated parts between the bracket at ``at`` and its partner, at any depth; none without a partner."""
+    parts, depth = [""], 0
+    for k in range(at, len(tokens)):
+        token = tokens[k]
+        depth += (token == "(") - (token == ")")
+        if depth == 0:
+            return [" ".join(p.split()) for p in parts if p.strip()]
+        if k == at:
+            continue
+        if token == "," and depth == 1:
+            parts.append("")
+        else:
+            parts[-1] += token
+    return []
+
+
+def read_ddl(ddl: str) -> tuple[list[tuple[str, list[str]]], list[tuple[str, list[str]]], list[str]]:
+    """Tables and enumerated types of a DDL text, with their parts, and statements that can't be read."""
+    tables, enums, rejects = [], [], []
+    for tokens in _statements(ddl):
+        words = [(k, t.upper()) for k, t in enumerate(tokens) if t != " "]
+        if not words or words[0][1] != "CREATE":
+            continue
+        kind = next((n for n, (_, w) in enumerate(words[1:4], 1) if w in ("TABLE", "TYPE")), None)
+        if kind is None:
+            continue
+        opens = next((k for k, w in words[kind:] if w == "("), None)
+        parts = _bracketed(tokens, opens) if opens is not None else []
+        heading = "".join(tokens[words[kind][0] + 1 : opens]).split()
+        if [w.upper() for w in heading[:3]] == ["IF", "NOT", "EXISTS"]:
+            heading = heading[3:]
+        name = heading[0].split(".")[-1].strip(_QUOTES) if heading else ""
+        if words[kind][1] == "TYPE":
+            if [w.upper() for w in heading[1:]] == ["AS", "ENUM"]:
+                enums.append((name, parts))
+        elif name and parts and len(heading) == 1:
+            tables.append((name, parts))
+        else:
+            rejects.append("".join(tokens).strip())
+    return tables, enums, rejects
+
+
+_READ = "struct<tables:array<struct<table_name:string,parts:array<string>>>,enums:array<struct<type:string,labels:array<string>>>,rejects:array<string>>"
+
+
+def _read_ddl(ddl: DataFrame) -> DataFrame:
+    """(db, dialect, ddl) with what ``read_ddl`` finds in each file.
+
+    Brackets nest to any depth, which no regular expression follows, so each file's text
+    is read by a small function; files are independent.
+    """
+
+    @F.pandas_udf(_READ)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_ddl(t or "") for t in texts], columns=["tables", "enums", "rejects"])
+
+    return ddl.select("db", "dialect", read("ddl").alias("_read"))
+
+
+def ddl_rejects(ddl: DataFrame) -> DataFrame:
+    """(db, dialect, statement): CREATE TABLE statements that give no catalog rows."""
+    return _read_ddl(ddl).select("db", "dialect", F.explode("_read.rejects").alias("statement"))
+
+
 _COLUMN = r'(?is)^(?:[`"]([^`"]+)[`"]|(\w+))\s+(?:[`"]([^`"]+)[`"]|(\w+(?:\s*\([^)]*\))?))(.*)$'
 _CHECK_IN = r'(?is)CHECK\s*\(\s*[`"]?(\w+)[`"]?\s+IN\s*\(([^)]+)\)'
 _FOREIGN_KEY = r'(?is)FOREIGN\s+KEY\s*\(([^)]+)\)\s*REFERENCES\s+[`"]?(\w+)[`"]?\s*\(([^)]+)\)'
@@ -168,27 +246,8 @@ def _labels(listed: Column) -> Column:
 
 def _ddl_tables(ddl: DataFrame) -> DataFrame:
     """(db, dialect, enums, table_name, parts) from (db, dialect, ddl)."""
-    bare = F.regexp_replace(F.regexp_replace("ddl", r"/\*[\s\S]*?\*/", ""), r"--[^\n]*", "")
-    text = ddl.select("db", "dialect", bare.alias("_ddl"))
-    enums = F.arrays_zip(
-        _all(F.col("_ddl"), _CREATE_ENUM, 1).alias("type"), _all(F.col("_ddl"), _CREATE_ENUM, 2).alias("labels")
-    )
-    statements = text.select(
-        "db",
-        "dialect",
-        enums.alias("_enums"),
-        F.posexplode_outer(_all(F.col("_ddl"), _CREATE_TABLE, 0)).alias("_at", "_stmt"),
-    ).filter(F.col("_stmt").isNotNull())
-    body = F.regexp_extract("_stmt", _CREATE_TABLE, 2)
-    return statements.select(
-        "db",
-        "dialect",
-        "_enums",
-        F.regexp_extract("_stmt", _CREATE_TABLE, 1).alias("table_name"),
-        F.filter(F.transform(_all(body, _PART, 1), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "").alias(
-            "_parts"
-        ),
-    )
+    found = _read_ddl(ddl).select("db", "dialect", F.col("_read.enums").alias("_enums"), F.explode("_read.tables").alias("_t"))
+    return found.select("db", "dialect", "_enums", "_t.table_name", F.col("_t.parts").alias("_parts"))
 
 
 _TABLE_PART = r"(?i)^(PRIMARY KEY|FOREIGN KEY|CONSTRAINT|UNIQUE|INDEX|KEY[\s(]|KEY$|CHECK[\s(]|CHECK$)"
@@ -239,10 +298,11 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
     labels = F.coalesce(
         _labels(F.regexp_extract(F.try_element_at(check, F.lit(1)), _CHECK_IN, 2)),
         F.when(F.upper("_type").rlike(r"^ENUM\s*\("), _labels(F.col("_type"))),
-        _labels(
+        F.transform(
             F.try_element_at(
                 F.filter("_enums", lambda e: F.lower(e["type"]) == F.lower(F.col("_type"))), F.lit(1)
-            )["labels"]
+            )["labels"],
+            lambda x: F.regexp_replace(x, "^'|'$", ""),
         ),
     )
     length = F.regexp_extract("_type", r"(?i)(?:VARCHAR2?|CHAR)\s*\((\d+)", 1)
@@ -647,25 +707,35 @@ def reconcile_names(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def shorten_identifiers(names: DataFrame, scope: Sequence[str], name: str, max_len: int = 30) -> DataFrame:
-    """(scope, name, short_name): long names cut and closed with 4 md5 digits, clashes numbered."""
+    """(scope, name, short_name): names over ``max_len`` cut and closed with 4 md5 digits, unique within a scope.
+
+    Short forms differ in more than case. Of names with one form the first keeps it; the
+    others are cut further and numbered, with two digits while these last. A number whose
+    form some name has already is left for the next width, as is a name past the numbers of
+    a width; each round handles only the names that still clash.
+    """
     distinct = names.select(*scope, name).distinct()
-    cut_name = F.concat(F.left(F.col(name), F.lit(max_len - 4)), F.left(F.md5(name), F.lit(4)))
-    long = distinct.filter(F.char_length(name) > max_len).withColumn("_cut", cut_name)
-    nth = F.row_number().over(Window.partitionBy(*scope, F.upper("_cut")).orderBy(name)) - 1
-    return long.withColumn("_nth", nth).select(
-        *scope,
-        name,
-        F.when(F.col("_nth") == 0, F.col("_cut"))
-        .otherwise(
-            F.concat(
-                F.left(F.col("_cut"), F.lit(max_len - 2)),
-                F.when(F.col("_nth") < 10, F.concat(F.lit("0"), F.col("_nth").cast("string"))).otherwise(
-                    F.col("_nth").cast("string")
-                ),
-            )
-        )
-        .alias("short_name"),
-    )
+    form = F.concat(F.left(F.col(name), F.lit(max_len - 4)), F.left(F.md5(name), F.lit(4)))
+    long = distinct.filter(F.char_length(name) > max_len).withColumn("_form", form)
+    keyed = long.withColumn("_key", F.upper("_form"))
+    nth = cut(positions(keyed, [name], [*scope, "_key"], "_nth"))
+    done = nth.filter("_nth = 1").select(*scope, name, F.col("_form").alias("short_name"))
+    rest, width = nth.filter("_nth > 1").select(*scope, name, "_form"), 2
+    while not rest.isEmpty():
+        if width > max_len:
+            raise ValueError(f"{max_len} characters are too few for the clashing names")
+        stem = F.left("_form", F.lit(max_len - width))
+        least = 0 if width == 2 else 10 ** (width - 1) - 1
+        grouped = rest.withColumn("_stem", stem).withColumn("_key", F.upper(stem))
+        tried = cut(positions(grouped, [name], [*scope, "_key"], "_n").withColumn("_n", F.col("_n") + F.lit(least)))
+        number = F.lpad(F.col("_n").cast("string"), width, "0")
+        formed = tried.filter(F.col("_n") < 10**width).withColumn("short_name", F.concat("_stem", number))
+        taken = done.select(*scope, F.upper("short_name").alias("_key")).withColumn("_used", F.lit(True))
+        met = cut(null_safe_join(formed.withColumn("_key", F.upper("short_name")), taken, [*scope, "_key"], "left"))
+        done = cut(done.unionByName(met.filter("_used is null").select(*scope, name, "short_name")))
+        left = tried.filter(F.col("_n") >= 10**width).unionByName(met.filter("_used").select(*tried.columns))
+        rest, width = cut(left.select(*scope, name, "_form")), width + 1
+    return done
 
 
 def normalize_identifier(name: str | Column) -> Column:
