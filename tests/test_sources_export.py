@@ -14,7 +14,7 @@ def test_query_corpus(spark, tmp_path):
     source = [{"query_id": 1, "difficulty": "easy", "sql": "SELECT 1", "database": "d", "dialect": "mysql"}, {"query_id": 2, "sql": "x"}]
     (tmp_path / "q.json").write_text(json.dumps(source, indent=2))
     rows = io.read_query_corpus(spark, str(tmp_path / "q.json")).orderBy("query_id").collect()
-    assert [(r["query_id"], r["dialect"]) for r in rows] == [(1, "mysql"), (2, None)]
+    assert [(r["query_id"], r["dialect"]) for r in rows] == [("1", "mysql"), ("2", None)]
     (tmp_path / "t.json").write_text(json.dumps([{"query_id": 1, "translated_sql": "SELECT 2"}]))
     assert io.read_query_corpus(spark, str(tmp_path / "t.json"), io.TRANSLATED_QUERY).first()["translated_sql"] == "SELECT 2"
 
@@ -128,3 +128,12 @@ def test_pairs_are_run_and_graded(spark, tmp_path):
     row = report.first()
     assert (row["total_queries"], row["target_exec_ok"], row["results_match"]) == (6, 4, 2)
     assert row["execution_score"] == "66.7%"
+
+
+def test_records_that_can_not_be_used_are_named(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"query_id": "oracle_extra_3", "sql": "SELECT 1"}, {"query_id": 7}, {"sql": "SELECT 2"}]')
+    (tmp_path / "b.json").write_text('[{"query_id": 8}, {broken]')
+    kept = io.read_query_corpus(spark, str(tmp_path)).collect()
+    assert sorted(r.query_id for r in kept) == ["7", "oracle_extra_3"]
+    rejects = {(r.file.rpartition("/")[2], r.reason) for r in io.query_corpus_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {("a.json", "no id"), ("b.json", "not json")}

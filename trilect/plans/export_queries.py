@@ -215,15 +215,69 @@ def report_files(t: Tables) -> DataFrame:
     )
 
 
+_RECORDS = """
+    SELECT CASE o_orderkey % 7
+             WHEN 0 THEN concat('{{"query_id": ', o_orderkey, ', broken')
+             WHEN 1 THEN concat('{{"difficulty": "easy", "sql": "SELECT ', o_orderkey, '"}}')
+             WHEN 2 THEN concat('{{"query_id": ', o_orderkey, ', "sql": "SELECT ', o_orderkey, '"}}')
+             ELSE concat('{{"query_id": "ex_', o_orderkey, '", "sql": "SELECT ', o_orderkey, '"}}') END AS value
+    FROM {orders}"""
+
+
+def _corpus(t: Tables) -> str:
+    folder = _folder(t, "corpus")
+    t.sql(_RECORDS).write.text(folder)
+    return folder
+
+
+@query(
+    "IO1_read_query_corpus",
+    """SELECT CASE WHEN o_orderkey % 7 = 2 THEN '' ELSE 'ex_' END || o_orderkey AS query_id, 'SELECT ' || o_orderkey AS sql
+       FROM orders WHERE o_orderkey % 7 > 1""",
+)
+def query_corpus(t: Tables) -> DataFrame:
+    return io.read_query_corpus(t.spark, _corpus(t), lines=True).select("query_id", "sql")
+
+
+@query(
+    "IO1_rejects",
+    """SELECT CASE o_orderkey % 7 WHEN 0 THEN 'not json' ELSE 'no id' END AS reason,
+              CASE o_orderkey % 7 WHEN 0 THEN '{"query_id": ' || o_orderkey || ', broken'
+                   ELSE '{"difficulty":"easy","sql":"SELECT ' || o_orderkey || '"}' END AS record
+       FROM orders WHERE o_orderkey % 7 < 2""",
+)
+def query_corpus_rejects(t: Tables) -> DataFrame:
+    return io.query_corpus_rejects(t.spark, _corpus(t), lines=True).select("reason", "record")
+
+
+@query(
+    "IO2_read_differences",
+    "SELECT 'd' || p_partkey AS id, p_name AS feature, p_brand AS category, p_type AS requirement FROM part",
+)
+def differences(t: Tables) -> DataFrame:
+    folder = _folder(t, "differences")
+    entry = F.struct(
+        F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("feature"),
+        F.col("p_brand").alias("category"),
+        F.struct(F.array("p_type").alias("query_requirements")).alias("test_requirements"),
+    )
+    # A file of about a hundred entries each.
+    files = t.part.groupBy(F.floor(F.col("p_partkey") / 100).alias("f")).agg(F.collect_list(entry).alias("differences"))
+    files.select(F.to_json(F.struct("differences")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    read = io.explode_requirements(io.read_differences(t.spark, folder))
+    return read.select("id", "feature", "category", "requirement")
+
+
 _FILED = f"SELECT query_id, 'db' || CAST(query_id % 12 AS STRING) AS database, dialect, sql FROM ({QUERY_TEXTS}) q"
 
 
-@query("IO5_partitioned_query_files", f"SELECT query_id, database, dialect, sql FROM ({plain(_FILED)}) q WHERE dialect = 'pg'")
+@query("IO5_partitioned_query_files", f"SELECT query_id, database, dialect, sql FROM ({plain(_FILED)}) q")
 def partitioned_files(t: Tables) -> DataFrame:
     folder = _folder(t, "queries")
     io.write_partitioned_queries(t.sql(_FILED), folder)
     layout = "query_id bigint, sql string, database string, dialect string"
-    return t.spark.read.schema(layout).json(folder).filter(F.col("dialect") == "pg")
+    return t.spark.read.schema(layout).json(folder)
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 # Record layouts, stated so that no read ever infers a schema.
 SOURCE_QUERY = T.StructType(
     [
-        T.StructField("query_id", T.LongType()),
+        T.StructField("query_id", T.StringType()),
         T.StructField("difficulty", T.StringType()),
         T.StructField("sql", T.StringType()),
         T.StructField("database", T.StringType()),
@@ -20,7 +20,7 @@ SOURCE_QUERY = T.StructType(
 )
 TRANSLATED_QUERY = T.StructType(
     [
-        T.StructField("query_id", T.LongType()),
+        T.StructField("query_id", T.StringType()),
         T.StructField("translated_sql", T.StringType()),
         T.StructField("database", T.StringType()),
     ]
@@ -69,15 +69,32 @@ def read_jdbc_table(
     )
 
 
-def read_query_corpus(spark: SparkSession, path: str, schema: T.StructType = SOURCE_QUERY) -> DataFrame:
-    """JSON arrays of query records, one or more files; malformed records become NULL rows and go."""
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .json(path)
-        .filter(F.col("query_id").isNotNull())
-    )
+_CORRUPT = "_corrupt_record"
+
+
+def _records(spark: SparkSession, path: str, schema: T.StructType, lines: bool) -> DataFrame:
+    """Records with the text of those that can't be read, and their file."""
+    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    read = spark.read.schema(wide).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    return read.json(path).select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def read_query_corpus(spark: SparkSession, path: str, schema: T.StructType = SOURCE_QUERY, lines: bool = False) -> DataFrame:
+    """Query records, from JSON arrays or, with ``lines``, one record a line; ids are kept as text.
+
+    An array is read by one task, however long its file; large corpora should be lines.
+    What isn't here is in ``query_corpus_rejects``.
+    """
+    kept = _records(spark, path, schema, lines).filter(F.col(_CORRUPT).isNull() & F.col("query_id").isNotNull())
+    return kept.select(*schema.fieldNames())
+
+
+def query_corpus_rejects(spark: SparkSession, path: str, schema: T.StructType = SOURCE_QUERY, lines: bool = False) -> DataFrame:
+    """(file, reason, record): records that aren't JSON, or a whole array that isn't, and records without an id."""
+    all_ = _records(spark, path, schema, lines)
+    whole = F.to_json(F.struct(*schema.fieldNames()))
+    reason = F.when(F.col(_CORRUPT).isNotNull(), F.lit("not json")).when(F.col("query_id").isNull(), F.lit("no id"))
+    return all_.select("file", reason.alias("reason"), F.coalesce(_CORRUPT, whole).alias("record")).filter("reason is not null")
 
 
 def read_differences(spark: SparkSession, path: str) -> DataFrame:
