@@ -128,3 +128,23 @@ def test_checkpoints_go_where_the_session_says(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = spark.sparkContext.getCheckpointDir()
     assert folder and (named is None or named in folder)
+
+
+def test_many_top_rows_of_a_hot_key(spark, skewed):
+    from trilect.operators.relational import top_per_key
+
+    got = top_per_key(skewed, ["k"], [F.col("id").desc()], 2000)
+    counts = {r.k: r["count"] for r in got.groupBy("k").count().collect()}
+    assert counts[7] == 2000 and max(n for k, n in counts.items() if k not in (7, None)) < 20
+    assert got.filter("k = 7").agg(F.min("id")).first()[0] == HOT_ROWS - 2000
+    assert "WindowGroupLimit" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_large_lookup_reads_its_left_side_once(spark, skewed, how, tmp_path, monkeypatch):
+    monkeypatch.setattr(o, "BROADCAST_ROWS", 10)
+    skewed.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    plan = o.lookup_join(left, right, ["k"], how, counted=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

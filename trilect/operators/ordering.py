@@ -20,9 +20,8 @@ from trilect.session import cut, store
 # A side is broadcast only after it was measured and found within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20
-# The most frequent keys of a join that get their own broadcast lookup. Every key
-# with more than 1/65 of the rows is among them.
-HOT_KEYS = 64
+# Over how many join keys rows without a key are spread.
+SPREAD = 1024
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -93,36 +92,22 @@ def positions(
     return joined.select(*df.columns, (F.col("_before") + F.col("_mid") - F.col("_first") + F.lit(1)).alias(name))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The ``HOT_KEYS`` most frequent non-null keys: a fixed number of rows by construction."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    return (
-        df.filter(present)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.col("_n").desc(), *on)
-        .limit(HOT_KEYS)
-        .select(*on)
-    )
-
-
 def lookup_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", counted: bool = False
 ) -> DataFrame:
-    """Join ``left`` to ``right``, where ``right`` has at most one row per key.
+    """Join ``left`` to ``right``, where ``right`` has at most one row per key; ``left`` is read once.
 
-    Rows with one of the most frequent keys, or with none, join a broadcast of at
-    most ``HOT_KEYS`` right rows and are never shuffled; the rest have no hot key.
-    ``how`` is inner, left, left_semi or left_anti. ``counted`` says that ``right``
-    is cheap to measure (a table, a checkpoint), so that it is broadcast whole when
-    it turns out small.
+    A hot key's rows are split at run time (``session.configure`` sees to it), each part
+    meeting the same right row. Rows without a key match nothing and are spread over
+    ``SPREAD`` partitions' worth of keys instead of meeting in one. ``how`` is inner, left,
+    left_semi or left_anti. ``counted`` says that ``right`` is cheap to measure (a table, a
+    checkpoint), so that it is broadcast whole when it turns out small.
     """
     if counted and small_enough(right):
         return left.join(F.broadcast(right), list(on), how)
-    hot = hot_keys(left, on).withColumn("_hot", F.lit(True))
     absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    marked = left.join(F.broadcast(hot), list(on), "left")
-    aside = marked.filter(F.col("_hot").isNotNull() | absent).drop("_hot").select(*left.columns)
-    rest = marked.filter(F.col("_hot").isNull() & ~absent).drop("_hot").select(*left.columns)
-    hot_right = right.join(F.broadcast(hot.drop("_hot")), list(on), "left_semi")
-    return aside.join(F.broadcast(hot_right), list(on), how).unionByName(rest.join(right, list(on), how))
+    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    place = F.pmod(F.xxhash64(*hashed), F.lit(SPREAD)).cast("int")
+    spread = left.withColumn("_place", F.when(absent, place).otherwise(0))
+    joined = spread.join(right.withColumn("_place", F.lit(0)), [*on, "_place"], how)
+    return joined.drop("_place")

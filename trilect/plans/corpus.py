@@ -656,9 +656,7 @@ def hierarchy_or_array_agg(t: Tables, dialect: str) -> DataFrame:
         d.last_day("created_at").alias("budget_month_end"),
         "deepest",
     )
-    if dialect == "mysql":
-        return out.filter(F.col("headcount").eqNullSafe(F.col("headcount")))
-    return out.limit(100)
+    return out
 
 
 _X4 = """

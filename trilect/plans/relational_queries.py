@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilect.functions import dialect as d
@@ -25,6 +25,7 @@ from trilect.operators.relational import (
 )
 from trilect.plans.corpus import ORDERS_AS_OF, day, moment, money
 from trilect.plans.registry import Tables, plain, query
+from trilect.session import cut
 
 # --- projection, filter, predicate ---------------------------------------------------
 
@@ -471,9 +472,18 @@ def rownum_top(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(25)
 
 
-@query("L5_rownum_before_order")
+@query(
+    "L5_rownum_before_order",
+    """SELECT least(count(*), 100) AS n, least(count(*), 100) AS known, CAST(0 AS BIGINT) AS out_of_order FROM orders""",
+)
 def rownum_then_order(t: Tables) -> DataFrame:
-    return rownum_before_order(t.orders.select("o_orderkey", "o_totalprice"), 100, [F.col("o_totalprice").desc()])
+    """Which rows come is open; how many, that they are rows of the table and their order are not."""
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    taken = cut(rownum_before_order(rows, 100, [F.col("o_totalprice").desc()]).withColumn("at", F.monotonically_increasing_id()))
+    before = F.lag("o_totalprice").over(Window.orderBy("at"))
+    ordered = taken.withColumn("out", F.coalesce(before < F.col("o_totalprice"), F.lit(False)))
+    known = ordered.join(rows.withColumn("known", F.lit(True)).distinct(), ["o_orderkey", "o_totalprice"], "left")
+    return known.agg(F.count(F.lit(1)).alias("n"), F.count_if("known").alias("known"), F.count_if("out").alias("out_of_order"))
 
 
 # --- sets, recursion, series ----------------------------------------------------------------------
