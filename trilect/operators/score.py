@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from threading import Timer
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trilect.functions.columns import as_column
+from trilect.functions.sqltext import pin_random, pin_time
 from trilect.operators.compare import compare_results, result_rows
 from trilect.operators.relational import top_per_key
+from trilect.session import configure
+
+# Outcomes of pairs that the driver holds before it writes them.
+STATUS_BATCH = 500
 
 # The directions in the order they are tried, and the fallback per source dialect.
 DIRECTIONS = [
@@ -155,52 +161,93 @@ def failure_sample(results: DataFrame, order: Sequence[Column], n: int = 20) ->
 
 
 def evaluate_pairs(
-    spark: SparkSession, pairs: DataFrame, path: str, timeout: int = 30, workers: int = 8
+    spark: SparkSession,
+    pairs: DataFrame,
+    path: str,
+    timeout: int = 30,
+    workers: int = 8,
+    open_database: Callable[[SparkSession, str], None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run both queries of every pair (query_id, source_sql, translated_sql, ..) over the session's views.
+    """Run both queries of every pair (database, query_id, direction, source_sql, translated_sql, ..).
+
+    A pair is known by its database and query_id together. Clocks and random numbers are
+    pinned by the dialects of the direction before a query runs. ``open_database`` gets a
+    session of its own for each database and puts the database's views there; without it
+    all pairs use the views of ``spark``.
 
     Returns (graded results, one-row report). Results are written under ``path`` by the
-    executors and all of them are compared in one job; the driver holds query
-    texts and statuses only.
+    executors and all of them are compared in one job. The driver holds a fixed window of
+    pairs at a time and writes their outcomes in batches.
     """
     sc = spark.sparkContext
-
-    def run(query_id: int, side: str, sql: str) -> tuple[int, str, str]:
-        tag = f"trilect-{query_id}-{side}"
+    keys = ["database", "query_id"]
+    sessions: dict[str, SparkSession] = {}
+
+    def session(database: str) -> SparkSession:
+        if open_database is None:
+            return spark
+        if database not in sessions:
+            while len(sessions) >= 2 * workers:
+                sessions.pop(next(iter(sessions)))
+            sessions[database] = configure(spark.newSession())
+            open_database(sessions[database], database)
+        return sessions[database]
+
+    def run(own: SparkSession, number: int, database: str, query_id: object, side: str, sql: str) -> str:
+        tag = f"trilect-{number}-{side}"
         sc.addJobTag(tag)
         timer = Timer(timeout, sc.cancelJobsWithTag, [tag])
         timer.start()
         try:
-            rows = result_rows(spark.sql(sql), F.lit(query_id), side)
+            rows = result_rows(own.sql(sql), F.lit(query_id).cast(id_type), side)
             # a folder of its own: concurrent writers must not share a commit
-            rows.select("columns", "cells").write.mode("overwrite").parquet(f"{path}/rows/query_id={query_id}/side={side}")
-            return query_id, side, ""
+            named = rows.select(F.lit(database).alias("database"), "query_id", "columns", "cells")
+            named.write.mode("overwrite").parquet(f"{path}/rows/pair={number}/side={side}")
+            return ""
         except Exception as e:  # whatever the query raised is its outcome
-            return query_id, side, (str(e) or type(e).__name__)[:ERROR_CHARS]
+            return (str(e) or type(e).__name__)[:ERROR_CHARS]
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
 
-    def both(row) -> list[tuple[int, str, str]]:
-        return [run(row.query_id, "source", row.source_sql), run(row.query_id, "target", row.translated_sql)]
-
-    todo = pairs.select("query_id", "source_sql", "translated_sql").filter(F.coalesce("translated_sql", F.lit("")) != "")
+    def both(number: int, own: SparkSession, row) -> tuple[str, object, str, str]:
+        errors = [run(own, number, row.database, row.query_id, s, q) for s, q in (("source", row.source_sql), ("target", row.translated_sql))]
+        return row.database, row.query_id, errors[0], errors[1]
+
+    id_type = pairs.schema["query_id"].dataType
+    dialect = [F.split_part("direction", F.lit("2"), F.lit(k)) for k in (1, 2)]
+    pinned = [pin_random(pin_time(c, k), k).alias(c) for c, k in zip(("source_sql", "translated_sql"), dialect)]
+    todo = pairs.filter(F.coalesce("translated_sql", F.lit("")) != "").select(*keys, *pinned).orderBy(*keys)
+    layout = T.StructType([
+        T.StructField("database", T.StringType()), T.StructField("query_id", id_type),
+        T.StructField("source_error", T.StringType()), T.StructField("target_error", T.StringType()),
+    ])
+    written, batch = False, []
+
+    def flush() -> None:
+        spark.createDataFrame(batch, layout).write.mode("append").parquet(f"{path}/status")
+        batch.clear()
+
+    spark.createDataFrame([], layout).write.mode("overwrite").parquet(f"{path}/status")
     with ThreadPoolExecutor(workers) as pool:
-        outcomes = [o for two in pool.map(both, todo.toLocalIterator()) for o in two]
-    layout = "columns array<string>, cells array<struct<s:string,n:double>>, query_id bigint, side string"
-    written = any(not error for _, _, error in outcomes)
-    rows = (
-        spark.read.schema(layout).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-        if written
-        else spark.createDataFrame([], layout)
-    )
-    status = spark.createDataFrame(outcomes, "query_id bigint, side string, error string")
-    errors = status.groupBy("query_id").agg(
-        F.max(F.when(F.col("side") == "source", F.col("error"))).alias("source_error"),
-        F.max(F.when(F.col("side") == "target", F.col("error"))).alias("target_error"),
-    )
-    compared = compare_results(rows, pairs.select("query_id"))
-    joined = pairs.join(errors, "query_id", "left").join(compared, "query_id", "left")
+        running: set[Future] = set()
+        for number, row in enumerate(todo.toLocalIterator()):
+            running.add(pool.submit(both, number, session(row.database), row))
+            while len(running) >= 2 * workers:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                batch += [f.result() for f in done]
+            if len(batch) >= STATUS_BATCH:
+                written = written or any(not all(o[2:]) for o in batch)
+                flush()
+        batch += [f.result() for f in running]
+    written = written or any(not all(o[2:]) for o in batch)
+    if batch:
+        flush()
+    fields = "columns array<string>, cells array<struct<s:string,n:double>>, pair bigint, side string"
+    shape = T.StructType([*layout.fields[:2], *T.DataType.fromDDL(fields).fields])
+    rows = spark.read.schema(shape).option("basePath", f"{path}/rows").parquet(f"{path}/rows") if written else spark.createDataFrame([], shape)
+    compared = compare_results(rows.drop("pair"), pairs.select(*keys), keys)
+    joined = pairs.join(spark.read.schema(layout).parquet(f"{path}/status"), keys, "left").join(compared, keys, "left")
     results = grade(
         joined.fillna("", ["source_error", "target_error"])
         .withColumn("source_status", outcome_status("source_rows", "source_error"))

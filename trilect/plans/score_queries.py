@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilect.operators import compare as m
 from trilect.operators import score as s
 from trilect.operators.ordering import lookup_join
 from trilect.plans.derived import GRADED
-from trilect.plans.registry import TABLES, Tables, plain, query
+from trilect.plans import registry
+from trilect.plans.registry import Tables, plain, query
 from trilect.session import ensure_checkpoint_dir, spread
 
 # --- result sets: forty-two queries with a source and a changed target, eight without rows ---
@@ -352,37 +353,45 @@ def failures(t: Tables) -> DataFrame:
 
 
 # Source queries and their translations, right and wrong ones, over the session's views.
-_PAIRS = [
-    ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", "SELECT count(1) AS n, o_orderstatus FROM orders GROUP BY o_orderstatus"),
-    ("SELECT c_custkey, nvl(c_nationkey, 0) AS k FROM customer", "SELECT c_custkey, coalesce(c_nationkey, 0) AS k FROM customer ORDER BY 1 DESC"),
-    ("SELECT sum(o_totalprice) AS s FROM orders", "SELECT sum(o_totalprice) * 1.01D AS s FROM orders"),
-    ("SELECT c_custkey FROM customer", "SELECT c_custkey FROM customer WHERE c_custkey > 0"),
-    ("SELECT c_custkey AS a, c_name FROM customer", "SELECT c_custkey AS b, c_name FROM customer"),
-    ("SELECT count(*) AS n FROM events", "SELECT count(*) AS n FROM no_such_table"),
-    ("SELECT count(*) / 0 AS n FROM events", "SELECT count(*) AS n FROM events"),
-    ("SELECT * FROM part WHERE p_size > 1000", "SELECT * FROM part WHERE p_size > 2000"),
-    ("SELECT 1 AS one FROM nation", ""),
-]
+# Pairs made from the nations: four databases with the same ids, each with its own share of
+# the tables. By id: equal texts, one order more, the clock, random numbers, a missing table
+# and a text without translation.
+_PAIRS = """
+    SELECT concat('db', n_nationkey % 4) AS database, n_nationkey DIV 4 AS query_id, 'easy' AS difficulty,
+           CASE n_nationkey DIV 4 WHEN 3 THEN 'pg2mysql' ELSE 'mysql2pg' END AS direction,
+           CASE n_nationkey DIV 4
+             WHEN 0 THEN 'SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1'
+             WHEN 1 THEN 'SELECT count(*) AS n FROM orders'
+             WHEN 2 THEN 'SELECT NOW() AS t, count(*) AS n FROM orders'
+             WHEN 3 THEN 'SELECT RANDOM() AS r, max(o_orderkey) AS k FROM orders'
+             ELSE 'SELECT 1 AS one' END AS source_sql,
+           CASE n_nationkey DIV 4
+             WHEN 0 THEN 'SELECT count(1) AS n, o_orderstatus FROM orders GROUP BY o_orderstatus'
+             WHEN 1 THEN concat('SELECT count(*) + CASE WHEN max(o_custkey) % 4 = 1 THEN 1 ELSE 0 END AS n FROM orders')
+             WHEN 2 THEN 'SELECT cast(CURRENT_TIMESTAMP AS string) AS t, count(*) AS n FROM orders'
+             WHEN 3 THEN 'SELECT RAND() AS r, max(o_orderkey) AS k FROM orders'
+             WHEN 4 THEN 'SELECT 1 AS one FROM no_such_table'
+             ELSE '' END AS translated_sql
+    FROM {nation} WHERE n_nationkey < 24"""
 
 
 @query(
     "E15_evaluate_pairs",
-    """SELECT CAST(q AS BIGINT) AS query_id, t AS translate_ok, s AS source_exec_ok, x AS target_exec_ok, m AS results_match FROM (VALUES
-       (1, true, true, true, true), (2, true, true, true, true), (3, true, true, true, (SELECT abs(sum(o_totalprice)) = 0 FROM orders)),
-       (4, true, true, true, (SELECT count(*) = 0 FROM customer WHERE c_custkey <= 0)), (5, true, true, true, true), (6, true, true, false, false),
-       (7, true, false, true, false), (8, true, true, true, (SELECT max(p_size) <= 1000 FROM part)), (9, false, false, false, false)) AS v(q, t, s, x, m)""",
+    """SELECT 'db' || n_nationkey % 4 AS database, CAST(n_nationkey // 4 AS INTEGER) AS query_id, n_nationkey // 4 < 5 AS translate_ok,
+              n_nationkey // 4 < 5 AS source_exec_ok, n_nationkey // 4 < 4 AS target_exec_ok,
+              n_nationkey // 4 < 4 AND NOT (n_nationkey // 4 = 1 AND n_nationkey % 4 = 1) AS results_match
+       FROM nation WHERE n_nationkey < 24""",
 )
 def evaluate(t: Tables) -> DataFrame:
-    for name in TABLES:
-        getattr(t, name).createOrReplaceTempView(name)
-    pairs = t.spark.createDataFrame(
-        [(i + 1, "mysql2pg", "easy", "shop", a, b) for i, (a, b) in enumerate(_PAIRS)],
-        "query_id bigint, direction string, difficulty string, database string, source_sql string, translated_sql string",
-    )
+    def open_database(session: SparkSession, database: str) -> None:
+        orders = registry.Tables(session, t.directory).orders
+        orders.filter(F.col("o_custkey") % 4 == int(database[2:])).createOrReplaceTempView("orders")
+
     ensure_checkpoint_dir(t.spark)
     folder = f"{t.spark.sparkContext.getCheckpointDir()}/pairs-{t.spark.sql('SELECT uuid()').first()[0]}"
-    results, _ = s.evaluate_pairs(t.spark, pairs, folder, timeout=300)
-    return results.select("query_id", "translate_ok", "source_exec_ok", "target_exec_ok", "results_match")
+    pairs = t.sql(_PAIRS).withColumn("query_id", F.col("query_id").cast("int"))
+    results, _ = s.evaluate_pairs(t.spark, pairs, folder, timeout=300, open_database=open_database)
+    return results.select("database", "query_id", "translate_ok", "source_exec_ok", "target_exec_ok", "results_match")
 
 
 # --- bookkeeping -----------------------------------------------------------------------------
