@@ -136,6 +136,20 @@ def html_to_text(html: str | Column, max_chars: int | None = None) -> Column:
     return F.left(text, F.lit(max_chars)) if max_chars else text
 
 
+# Elements without a page's own text, and those that hold it, by preference.
+NOISE_ELEMENTS = ["script", "style", "noscript", "iframe", "svg", "nav", "header", "footer", "aside", "form"]
+MAIN_ELEMENTS = ["article", "main", "body"]
+
+
+def main_text(html: str | Column, max_chars: int | None = None) -> Column:
+    """The text of a page's main part: without noise elements, from the first kind of main element it has, else from all."""
+    text = as_column(html)
+    for tag in NOISE_ELEMENTS:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    inner = [F.nullif(F.regexp_extract(text, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1), F.lit("")) for tag in MAIN_ELEMENTS]
+    return html_to_text(F.coalesce(*inner, text), max_chars)
+
+
 # Hosts whose pages are not used (matched anywhere in the host name).
 SKIPPED_HOSTS = [
     "youtube.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "linkedin.com", "tiktok.com",

@@ -31,6 +31,11 @@ def hash_int(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_long(text: Column) -> Column:
+    """The first 60 bits of md5 as a non-negative bigint, for choices among very many."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def bank_round(x: Column) -> Column:
     """Half-even rounding to a whole number."""
     return F.bround(x, 0).cast("int")
@@ -169,12 +174,12 @@ def discover(assigned: DataFrame, available: DataFrame, key: str) -> DataFrame:
 
 
 def existing_value_digest(df: DataFrame, pk: str, fields: Sequence[str], show: int = 30) -> DataFrame:
-    """(field, rows, max_id, next_id, n_distinct, shown) for the first two key-name fields.
+    """(field, rows, max_id, next_id, n_distinct, shown) for each of the fields.
 
     The distinct values are counted in parallel; only the first ``show`` are listed.
     """
     long = df.select(
-        pk, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("v")) for f in list(fields)[:2]])).alias("p")
+        pk, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f).alias("v")) for f in fields])).alias("p")
     ).select(pk, "p.*")
     heads = long.groupBy("field").agg(F.count(F.lit(1)).alias("row_count"), F.max(pk).alias("max_id"))
     distinct = long.filter(F.col("v") != "").select("field", "v").distinct()

@@ -155,6 +155,10 @@ def _script(dialect: str) -> str:
         names = ", ".join(f"{q}{c}{q}" for c in columns.split())
         rows = f"SELECT row_number() OVER (ORDER BY {key}) - 1 AS n, {text} AS r FROM {table}"
         head = f"INSERT INTO {q}{table}{q} ({names}) VALUES"
+        if dialect == "oracle":
+            return f"""SELECT CAST({level} AS INTEGER) AS level, '{table}' AS table_name, CAST(1 AS INTEGER) AS section, n AS batch_no,
+                '{head} ' || r || ';' AS line FROM ({rows})
+                UNION ALL SELECT {level}, '{table}', 0, 0, '-- {table}: ' || count(*) || ' rows' FROM {table}"""
         return f"""SELECT CAST({level} AS INTEGER) AS level, '{table}' AS table_name, CAST(1 AS INTEGER) AS section, CAST(floor(n / 50) AS BIGINT) AS batch_no,
             '{head}' || chr(10) || string_agg('  ' || r, ',' || chr(10) ORDER BY n) || ';' AS line FROM ({rows}) GROUP BY 4
             UNION ALL SELECT {level}, '{table}', 0, 0, '-- {table}: ' || count(*) || ' rows' FROM {table}"""
@@ -174,7 +178,7 @@ def _script(dialect: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-@per_dialect("EX6_database_script", {k: _script(k) for k in ("mysql", "pg")}, ("mysql", "pg"))
+@per_dialect("EX6_database_script", {k: _script(k) for k in ("mysql", "pg", "oracle")})
 def script(t: Tables, dialect: str) -> DataFrame:
     tables = {
         "nation": t.nation.select("n_nationkey", "n_name"),

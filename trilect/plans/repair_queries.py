@@ -123,7 +123,7 @@ _ROW_KEY = ["l_orderkey", "l_linenumber", "l_suppkey", "_cents"]
     "R7_fix_fks",
     f"""WITH x AS ({plain(_ORPHANS)}), p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS at FROM part),
         k AS (SELECT x.*, p_partkey IS NOT NULL AS ok,
-                CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_suppkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT)), 1, 8) AS BIGINT)
+                CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_suppkey || '|' || CAST(round(l_extendedprice * 100) AS BIGINT)), 1, 15) AS BIGINT)
                   % (SELECT count(*) FROM part) + 1 AS pick
               FROM x LEFT JOIN part ON p_partkey = l_partkey)
         SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice,
@@ -369,6 +369,22 @@ def generate(t: Tables) -> DataFrame:
     return r.generate_rows(t.customer.select("c_custkey"), "c_custkey", spec, 501, 5)
 
 
+@query(
+    "R13_generate_rows_from_parent",
+    """WITH k AS (SELECT s_suppkey * 7 + 3 AS key, row_number() OVER (ORDER BY s_suppkey * 7 + 3) AS place FROM supplier WHERE s_suppkey % 3 > 0),
+       c AS (SELECT c_custkey, CAST('0x' || substr(md5(c_custkey || ':supplier:5'), 1, 15) AS BIGINT) % (SELECT count(*) FROM k) + 1 AS place FROM customer)
+       SELECT c_custkey + 1 AS id, key AS supplier, CAST(NULL AS BIGINT) AS nobody FROM c JOIN k USING (place)""",
+)
+def generate_from_parent(t: Tables) -> DataFrame:
+    parent = t.supplier.filter(F.col("s_suppkey") % 3 > 0).select((F.col("s_suppkey") * 7 + 3).alias("key"))
+    spec = {
+        "id": {"data_type": "INT", "pk": True},
+        "supplier": {"data_type": "BIGINT", "parent": (parent, "key")},
+        "nobody": {"data_type": "BIGINT", "parent": (parent.limit(0), "key")},
+    }
+    return r.generate_rows(t.customer.select("c_custkey"), "c_custkey", spec, 1, 5)
+
+
 _POOL = """
     SELECT p_partkey, CASE WHEN p_partkey % 40 = 0 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 40 = 0 THEN '' ELSE upper(p_type) END
       AS label FROM {part}

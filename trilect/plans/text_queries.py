@@ -93,6 +93,21 @@ def page_text(t: Tables) -> DataFrame:
     return spread(t.pages).select("page_id", x.html_to_text("html").alias("text"))
 
 
+_QUIET = "html"
+for _tag in x.NOISE_ELEMENTS:
+    _QUIET = rf"regexp_replace({_QUIET}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'g')"
+_MAIN = ", ".join(rf"nullif(regexp_extract(html, '(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>', 1), '')" for tag in x.MAIN_ELEMENTS)
+
+
+@query(
+    "T5_main_text",
+    f"""WITH q AS (SELECT page_id, {_QUIET} AS html FROM pages), m AS (SELECT page_id, coalesce({_MAIN}, html) AS html FROM q)
+        SELECT page_id, {_PAGE_TEXT} AS text FROM m""",
+)
+def main_text(t: Tables) -> DataFrame:
+    return spread(t.pages).select("page_id", x.main_text("html").alias("text"))
+
+
 _LINKED = "SELECT page_id, html, CASE WHEN page_id % 9 = 0 THEN replace(url, '.example.', '.reddit.') ELSE url END AS url FROM {pages}"
 
 
