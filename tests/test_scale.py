@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import os
 
 import pytest
 from pyspark.sql import Window
@@ -148,3 +149,16 @@ def test_a_large_lookup_reads_its_left_side_once(spark, skewed, how, tmp_path, m
     right = spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("w"))
     plan = o.lookup_join(left, right, ["k"], how, counted=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_a_job_leaves_nothing_behind(spark):
+    from trilect.session import cut, ensure_checkpoint_dir, scratch, store
+
+    ensure_checkpoint_dir(spark)
+    base = os.path.dirname(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {f for f in os.listdir(base) if f.startswith("scratch-")}
+    with scratch(spark):
+        assert store(spark.range(10)).count() == cut(spark.range(10)).count() == 10
+        assert spark.sparkContext.getCheckpointDir().split("/")[-2].startswith("scratch-")
+    assert {f for f in os.listdir(base) if f.startswith("scratch-")} == before
+    assert cut(spark.range(5)).count() == 5

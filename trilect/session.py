@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -35,6 +37,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -56,6 +59,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """For one job: what it puts beside the checkpoints is deleted at the end.
+
+    Results that are read later must be written elsewhere inside the block. One block at a
+    time, as the checkpoint folder belongs to the whole session.
+    """
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    parent = sc.getCheckpointDir().rpartition("/")[0]
+    own = f"{parent}/scratch-{uuid.uuid4().hex}"
+    sc.setCheckpointDir(own)
+    try:
+        yield
+    finally:
+        sc.setCheckpointDir(parent)
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
