@@ -73,6 +73,16 @@ def test_result_is_that_of_brute_force(make_docs):
     assert sorted(result(sd.remove_repeats(make_docs(rows)))) == sorted(brute_force(rows))
 
 
+def test_frequent_anchors_are_dealt_out_one_by_one(make_docs, monkeypatch):
+    monkeypatch.setattr(sd, "FREQUENT", 5)
+    rng = random.Random(9)
+    letter = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, rare = letter(70), letter(90)
+    rows = [(k, letter(rng.randrange(60)) + common[: rng.randrange(40, 71)] + letter(rng.randrange(60))) for k in range(40)]
+    rows += [(50 + k, letter(20) + rare + letter(20) + common + rare[:60]) for k in range(3)]
+    assert sorted(result(sd.remove_repeats(make_docs(rows)))) == sorted(brute_force(rows))
+
+
 def test_real_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert sorted(result(sd.remove_repeats(documents))) == sorted(brute_force(rows))

@@ -11,6 +11,8 @@ share theirs, so a run of strings with one anchor travels as one segment of byte
    a part once, for the smallest doc_id. There equal segments are settled at once, and the
    suffixes of the others are sorted; runs of equal suffixes give the smallest doc_id of
    each string. What is covered goes back to the documents.
+   The strings of an anchor that very many documents have are dealt out one by one, each by
+   its own content, so that their number never meets in one bucket.
 3. Each document takes the union of what is covered out of its text.
 
 Texts travel compressed and by document part; no step needs more than one part or bucket
@@ -24,6 +26,7 @@ the named and the carried columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,6 +44,8 @@ LENGTH, K = 50, 20
 SLICE_BYTES = 8 << 20
 #: Text bytes per document part, per bucket of anchors and per bucket of segments.
 PART, ANCHOR_BUCKET, SEGMENT_BUCKET = 16 << 20, 16 << 20, 4 << 20
+#: Documents beyond which an anchor's strings are dealt out one by one instead of as segments.
+FREQUENT = 2048
 
 
 def piece_hashes(text: np.ndarray, k: int = K) -> np.ndarray:
@@ -151,14 +156,17 @@ def _shared_anchors(table: pa.Table, parts: int) -> pa.Table:
     each, owner = each[order], owner[order]
     begins = np.flatnonzero(np.append(True, each[1:] != each[:-1]))
     several = np.minimum.reduceat(owner, begins) < np.maximum.reduceat(owner, begins)
-    kept = np.repeat(several, np.diff(np.append(begins, len(each))))
+    sizes = np.diff(np.append(begins, len(each)))
+    kept = np.repeat(several, sizes)
+    frequent = np.repeat(sizes > FREQUENT, sizes)[kept].astype(np.uint8)
     each, owner = each[kept], owner[kept]
     rows = []
     for part, at in _split(_parts_of(owner, parts), parts):
         at = at[np.argsort(owner[at], kind="stable")]
         change = np.flatnonzero(np.append(True, owner[at][1:] != owner[at][:-1]))
         six = np.ascontiguousarray(each[at].view(np.uint8).reshape(-1, 8)[:, :6])
-        rows.append((part, _pack(np.array([bucket], np.int64), six.ravel(), owner[at][change], np.diff(np.append(change, len(at))).astype(np.uint32))))
+        counts = np.diff(np.append(change, len(at))).astype(np.uint32)
+        rows.append((part, _pack(np.array([bucket], np.int64), six.ravel(), frequent[at], owner[at][change], counts)))
     return _packed_rows(rows, "part")
 
 
@@ -167,9 +175,10 @@ def _send_segments(texts: pa.Table, shared: pa.Table, anchor_buckets: int, bucke
     import zstandard
 
     opener = zstandard.ZstdDecompressor()
-    names, owners = [], []
+    names, owners, often = [], [], []
     for block in shared["packed"].to_pylist():
-        bucket, six, ids, counts = _unpack(block, np.int64, np.uint8, np.int64, np.uint32)
+        bucket, six, flags, ids, counts = _unpack(block, np.int64, np.uint8, np.uint8, np.int64, np.uint32)
+        often.append(flags)
         wide = np.zeros((len(six) // 6, 8), np.uint8)
         wide[:, :6] = six.reshape(-1, 6)
         low = wide.view(np.uint64).ravel()
@@ -178,12 +187,12 @@ def _send_segments(texts: pa.Table, shared: pa.Table, anchor_buckets: int, bucke
     if not names:
         return _packed_rows([], "bucket")
     # Six bytes are compared on both sides; what agrees by chance only costs a segment.
-    wanted, owner = np.concatenate(names), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    wanted, owner = wanted[order], owner[order]
+    wanted, owner, often = np.concatenate(names), np.concatenate(owners), np.concatenate(often)
+    order = np.lexsort((wanted, owner))
+    wanted, owner, often = wanted[order], owner[order], often[order]
     begins = {int(i): (a, b) for i, a, b in zip(*_runs(owner))}
     pieces: dict[bytes, int] = {}
-    held: list[tuple[np.uint64, int]] = []  # anchor and smallest doc_id of each distinct segment
+    held: list[tuple[np.uint64, int]] = []  # what deals out each distinct segment, and its smallest doc_id
     entries: list[tuple[int, int, int]] = []
     covered: list[tuple[np.uint64, int, int, int, int]] = []
     rows = zip(texts["doc_id"].to_pylist(), texts["of_text"].to_pylist(), texts["text"].to_pylist())
@@ -197,16 +206,22 @@ def _send_segments(texts: pa.Table, shared: pa.Table, anchor_buckets: int, bucke
         name = ((anchor // np.uint64(anchor_buckets)) & low_bits) * np.uint64(anchor_buckets) + anchor % np.uint64(anchor_buckets)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         last = np.append(first[1:], len(anchor))
-        meets = np.isin(name[first], wanted[a:b])
-        for s, e in zip(first[meets].tolist(), last[meets].tolist()):
+        at = np.minimum(np.searchsorted(wanted[a:b], name[first]), b - a - 1)
+        meets = wanted[a:b][at] == name[first]
+        single = often[a:b][at][meets] > 0
+        begin, end = first[meets], last[meets]
+        # A frequent anchor's run becomes its single strings.
+        runs = [(s, e, False) for s, e in zip(begin[~single].tolist(), end[~single].tolist())]
+        runs += [(s, s + 1, True) for x, y in zip(begin[single].tolist(), end[single].tolist()) for s in range(x, y)]
+        for s, e, alone in runs:
             piece = text[s : e - 1 + LENGTH]
             k = pieces.setdefault(piece, len(pieces))
             if k == len(held):
-                held.append((anchor[s], i))
+                held.append((np.uint64(zlib.crc32(piece)) if alone else anchor[s], i))
             if held[k][1] == i:
                 entries.append((k, h, s))
             else:
-                covered.append((anchor[s], i, h, s, s + len(piece)))
+                covered.append((held[k][0], i, h, s, s + len(piece)))
     if not pieces:
         return _packed_rows([], "bucket")
     spelled = list(pieces)
