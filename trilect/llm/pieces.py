@@ -38,7 +38,7 @@ MARK = "▁"
 #: Segments with more symbols get a heap.
 SIDE_BY_SIDE = 64
 #: Text bytes that are encoded at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Pieces:
