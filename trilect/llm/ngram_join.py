@@ -35,9 +35,11 @@ from trilect.operators.ordering import checked_broadcast
 from trilect.session import cut, store
 
 SLICE_BYTES = 16 << 20
-#: Signatures in a bucket, and members of a group that are compared in one task.
-BUCKET, BLOCK = 1 << 20, 2048
-SKETCH_BITS = 1024
+#: Signatures in a bucket, members of a group that are compared in one block, and members of
+#: all groups that are compared in one task.
+BUCKET, BLOCK, TASK = 1 << 18, 2048, 1 << 15
+#: Bits of a sketch: the power of two from one per feature on, and no fewer than these.
+SKETCH_BITS = 512
 
 
 class Threshold:
@@ -110,8 +112,15 @@ def node_of(features: np.ndarray) -> bytes:
 
 def sketch_of(features: np.ndarray) -> bytes:
     """For every bit whether an odd number of features falls on it."""
-    place = (mix(features, 13) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+    bits = max(SKETCH_BITS, 1 << (len(features) - 1).bit_length())
+    place = (mix(features, 13) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes or more at that size, as rows of numbers: halves are added bit by bit."""
+    rows = [np.frombuffer(s, np.uint64).reshape(-1, size // 8) for s in sketches]
+    return np.stack([r[0] if len(r) == 1 else np.bitwise_xor.reduce(r, axis=0) for r in rows])
 
 
 def signatures(features: np.ndarray, threshold: Threshold) -> np.ndarray:
@@ -244,27 +253,36 @@ def likely_pairs(table: pa.Table, threshold: Threshold, everything: bool) -> pa.
     raw = table["node"].to_pylist()
     size = table["n_shingles"].to_numpy()
     component = np.unique(np.array([c.hex() for c in table["root"].to_pylist()]), return_inverse=True)[1] if len(gid) else size
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    sketches = table["sketch"].to_pylist()
+    wide = np.fromiter(map(len, sketches), np.int64, len(sketches))
     begins = np.append(np.flatnonzero(np.append(True, gid[1:] != gid[:-1])), len(gid)) if len(gid) else np.zeros(1, int)
 
-    def passing(i, j) -> np.ndarray:
-        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(-1, dtype=np.int64)
+    def passing(i, j, apart: np.ndarray) -> np.ndarray:
         both = size[i] + size[j]
         most = threshold.differences(both)
         return (apart <= most) & (np.abs(size[i] - size[j]) <= most) & (component[i] != component[j])
 
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
     found: list[tuple[int, int]] = []
     counts = np.diff(begins)
     twos = begins[:-1][counts == 2]
-    ok = twos[passing(twos, twos + 1)] if len(twos) else twos
-    found += [(int(k), int(k) + 1) for k in ok]
-    for a, n in zip(begins[:-1][counts > 2], counts[counts > 2]):
-        here = slice(a, a + n)
+    narrow = np.minimum(wide[twos], wide[twos + 1]) if len(twos) else twos
+    for bytes_ in np.unique(narrow).tolist():
+        at = twos[narrow == bytes_]
+        left, right = (folded([sketches[k] for k in x], bytes_) for x in (at, at + 1))
+        found += [(int(k), int(k) + 1) for k in at[passing(at, at + 1, apart(left, right))]]
+    for a, n in zip(begins[:-1][counts > 2].tolist(), counts[counts > 2].tolist()):
+        here = folded(sketches[a : a + n], int(wide[a : a + n].min()))
+
+        def near(k: int, here: np.ndarray = here, a: int = a, n: int = n) -> np.ndarray:
+            return passing(a + k, slice(a, a + n), apart(here[k], here))
+
         if everything:
-            for k in range(a, a + n):
-                found += [(k, int(j) + k + 1) for j in np.flatnonzero(passing(k, slice(k + 1, a + n)))]
+            found += [(a + k, a + int(j)) for k in range(n) for j in np.flatnonzero(near(k)) if j > k]
         else:
-            found += [(a + i, a + j) for i, j in _forest(lambda k: passing(a + k, here), n)]  # noqa: B023
+            found += [(a + i, a + j) for i, j in _forest(near, n)]
     pairs = {(min(raw[i], raw[j]), max(raw[i], raw[j])) for i, j in found}
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
@@ -345,10 +363,11 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
 
         return taken.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
 
+    tasks = max(partitions, parts_for(met.count(), TASK))
     roots, refuted, linked = None, None, None
     for everything in (False, True):
         state = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        task = F.pmod(F.xxhash64("gid"), F.lit(partitions)).alias("task")
+        task = F.pmod(F.xxhash64("gid"), F.lit(tasks)).alias("task")
         found = (
             state.select(task, "gid", "node", "n_shingles", "sketch", "root")
             .groupBy("task")
