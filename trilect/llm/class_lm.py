@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trilect.llm.shared import crc_remainder, slices, text_of
 from trilect.session import store
 
-CLUSTERED, ENDINGS, CLASSES, LISTED = 2048, 512, 64, 1 << 18
+CLUSTERED, ENDINGS, CLASSES, LISTED = 1024, 256, 64, 1 << 17
 #: Weight, in tokens, of the class frequencies in a class's successors.
 BACKOFF = 20.0
 SWEEPS = 12
@@ -158,17 +158,36 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, total: int, cla
     return of
 
 
+def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
+    """The counts of the end and of the most frequent words, ``most`` at most.
+
+    Words are counted by 64 steps to a doubling of their count, and whole steps are taken
+    from the top; no more than the words taken and a few thousand sums reach the driver.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    sizes = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    room, least = most, 1 << 30
+    for r in sorted(sizes, reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    taken = words.filter((step >= least) | (F.col("word") == END)).toArrow()
+    return {w.encode(): c for w, c in zip(taken["word"].to_pylist(), taken["c"].to_pylist())}
+
+
 def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, listed: int = LISTED) -> dict:
     """Learns from a ``text`` column. ``words`` is the stored table of all counts; the rest has a fixed size."""
     words = store(count_words(texts))
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.col("c").desc(), "word").limit(listed).toPandas()
-    counts = dict(zip((w.encode() for w in top["word"]), (int(c) for c in top["c"])))
-    chosen = [w for w in top["word"].head(clustered + 1) if w != END][:clustered]
+    counts = frequent_words(words, listed)
+    ranked = sorted((w for w in counts if w != END.encode()), key=lambda w: (-counts[w], w))
+    chosen = [w.decode() for w in ranked[:clustered]]
     total = len(chosen) + endings + 1
-    pairs = count_bigrams(texts, chosen, endings).toPandas()
-    left, right = np.divmod(pairs["pair"].to_numpy(np.int64), total)
-    n = pairs["n"].to_numpy(np.int64)
+    pairs = count_bigrams(texts, chosen, endings).toArrow()
+    left, right = (x.astype(np.int32) for x in np.divmod(pairs["pair"].to_numpy(), total))
+    n = pairs["n"].to_numpy()
+    del pairs
     of = exchange(left, right, n, total, classes)
     width = classes + 1
     follows = np.bincount(of[left] * width + of[right], n, width * width).reshape(width, width)
