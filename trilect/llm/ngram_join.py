@@ -34,7 +34,7 @@ from trilect.llm.shared import parts_for, slices, text_of
 from trilect.operators.ordering import checked_broadcast
 from trilect.session import cut, store
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Signatures in a bucket, members of a group that are compared in one block, and members of
 #: all groups that are compared in one task.
 BUCKET, BLOCK, TASK = 1 << 18, 2048, 1 << 15
