@@ -107,6 +107,22 @@ def test_one_of_each_component_stays(odd_docs, no_docs):
     assert nj.one_of_each(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(make_docs, odd_docs, no_docs):
+    rng = random.Random(6)
+    texts = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "ABCDE"}
+    near = lambda k: " ".join(edited(rng, texts[k], 1))
+    a, b, c, d, e = (" ".join(texts[k]) for k in "ABCDE")
+    rows = [(5, a), (5, b), (7, near("B")), (5, a)]  # one doc_id, unrelated texts
+    rows += [(None, near("A")), (None, c), (None, c), (None, near("C")), (None, d), (9, near("D")), (None, e)]
+    kept = [(r.doc_id, r.text.split()[0][0]) for r in nj.one_per_component(make_docs(rows)).collect()]
+    assert sorted(kept, key=repr) == [(5, "A"), (5, "B"), (9, "D"), (None, "C"), (None, "E")]
+    kept = nj.one_per_component(odd_docs)
+    assert kept.columns == odd_docs.columns
+    # The row without an id is a copy of 4, and both texts of 10 stay.
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 9, 10, 10, 11]
+    assert nj.one_per_component(no_docs).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     from trilect.llm.components import components
 

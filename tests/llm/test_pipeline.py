@@ -54,3 +54,10 @@ def test_oracle_columns(name, spark, data_dir):
     assert sorted(rel.columns) == sorted(df.columns)
     place = [rel.columns.index(c) for c in df.columns]
     assert sorted((tuple(r[k] for k in place) for r in rel.fetchall()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_ids_that_are_repeated_or_missing_lose_no_text(spark, make_docs, data_dir):
+    a, b, c = (" ".join(f"{k}{n}" for n in range(60)) for k in "abc")
+    rows = [(5, a), (5, b), (7, b + " more"), (None, c), (None, c), (None, a)]
+    kept = corpus_pipeline.drop_near_copies(spark, make_docs(rows), data_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, a), (5, b), (None, c)], key=repr)

@@ -102,3 +102,14 @@ def test_stage_rewrites_the_text(make_docs, odd_docs, no_docs):
     kept = sd.without_repeats(odd_docs)
     assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes and kept.count() == odd_docs.count()
     assert sd.without_repeats(no_docs).count() == 0
+
+
+def test_rows_without_an_id_of_their_own_are_judged(make_docs):
+    rng = random.Random(10)
+    p, q, own = ("".join(rng.choice("abcdefgh") for _ in range(80)) for _ in range(3))
+    rows = [(None, "-" + p + "+"), (3, p), (7, "<" + q + ">"), (7, q), (None, own), (None, "=" + own)]
+    out = sorted(((r.doc_id, r.text) for r in sd.without_repeats(make_docs(rows)).collect()), key=repr)
+    assert (3, p) in out and (None, "-+") in out  # NULL comes after every id
+    assert {t for i, t in out if i == 7} in ({"<" + q + ">", ""}, {q, "<>"})
+    assert {t for i, t in out if i is None} - {"-+"} in ({own, "="}, {"", "=" + own})
+    assert len(out) == len(rows)

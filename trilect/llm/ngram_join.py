@@ -410,3 +410,22 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     several = hashed.join(checked_broadcast(stay.filter("n > 1").drop("n")), ["doc_id", "of_text"], "left_semi")
     kept = single.unionByName(several.dropDuplicates(["doc_id"])).unionByName(hashed.filter("doc_id is null"))
     return kept.select("_doc.*")
+
+
+def one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component, whatever the ids: rows are told apart by doc_id and text.
+
+    The row with the smallest doc_id stays (NULL comes last), then that with the least text
+    hash. Rows that agree in doc_id and text are one; a blank text is its own component.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = rows.withColumns({"doc_id": F.col("_doc.doc_id").cast("bigint"), "of_text": F.xxhash64(text_of(F.col("_doc.text")))})
+    rows = rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "of_text"))
+    judged = ngram_join(rows.select("row", F.col("_doc.text").alias("text")), width, num, den, doc_id="row")
+    members = judged.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    keys = rows.select("row", "doc_id", "of_text").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "of_text", "row", "n")).alias("least")
+    stay = cut(members.join(keys, "row").groupBy("component_id").agg(least).select("least.row", "least.n"))
+    single = rows.join(checked_broadcast(stay.filter("n = 1").drop("n")), "row", "left_semi")
+    several = rows.join(checked_broadcast(stay.filter("n > 1").drop("n")), "row", "left_semi")
+    return single.unionByName(several.dropDuplicates(["row"])).select("_doc.*")

@@ -39,6 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from trilect.llm.hashing import mix
 from trilect.llm.shared import parts_for, slices, text_of
 from trilect.llm.suffix_sort import sort_suffixes
+from trilect.operators.ordering import checked_broadcast, null_safe_join, positions
+from trilect.session import store
 
 LENGTH, K = 50, 20
 SLICE_BYTES = 8 << 20
@@ -399,10 +401,33 @@ def remove_repeats(
     return packed.groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(lambda t, c: _remove(t, c, arrow), result)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number ``name`` for each doc_id and text, in the order of doc_id (NULL last) and text hash.
+
+    Where every doc_id names one row, it is the number itself.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = rows.withColumns({"doc_id": F.col("_doc.doc_id").cast("bigint"), "of_text": F.xxhash64(text_of(F.col("_doc.text")))})
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if repeated.isEmpty():
+        return rows.select("_doc.*", F.col("doc_id").alias(name))
+    keys = rows.select("doc_id", "of_text").distinct()
+    places = store(positions(keys, [F.col("doc_id").asc_nulls_last(), "of_text"], name="place"))
+    joined = null_safe_join(rows, checked_broadcast(places), ["doc_id", "of_text"])
+    return joined.select("_doc.*", F.col("place").alias(name))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` counted anew."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = remove_repeats(docs, carry=rest, as_text=True)
-    values = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` counted anew.
+
+    Rows that share a doc_id or have none are judged too: the smaller doc_id keeps a passage
+    (NULL comes last), then the smaller text hash.
+    """
+    name = "_number"
+    while name in docs.columns:
+        name = f"_{name}"
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    done = remove_repeats(numbered(docs, name), doc_id=name, carry=rest, as_text=True)
+    values = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     values |= {c: F.col(f"_carried_{k}") for k, c in enumerate(rest)}
     return done.select(*[values[c].alias(c) for c in docs.columns])
