@@ -99,3 +99,22 @@ def test_no_single_move_is_better():
             other = of.copy()
             other[w] = k
             assert information(other, left, right, n) <= best + 1e-9
+
+
+def test_every_word_of_the_table_gets_a_class_by_its_own_counts(spark):
+    """Words of two kinds take turns; all endings are one symbol, so only a word's neighbours tell its kind."""
+    rng = np.random.default_rng(3)
+    even, odd = ([f"{k}{n}x" for n in range(60)] for k in "ab")
+    texts = []
+    for _ in range(600):
+        line = []
+        for _ in range(10):
+            line += [rng.choice(even + ["p"] * 180), rng.choice(odd + ["q"] * 180)]
+        texts.append((" ".join(line),))
+    model = lm.train(spark.createDataFrame(texts, "text string"), clustered=2, endings=1, classes=2, listed=10)
+    of = {r.word: r.k for r in model["words"].collect()}
+    assert len({of[w] for w in even} | {of["p"]}) == 1 and len({of[w] for w in odd} | {of["q"]}) == 1 and of["p"] != of["q"]
+    assert of[""] == 2 and len(of) == 123
+    scored = lm.score(spark.createDataFrame([(1, f"{even[0]} {odd[0]}"), (2, f"{odd[0]} {even[0]}")], "doc_id int, text string"), model)
+    right, wrong = (r.score for r in scored.orderBy("doc_id").collect())
+    assert right > wrong

@@ -3,12 +3,15 @@
 Words are counted over all training texts. The most frequent words, and one symbol per
 word ending for all others, are put into classes by exchange: a symbol at a time moves to
 the class that raises the mutual information of adjacent classes most, until no symbol
-moves. A token then has the smoothed probability of its class after the last one's, times
-the smoothed probability of the word in its class.
+moves. From there every other word of the table moves on its own, by its own counts with
+the classes beside it: all at once per sweep, in Spark, for as long as the information of
+all adjacent words' classes rises. A token then has the smoothed probability of its class
+after the last one's, times the smoothed probability of the word in its class.
 
 Sizes on the driver are fixed by parameters: the bigram table of ``CLUSTERED`` words and
-``ENDINGS`` symbols, and the counts of the ``LISTED`` most frequent words, which scoring
-tasks look up. Counts of all other words are joined, so every count is exact.
+``ENDINGS`` symbols, the class-by-class sums, and the counts and classes of the ``LISTED``
+most frequent words, which scoring tasks look up. Counts and classes of all other words are
+joined. Words that no training text has are in the class of their ending.
 
 Tokens are the words after lower-casing A-Z, then one end. Defined cases: a NULL or empty
 text is one end. A NULL doc_id counts as an empty one when texts are held out. Repeated
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from trilect.llm.shared import crc_remainder, slices, text_of
 from trilect.session import store
 
-CLUSTERED, ENDINGS, CLASSES, LISTED = 1024, 256, 64, 1 << 17
+CLUSTERED, ENDINGS, CLASSES, LISTED = 2048, 512, 64, 1 << 17
 #: Weight, in tokens, of the class frequencies in a class's successors.
 BACKOFF = 20.0
 SWEEPS = 12
+#: Sweeps over the whole word table, at most.
+TABLE_SWEEPS = 2
 SLICE_BYTES = 8 << 20
 #: The end of a text in word tables; no word is empty.
 END = ""
@@ -53,7 +58,7 @@ def tokenize(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def ending(word: bytes, endings: int) -> int:
-    """The symbol of a word that isn't clustered itself: a hash of its last three characters."""
+    """The symbol of a word without one of its own: a hash of its last three characters."""
     return zlib.crc32(word.decode()[-3:].encode()) % endings
 
 
@@ -158,8 +163,99 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, total: int, cla
     return of
 
 
-def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
-    """The counts of the end and of the most frequent words, ``most`` at most.
+def count_word_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b, n): adjacent words, the ends of texts included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _texts(batches, 0):
+            words, codes, ends = tokenize(rows)
+            end = len(words)
+            line = np.append(end, np.insert(codes, ends, end))
+            pairs, n = np.unique(line[:-1] * (end + 1) + line[1:], return_counts=True)
+            spelled = pa.array([w.decode() for w in words] + [END], pa.string())
+            a, b = (spelled.take(pa.array(x)) for x in np.divmod(pairs, end + 1))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    return texts.select("text").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def contexts(pairs: DataFrame, classes_of: DataFrame, width: int) -> DataFrame:
+    """(word, k, key, n): how often each word stands before a class (key below ``width``) and after one."""
+    known = classes_of.select("word", "k")
+    left = pairs.join(known.withColumnsRenamed({"word": "a", "k": "ka"}), "a")
+    both = left.join(known.withColumnsRenamed({"word": "b", "k": "kb"}), "b")
+    before = F.struct(F.col("a").alias("word"), F.col("ka").alias("k"), F.col("kb").alias("key"))
+    after = F.struct(F.col("b").alias("word"), F.col("kb").alias("k"), (F.col("ka") + width).alias("key"))
+    sides = both.select(F.explode(F.array(before, after)).alias("x"), "n")
+    return sides.groupBy("x.word", "x.k", "x.key").agg(F.sum("n").alias("n"))
+
+
+def class_pairs(met: DataFrame, width: int) -> np.ndarray:
+    """The class-by-class counts, from the words' contexts."""
+    follows = np.zeros((width, width))
+    for r in met.filter(F.col("key") < width).groupBy("k", "key").agg(F.sum("n").alias("n")).collect():
+        follows[r["k"], r["key"]] = r["n"]
+    return follows
+
+
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def information(follows: np.ndarray) -> float:
+    """What ``exchange`` raises: the sum of n log n over class pairs, less that over class totals."""
+    return float(_g(follows).sum() - _g(follows.sum(1)).sum() - _g(follows.sum(0)).sum())
+
+
+def best_classes(home: np.ndarray, begins: np.ndarray, key: np.ndarray, n: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of words with contexts ``begins[i]`` to ``begins[i + 1]`` the class that raises the information most.
+
+    A word's own counts are taken out of its class first; its neighbours' classes stay. It
+    stays on ties, and never joins the class of the end.
+    """
+    width = len(follows)
+    sides = np.concatenate([follows.T, follows])  # by key: the counts with each class in the word's place
+    owner = np.repeat(np.arange(len(home)), np.diff(begins))
+    base = sides[key]
+    gain = _g(base + n[:, None]) - _g(base)
+    own = np.arange(len(key)), home[owner]
+    gain[own] = _g(base[own]) - _g(np.maximum(base[own] - n, 0.0))
+    gain = np.add.reduceat(gain, begins[:-1], axis=0)
+    for side, totals in ((key < width, follows.sum(1)), (key >= width, follows.sum(0))):
+        count = np.bincount(owner, n * side, len(home))[:, None]
+        less = _g(totals + count) - _g(totals)
+        at = np.arange(len(home)), home
+        less[at] = _g(totals[home]) - _g(np.maximum(totals[home] - count[:, 0], 0.0))
+        gain -= less
+    gain[:, -1] = -np.inf
+    best = gain.argmax(1)
+    rows = np.arange(len(home))
+    return np.where(gain[rows, best] > gain[rows, home] + 1e-9, best, home)
+
+
+def moved(met: DataFrame, fixed: dict[bytes, int], follows: np.ndarray) -> DataFrame:
+    """(word, k): each word's best class; the ``fixed`` words and the end keep theirs."""
+    shared = met.sparkSession.sparkContext.broadcast((set(fixed) | {END.encode()}, follows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stay, matrix = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                lists = batch.column(2)
+                begins = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+                keys, n = (x.to_numpy() for x in lists.flatten().flatten())
+                home = batch.column(1).to_numpy()
+                best = best_classes(home, begins, keys, n.astype(np.float64), matrix)
+                held = np.array([w.encode() in stay for w in batch.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(held, home, best), pa.int32())], names=["word", "k"])
+
+    each = met.groupBy("word").agg(F.min("k").alias("k"), F.collect_list(F.struct("key", "n")).alias("beside"))
+    return each.mapInArrow(run, "word string, k int")
+
+
+def frequent_words(words: DataFrame, most: int) -> pa.Table:
+    """The rows of the end and of the most frequent words, ``most`` at most.
 
     Words are counted by 64 steps to a doubling of their count, and whole steps are taken
     from the top; no more than the words taken and a few thousand sums reach the driver.
@@ -172,15 +268,15 @@ def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
         if room < 0:
             break
         least = r["step"]
-    taken = words.filter((step >= least) | (F.col("word") == END)).toArrow()
-    return {w.encode(): c for w, c in zip(taken["word"].to_pylist(), taken["c"].to_pylist())}
+    return words.filter((step >= least) | (F.col("word") == END)).toArrow()
 
 
-def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, listed: int = LISTED) -> dict:
-    """Learns from a ``text`` column. ``words`` is the stored table of all counts; the rest has a fixed size."""
-    words = store(count_words(texts))
-    tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    counts = frequent_words(words, listed)
+def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, listed: int = LISTED, sweeps: int = TABLE_SWEEPS) -> dict:
+    """Learns from a ``text`` column. ``words`` is the stored table of all words' counts and classes; the rest has a fixed size."""
+    counted = store(count_words(texts))
+    tokens, types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    taken = frequent_words(counted, listed)
+    counts = {w.encode(): c for w, c in zip(taken["word"].to_pylist(), taken["c"].to_pylist())}
     ranked = sorted((w for w in counts if w != END.encode()), key=lambda w: (-counts[w], w))
     chosen = [w.decode() for w in ranked[:clustered]]
     total = len(chosen) + endings + 1
@@ -189,114 +285,102 @@ def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS,
     n = pairs["n"].to_numpy()
     del pairs
     of = exchange(left, right, n, total, classes)
+    del left, right, n
     width = classes + 1
-    follows = np.bincount(of[left] * width + of[right], n, width * width).reshape(width, width)
-    share = (follows.sum(0) + 0.5) / (follows.sum() + 0.5 * width)
-    steps = np.log10((follows + BACKOFF * share) / (follows.sum(1, keepdims=True) + BACKOFF))
-    # Tokens and types of each class, for the words' share in it; counted over the whole table.
-    model = {
-        "words": words, "tokens": int(tokens), "types": int(types), "counts": counts,
-        "clustered": {w.encode(): k for k, w in enumerate(chosen)}, "endings": endings, "of": of, "steps": steps,
-    }
-    shared = texts.sparkSession.sparkContext.broadcast((model["clustered"], of))
+    core = {w.encode(): k for k, w in enumerate(chosen)}
+    shared = texts.sparkSession.sparkContext.broadcast((core, of))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes_of = shared.value
         for batch in batches:
             spelled = [w.encode() for w in batch.column(0).to_pylist()]
-            c = batch.column(1).to_numpy()
-            k = classes_of[symbols_of(spelled, known, endings)]
-            yield pa.RecordBatch.from_pydict({
-                "k": pa.array(np.arange(width), pa.int32()),
-                "c": pa.array(np.bincount(k, c, width).astype(np.int64)),
-                "types": pa.array(np.bincount(k, minlength=width).astype(np.int64)),
-            })
-
-    tallied = words.filter(F.col("word") != END).mapInArrow(tally, "k int, c bigint, types bigint")
+            k = np.where([w == END.encode() for w in spelled], classes_of[-1], classes_of[symbols_of(spelled, known, endings)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k, pa.int32())], names=["word", "k"])
+
+    placed = store(counted.mapInArrow(start, "word string, k int"))
+    beside = store(count_word_pairs(texts))
+    met = store(contexts(beside, placed, width))
+    follows = class_pairs(met, width)
+    for _ in range(sweeps):
+        other = store(moved(met, core, follows))
+        met = store(contexts(beside, other, width))
+        now = class_pairs(met, width)
+        if information(now) <= information(follows):
+            break
+        placed, follows = other, now
+    share = (follows.sum(0) + 0.5) / (follows.sum() + 0.5 * width)
+    steps = np.log10((follows + BACKOFF * share) / (follows.sum(1, keepdims=True) + BACKOFF))
+    words = store(counted.join(placed, "word"))
+    taken = frequent_words(words, listed)
+    own = {w.encode(): k for w, k in zip(taken["word"].to_pylist(), taken["k"].to_pylist()) if w != END}
+    # Tokens and types of each class, for the words' share in it; counted over the whole table.
     held, kinds = np.zeros(width), np.zeros(width)
-    for r in tallied.groupBy("k").agg(F.sum("c").alias("c"), F.sum("types").alias("types")).collect():
+    for r in words.filter(F.col("word") != END).groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types")).collect():
         held[r["k"]], kinds[r["k"]] = r["c"], r["types"]
-    model["within"] = np.log10(held + 0.5 * (kinds + 1))
-    return model
+    return {
+        "words": words, "tokens": int(tokens), "types": int(types), "counts": counts,
+        "clustered": {w: k for k, w in enumerate(own)}, "endings": endings,
+        "of": np.append(np.array(list(own.values()), np.int64), of[len(chosen) :]), "steps": steps, "within": np.log10(held + 0.5 * (kinds + 1)),
+    }
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score and perplexity of each row.
 
-    A row leaves the scoring task as its sums over listed words, and one row per other
-    distinct word, which meets its count by a join. The sums travel under a word of their
-    own that no text has, so that they spread over all partitions.
+    The words of a text that aren't listed meet their counts and classes by a join, once
+    for equal texts, and come back to the text in one list.
     """
     keep = ("counts", "clustered", "endings", "of", "steps", "within")
     shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in keep})
     source = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     source = source.select("doc_id", F.xxhash64("text").alias("of_text"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, of_text bigint, word string, n bigint, n_tokens bigint, n_known bigint, base double, path double"
-    names = [c.split()[0] for c in schema.split(", ")]
+    floor = float(np.log10(model["tokens"] + 0.5 * (model["types"] + 1)))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared.value["counts"]
+        for batch, rows in _texts(batches, 1):
+            words, codes, ends = tokenize(rows)
+            owner = np.repeat(np.arange(len(rows)), np.diff(np.append(0, ends)))
+            seek = np.array([w not in listed for w in words], bool)[codes] if words else np.zeros(0, bool)
+            found = np.unique(owner[seek] * max(1, len(words)) + codes[seek])
+            of_row, of_word = np.divmod(found, max(1, len(words)))
+            spelled = pa.array([w.decode() for w in words], pa.string()).take(pa.array(of_word))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_row)), spelled], names=["of_text", "word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         of, steps, within = m["of"], m["steps"], m["within"]
         end_class = int(of[-1])
-        end_log = np.log10(m["counts"].get(END.encode(), 0) + 0.5)
-        for batch, rows in _texts(batches, 2):
+        end_count = m["counts"].get(END.encode(), 0)
+        for batch, rows in _texts(batches, 1):
             words, codes, ends = tokenize(rows)
-            c = np.array([m["counts"].get(w, -1) for w in words], np.int64)
+            fields = batch.column(2).flatten().flatten()
+            met = {w.encode(): x for w, *x in zip(*(f.to_pylist() for f in fields))}
+            c = np.array([m["counts"].get(w) or met.get(w, (0,))[0] for w in words], np.int64)
             k = of[symbols_of(words, m["clustered"], m["endings"])] if words else np.zeros(0, np.int64)
+            for j, w in enumerate(words):
+                if w in met:
+                    k[j] = met[w][1]
             begins = np.append(0, ends[:-1])
-            # Per token: the log of its count (0 for words not listed) and its place in the class.
-            logs = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0)
-            known = np.where(c > 0, 1, 0)
+            logs = np.log10(c + 0.5)
             sums = lambda x: np.add.reduceat(np.append(x[codes], 0), begins) * (ends > begins) if len(begins) else x  # noqa: E731, B023
-            listed = sums(logs) if len(rows) else np.zeros(0)
+            counted = (sums(logs) if len(rows) else np.zeros(0)) + np.log10(end_count + 0.5)
             line = np.append(end_class, np.insert(k[codes], ends, end_class))
             step = np.append(0.0, np.cumsum(steps[line[:-1], line[1:]]))
             places = np.arange(len(rows))
             path = step[ends + places + 1] - step[begins + places]
             inside = sums(within[k]) if len(rows) else np.zeros(0)
             n_tokens = ends - begins + 1
-            ends_known = int(m["counts"].get(END.encode(), 0) > 0)
-            head = [
-                batch.column(0), batch.column(1),
-                pa.array([f"\0{i}/{t}" for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.string()),
-                pa.array(np.zeros(len(rows), np.int64)), pa.array(n_tokens), pa.array(sums(known).astype(np.int64) + ends_known),
-                pa.array(listed + end_log), pa.array(path + listed - inside),
-            ]
-            yield pa.RecordBatch.from_arrays(head, names=names)
-            owner = np.repeat(places, ends - begins)
-            rare = c[codes] < 0
-            pairs, n = np.unique(owner[rare] * max(1, len(words)) + codes[rare], return_counts=True)
-            rows_of, words_of = np.divmod(pairs, max(1, len(words)))
-            none = lambda t: pa.nulls(len(pairs), t)  # noqa: E731, B023
-            tail = [
-                batch.column(0).take(pa.array(rows_of)), batch.column(1).take(pa.array(rows_of)),
-                pa.array([w.decode() for w in words], pa.string()).take(pa.array(words_of)), pa.array(n.astype(np.int64)),
-                none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(tail, names=names)
-
-    met = source.mapInArrow(run, schema).join(model["words"], "word", "left")
-    log_count = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
-    summed = met.groupBy("doc_id", "of_text").agg(
-        F.count("n_tokens").alias("copies"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.max("n_known").alias("known"),
-        F.max("base").alias("base"),
-        F.max("path").alias("path"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_rare"),
-        F.sum(F.when(F.col("n") > 0, log_count).otherwise(0.0)).alias("rare"),
-    )
-    floor = float(np.log10(model["tokens"] + 0.5 * (model["types"] + 1)))
-    # Rows that are repeated have met their words as often; each gets its share and is given back.
-    single = summed.withColumn("rare", F.col("rare") / F.col("copies")).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    scored = single.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + (F.col("known_rare") / F.col("copies")).cast("bigint")).alias("n_known"),
-        (F.col("base") + F.col("rare") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("path") + F.col("rare")).alias("score"),
-    )
+            n_known = sums((c > 0).astype(np.int64)).astype(np.int64) + int(end_count > 0)
+            scores = path + counted - np.log10(end_count + 0.5) - inside
+            out = [batch.column(0), pa.array(n_tokens), pa.array(n_known), pa.array(counted - n_tokens * floor), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    sought = source.select("of_text", "text").mapInArrow(rare, "of_text bigint, word string").distinct()
+    answers = sought.join(model["words"], "word").groupBy("of_text").agg(F.collect_list(F.struct("word", "c", "k")).alias("met"))
+    full = source.join(answers, "of_text", "left").select("doc_id", "text", "met")
+    scored = full.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
