@@ -50,6 +50,17 @@ def test_fit_with_budgets_past_the_exact_part():
         assert abs(base * size + int((more * lengths).sum()) - share * size) <= 2
 
 
+def test_lengths_of_one_document_give_a_seeded_share():
+    lengths = np.arange(1, 4001)
+    size = int(lengths.sum())
+    base, more = fit(lengths, np.ones(4000, np.int64), 0.5 * size)
+    assert base == 0 and set(more) == {0, 1} and abs(int((more * lengths).sum()) - size // 2) <= 1
+    for low in range(0, 4000, 500):  # every band of lengths, not the longest only
+        assert 200 <= more[low : low + 500].sum() <= 300
+    other = fit(lengths, np.ones(4000, np.int64), 0.5 * size, seed=1)[1]
+    assert (other != more).any() and (fit(lengths, np.ones(4000, np.int64), 0.5 * size)[1] == more).all()
+
+
 def test_targets(spark):
     sizes = {"b": 100, "B": 4000, "é": 300, "": 50, None: 900, "a": 0, "z": 70}
     order = ["", "B", "a", "b", "z", "é", None]

@@ -1,9 +1,12 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length (in words) per source. A source's budget takes all
-its documents as often as it can; of the remaining budget every length gives its
-proportional share, and the last words are fitted by a bounded-knapsack over the lengths
-that are left. Which documents of a length are taken is decided by a seeded order.
+its documents as often as it can; of the remaining budget every length gives the whole
+documents of its proportional share. Where the fractions that are left over make more than
+``EXACT`` words, lengths give one document more each by a seeded draw in proportion to their
+fraction. The last words, ``EXACT`` or four times the longest document at most, are fitted by
+a bounded knapsack over the lengths that are left, long ones first. Which documents of a
+length are taken is decided by a seeded order.
 
 Defined cases: a NULL or blank text has size 0 and takes no words. NULL is a source of its
 own, the last one; an empty name is an ordinary source. Rows that are repeated count each.
@@ -56,7 +59,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return weighted.withColumn("target", F.least(limit.cast("double"), F.col("weight") * F.lit(level)))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, exact: int = EXACT) -> tuple[int, np.ndarray]:
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, exact: int = EXACT, seed: int = SEED) -> tuple[int, np.ndarray]:
     """How often every document is taken, and how many of each length once more."""
     lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
     size = sum(a * b for a, b in zip(lengths, counts))
@@ -68,12 +71,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST
     left = [c - k for c, k in zip(counts, more)]
     rest -= sum(a * b for a, b in zip(lengths, more))
     by_length = sorted((k for k in range(len(lengths)) if lengths[k]), key=lambda k: -lengths[k])
-    for k in by_length:  # long documents first, until what is left can be solved exactly
-        if rest <= exact:
-            break
-        n = min(left[k], (rest - exact // 2) // lengths[k])
-        if n > 0:
-            more[k], left[k], rest = more[k] + n, left[k] - n, rest - n * lengths[k]
+    reserve = max(exact // 2, 2 * max(lengths))
+    if rest > max(exact, reserve):
+        # In the order of length, the draw is never two documents off its share, so its words
+        # are less than twice the longest document off.
+        drawn = 1 - reserve / rest
+        place = float(np.random.default_rng(seed).random())
+        for k in reversed(by_length):
+            place += (budget % size) * counts[k] % size / size * drawn
+            if place >= 1:
+                more[k], left[k], rest, place = more[k] + 1, left[k] - 1, rest - lengths[k], place - 1
     # Bounded knapsack: first[s] is the piece (length, number) by which s words were first reached.
     pieces: list[tuple[int, int]] = []
     first = np.full(rest + 1, -1, np.int32)
@@ -114,7 +121,7 @@ def mix_sources(
 
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
-        base, more = fit(rows["size"].to_numpy(), rows["n"].to_numpy(), rows["target"].iloc[0], most)
+        base, more = fit(rows["size"].to_numpy(), rows["n"].to_numpy(), rows["target"].iloc[0], most, seed=seed)
         return rows[["source", "size", "source_size", "target"]].assign(base=base, more=more)
 
     kind = sized.schema["source"].dataType.simpleString()
