@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trilect.llm.byte_bpe import encode_bytes
 from trilect.llm.class_lm import score_held_out
 from trilect.llm.language_id import identify
 from trilect.llm.mixing import mix_sources
@@ -87,6 +88,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
 
 
+@register("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    return encode_bytes(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
 @register("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
