@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from trilect.llm.byte_bpe import encode_bytes
 from trilect.llm.class_lm import score_held_out
 from trilect.llm.language_id import identify
+from trilect.llm.merkle import lower_ascii, manifest
 from trilect.llm.mixing import mix_sources
 from trilect.llm.ngram_join import ngram_join
 from trilect.llm.pieces import encode_pieces
 from trilect.llm.quality_model import score_quality
 from trilect.llm.quality_rules import quality_rules
-from trilect.llm.shared import table
+from trilect.llm.shared import crc_remainder, table
 from trilect.llm.suffix_dedup import remove_repeats
 from trilect.llm.topk_search import top_k
 from trilect.llm.warc import round_trip
@@ -88,6 +89,66 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer(), digests=True)
 
 
+def crc32_sql(value: str) -> str:
+    """The CRC-32 of an ASCII text, bit by bit."""
+    shift = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {shift})"
+    codes = f"[ascii(x)::BIGINT for x in string_split({value}, '')]"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+LEAF_SQL = "sha256(" + " || ".join(
+    f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')"
+    for f in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")
+) + ")"
+MERKLE_SQL = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, lang, {LEAF_SQL.replace("{text}", "text")} AS leaf,
+             {LEAF_SQL.replace("{text}", "met")} AS found
+      FROM (SELECT *, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0
+                      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                      ELSE text END AS met FROM documents)),
+n AS (SELECT *, coalesce('_' || lang, '') AS g,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS n,
+             row_number() OVER () AS r FROM d),
+up AS (SELECT g, 0 AS lvl, i, leaf AS h, n FROM n
+       UNION ALL
+       SELECT g, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8
+       FROM up WHERE n > 1 GROUP BY g, lvl, i // 8, n),
+sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS m FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, j AS i, subroot AS h, m AS n FROM sub
+        UNION ALL
+        SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8
+        FROM top WHERE n > 1 GROUP BY lvl, i // 8, n),
+beside AS (
+  SELECT n.r, u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < n.i // (8 ** u.lvl)::BIGINT), '') AS lefts,
+         coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > n.i // (8 ** u.lvl)::BIGINT), '') AS rights
+  FROM n JOIN up AS u ON u.g = n.g AND u.n > 1 AND u.i // 8 = n.i // (8 ** (u.lvl + 1))::BIGINT
+  GROUP BY n.r, u.lvl
+  UNION ALL
+  SELECT n.r, 100 + u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < s.j // (8 ** u.lvl)::BIGINT), ''),
+         coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > s.j // (8 ** u.lvl)::BIGINT), '')
+  FROM n JOIN sub AS s USING (g) JOIN top AS u ON u.n > 1 AND u.i // 8 = s.j // (8 ** (u.lvl + 1))::BIGINT
+  GROUP BY n.r, u.lvl),
+step AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k, count(*) OVER (PARTITION BY r) AS last FROM beside),
+f AS (SELECT r, 0 AS k, found AS h FROM n
+      UNION ALL
+      SELECT f.r, f.k + 1, sha256(lefts || h || rights) FROM f JOIN step ON step.r = f.r AND step.k = f.k + 1),
+proof AS (SELECT r, string_agg(lefts || rights, '' ORDER BY k) AS p FROM step GROUP BY r),
+folded AS (SELECT r, arg_max(h, k) AS folded_root FROM f GROUP BY r)
+SELECT n.doc_id, n.leaf, sub.subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM n JOIN sub USING (g) JOIN folded USING (r) LEFT JOIN proof USING (r), (SELECT h AS root FROM top WHERE n = 1)
+"""
+
+
+@register("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 3) == 0)
+    met = F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return manifest(table(spark, sf_dir, "documents"), met, proofs=False)
+
+
 @register("op13_byte_bpe")
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
