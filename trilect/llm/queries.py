@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trilect.llm.byte_bpe import encode_bytes
 from trilect.llm.class_lm import score_held_out
+from trilect.llm.conversation_repair import repair
 from trilect.llm.language_id import identify
 from trilect.llm.merkle import lower_ascii, manifest
 from trilect.llm.mixing import mix_sources
@@ -149,6 +150,68 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), met, proofs=False)
 
 
+BODY = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+REPAIR_SQL = f"""
+WITH RECURSIVE
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+      FROM conversations),
+g AS (SELECT coalesce('_' || conv_id, '') AS g, conv_id FROM (SELECT DISTINCT conv_id FROM c)),
+d AS (SELECT coalesce('_' || conv_id, '') AS g, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), n) AS i
+      FROM c, LATERAL (SELECT unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS n) WHERE k <> 0),
+e AS (SELECT *, left(role, 1) AS ini, {BODY} AS body,
+             row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS seen FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen THEN 'duplicate'
+                WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+             lag(ini) OVER (PARTITION BY g ORDER BY i) AS prev FROM e),
+-- Before a row: nothing, or one or two insertions; states 0 start, 1 system, 2 user, 3 assistant.
+ins(s, t, a, p, x) AS (VALUES (0, 0, '', 0, ''), (0, 2, 'I', 2, chr(10) || 'user:'), (0, 3, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 1, '', 0, ''), (1, 2, 'I', 2, chr(10) || 'user:'), (1, 3, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, '', 0, ''), (2, 3, 'I', 2, chr(10) || 'assistant:'), (3, 3, '', 0, ''), (3, 2, 'I', 2, chr(10) || 'user:')),
+due(t, u, w, ini) AS (VALUES (0, 2, 'user', 'u'), (1, 2, 'user', 'u'), (2, 3, 'assistant', 'a'), (3, 2, 'user', 'u')),
+op AS (
+  SELECT g, i, t, t AS u, 'D' AS a, 3 AS p, '' AS x FROM f, due
+  UNION ALL
+  SELECT g, i, t, u, 'R', 2 + (fault = 'truncated')::INT, chr(10) || w || ':' || text FROM f, due WHERE fault IN ('none', 'truncated')
+  UNION ALL
+  SELECT g, i, t, u, 'K', (fault = 'truncated')::INT, chr(10) || role || ':' || text
+  FROM f JOIN due USING (ini) WHERE fault IN ('none', 'truncated')
+  UNION ALL
+  SELECT g, i, 0, 1, 'K', (fault = 'truncated')::INT, chr(10) || role || ':' || text
+  FROM f WHERE ini = 's' AND fault IN ('none', 'truncated')),
+dp AS (
+  SELECT g, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, '' AS x FROM g
+  UNION ALL
+  SELECT dp.g, dp.i + 1, op.u, min(dp.cost + ins.p + op.p),
+         arg_min(dp.audit || ins.a || op.a, lpad((dp.cost + ins.p + op.p)::VARCHAR, 9, '0') || dp.audit || ins.a || op.a),
+         arg_min(dp.x || ins.x || op.x, lpad((dp.cost + ins.p + op.p)::VARCHAR, 9, '0') || dp.audit || ins.a || op.a)
+  FROM dp JOIN ins ON ins.s = dp.s JOIN op ON op.g = dp.g AND op.i = dp.i + 1 AND op.t = ins.t
+  GROUP BY dp.g, dp.i, op.u),
+n AS (SELECT g, max(i) AS n FROM dp GROUP BY g),
+done AS (
+  SELECT dp.g, min(cost + ins.p) AS cost,
+         arg_min(audit || ins.a, lpad((cost + ins.p)::VARCHAR, 9, '0') || audit || ins.a) AS audit,
+         arg_min(dp.x || ins.x, lpad((cost + ins.p)::VARCHAR, 9, '0') || audit || ins.a) AS x
+  FROM dp JOIN n ON n.g = dp.g AND n.n = dp.i JOIN ins ON ins.s = dp.s AND (ins.t = 3 OR ins.t = 0)
+  GROUP BY dp.g),
+s AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, done.cost::BIGINT AS cost, audit,
+       sha256(substr(x, 2)) AS repaired_sha256
+FROM g JOIN done USING (g) LEFT JOIN s USING (g)
+"""
+
+
+@register("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 @register("op13_byte_bpe")
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
