@@ -139,4 +139,77 @@ def test_ddl_with_brackets_of_any_depth(spark):
     df = spark.createDataFrame([("d", "pg", ddl), ("e", "pg", None)], "db string, dialect string, ddl string")
     got = [(r.table_name, r.column_name) for r in c.catalog_from_ddl(df).orderBy("table_name", "ordinal").collect()]
     assert got == [("first", "id"), ("first", "s"), ("first", "price"), ("second", "a"), ("second", "m")]
-    assert [r.statement for r in c.ddl_rejects(df).collect()] == ["CREATE TABLE broken id int"]
+    rejects = [(r.statement, r.part, r.reason) for r in c.ddl_rejects(df).collect()]
+    assert rejects == [
+        ("CREATE TABLE broken id int", None, "no list of columns"),
+        ("CREATE TABLE unended (id int", None, "the end is missing"),
+    ]
+
+
+def one_table(spark, ddl, dialect="pg"):
+    df = spark.createDataFrame([("d", dialect, ddl)], "db string, dialect string, ddl string")
+    columns = {r.column_name: r for r in c.catalog_from_ddl(df).collect()}
+    keys = [(r.columns, r.ref_schema, r.ref_table, r.ref_columns, r.on_delete, r.on_update) for r in c.foreign_keys_from_ddl(df).collect()]
+    texts = [(r.kind, r.columns, r.text) for r in c.constraints_from_ddl(df).collect()]
+    return columns, keys, texts, [(r.part, r.reason) for r in c.ddl_rejects(df).collect()]
+
+
+def test_lists_with_quotes_and_brackets(spark):
+    columns, _, texts, rejects = one_table(spark, "CREATE TABLE t (s TEXT, CHECK ((s IN ('it''s','(x)'))), k CHAR(1) CHECK (k IN ('a', 'b')));")
+    assert columns["s"].allowed_values == ["it's", "(x)"] and columns["k"].allowed_values == ["a", "b"] and not rejects
+    assert texts == [("check", ["s"], "(s IN ('it''s','(x)'))"), ("check", ["k"], "k IN ('a', 'b')")]
+
+
+def test_keys_in_every_place(spark):
+    _, keys, _, rejects = one_table(
+        spark,
+        "CREATE TABLE x (a BIGINT REFERENCES pub.a(id) ON DELETE CASCADE, b INT REFERENCES y, FOREIGN KEY (a) REFERENCES db.pub.a (id)"
+        " MATCH FULL ON UPDATE SET DEFAULT ON DELETE NO ACTION); CREATE TABLE y (n INT, PRIMARY KEY (n));",
+    )
+    assert not rejects and keys == [
+        (["a"], "pub", "a", ["id"], "CASCADE", None), (["b"], None, "y", ["n"], None, None),
+        (["a"], "db.pub", "a", ["id"], "NO ACTION", "SET DEFAULT"),
+    ]
+
+
+def test_words_inside_texts_are_no_options(spark):
+    columns, _, texts, rejects = one_table(
+        spark,
+        "CREATE TABLE t (code VARCHAR(4) DEFAULT 'UNIQUE', note TEXT DEFAULT 'PRIMARY KEY' NOT NULL, at TIMESTAMP DEFAULT now() - interval '1 day',"
+        ' n NUMBER(8,2) GENERATED BY DEFAULT AS IDENTITY, m INT GENERATED ALWAYS AS (n * 2) STORED, "key" INT, key VARCHAR(3), x DOUBLE PRECISION);',
+    )
+    assert not rejects and list(columns) == ["code", "note", "at", "n", "m", "key", "x"]
+    assert not any(r.is_unique or r.is_pk for r in columns.values())
+    assert not columns["note"].nullable and columns["n"].is_auto and not columns["m"].is_auto and columns["x"].data_type == "DOUBLE PRECISION"
+    assert [t for k, _, t in texts if k == "default"] == ["'UNIQUE'", "'PRIMARY KEY'", "now() - interval '1 day'"]
+
+
+def test_backslashes_escape_in_one_dialect(spark):
+    mysql = one_table(spark, r"""CREATE TABLE t (`a` ENUM('it\'s', "b") COMMENT 'x\', y', KEY `k` (`a`(3)), KEY (`a` DESC)) ENGINE=InnoDB;""", "mysql")
+    assert mysql[0]["a"].allowed_values == ["it's", "b"] and not mysql[3]
+    pg = one_table(spark, r"CREATE TABLE t (a TEXT DEFAULT 'C:\', b INT);")
+    assert list(pg[0]) == ["a", "b"] and pg[2] == [("default", ["a"], r"'C:\'")]
+
+
+def test_what_is_not_read_is_told(spark):
+    columns, _, _, rejects = one_table(
+        spark, "CREATE TABLE t (a INT SPARSE, LIKE other, b, FOREIGN KEY (a), CONSTRAINT c, d INT); CREATE TABLE u (a INT"
+    )
+    assert {"a", "d"} <= set(columns)  # of a column with an unknown option the rest is told
+    assert {p or r for p, r in rejects} >= {"a INT SPARSE", "b", "FOREIGN KEY (a)", "CONSTRAINT c", "the end is missing"}
+    assert one_table(spark, "")[0] == {} and one_table(spark, ";;'")[3] == []
+
+
+def test_the_reader_travels_with_the_job():
+    """An executor without the package can load what a job sends it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from trilect.functions.ddl import read_ddl
+
+    sent = cloudpickle.dumps(read_ddl).hex()
+    code = f"import pickle, sys; f = pickle.loads(bytes.fromhex('{sent}')); print(f('CREATE TABLE t (a INT);', 'pg')['tables'][0]['table_name'], 'trilect' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/")
+    assert out.stdout.split() == ["t", "False"], out.stderr

@@ -7,8 +7,7 @@ nullable, is_pk, is_auto, is_unique, max_length, allowed_values). Foreign keys:
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilect.functions.columns import as_column
+from trilect.functions.ddl import read_ddl
 from trilect.operators.ordering import lookup_join, null_safe_join, positions
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
@@ -141,70 +141,14 @@ def catalog_from_frames(frames: dict[str, DataFrame], db: str, primary_keys: dic
     return reduce(DataFrame.unionByName, out)
 
 
-# A token of DDL text: a comment, a quoted text or name, a bracket, comma or end, or other text.
-_TOKEN = re.compile(
-    r"""--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\]|\\.|\'\')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|[(),;]|\s+|[^\s'"`(),;/-]+|.""", re.DOTALL
-)
-_QUOTES = "`\""
-
-
-def _statements(ddl: str) -> Iterator[list[str]]:
-    """The tokens of each statement, without comments, white space as one blank."""
-    tokens: list[str] = []
-    for m in _TOKEN.finditer(ddl):
-        token = m[0]
-        if token == ";":
-            yield tokens
-            tokens = []
-        elif not token.startswith(("--", "/*")):
-            tokens.append(" " if token.isspace() else token)
-    # A statement without an end is still being written and is left out.
-
-
-def _bracketed(tokens: list[str], at: int) -> list[str]:
-    """The comma-separated parts between the bracket at ``at`` and its partner, at any depth; none without a partner."""
-    parts, depth = [""], 0
-    for k in range(at, len(tokens)):
-        token = tokens[k]
-        depth += (token == "(") - (token == ")")
-        if depth == 0:
-            return [" ".join(p.split()) for p in parts if p.strip()]
-        if k == at:
-            continue
-        if token == "," and depth == 1:
-            parts.append("")
-        else:
-            parts[-1] += token
-    return []
-
-
-def read_ddl(ddl: str) -> tuple[list[tuple[str, list[str]]], list[tuple[str, list[str]]], list[str]]:
-    """Tables and enumerated types of a DDL text, with their parts, and statements that can't be read."""
-    tables, enums, rejects = [], [], []
-    for tokens in _statements(ddl):
-        words = [(k, t.upper()) for k, t in enumerate(tokens) if t != " "]
-        if not words or words[0][1] != "CREATE":
-            continue
-        kind = next((n for n, (_, w) in enumerate(words[1:4], 1) if w in ("TABLE", "TYPE")), None)
-        if kind is None:
-            continue
-        opens = next((k for k, w in words[kind:] if w == "("), None)
-        parts = _bracketed(tokens, opens) if opens is not None else []
-        heading = "".join(tokens[words[kind][0] + 1 : opens]).split()
-        if [w.upper() for w in heading[:3]] == ["IF", "NOT", "EXISTS"]:
-            heading = heading[3:]
-        name = heading[0].split(".")[-1].strip(_QUOTES) if heading else ""
-        if words[kind][1] == "TYPE":
-            if [w.upper() for w in heading[1:]] == ["AS", "ENUM"]:
-                enums.append((name, parts))
-        elif name and parts and len(heading) == 1:
-            tables.append((name, parts))
-        else:
-            rejects.append("".join(tokens).strip())
-    return tables, enums, rejects
-
-
-_READ = "struct<tables:array<struct<table_name:string,parts:array<string>>>,enums:array<struct<type:string,labels:array<string>>>,rejects:array<string>>"
+_READ = """struct<
+  tables: array<struct<schema_name: string, table_name: string,
+    columns: array<struct<ordinal: int, column_name: string, data_type: string, nullable: boolean, is_pk: boolean, is_auto: boolean,
+      is_unique: boolean, max_length: int, allowed_values: array<string>, default_value: string>>,
+    constraints: array<struct<constraint_name: string, kind: string, columns: array<string>, text: string>>,
+    keys: array<struct<constraint_name: string, columns: array<string>, ref_schema: string, ref_table: string,
+      ref_columns: array<string>, on_delete: string, on_update: string>>>>,
+  rejects: array<struct<statement: string, part: string, reason: string>>>"""
 
 
 def _read_ddl(ddl: DataFrame) -> DataFrame:
@@ -215,42 +159,25 @@ def _read_ddl(ddl: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf(_READ)
-    def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_ddl(t or "") for t in texts], columns=["tables", "enums", "rejects"])
+    def read(texts: pd.Series, dialects: pd.Series) -> pd.DataFrame:
+        found = [read_ddl(t or "", d or "") for t, d in zip(texts, dialects)]
+        return pd.DataFrame(found, columns=["tables", "rejects"])
 
-    return ddl.select("db", "dialect", read("ddl").alias("_read"))
+    return ddl.select("db", "dialect", read("ddl", "dialect").alias("_read"))
 
 
-def ddl_rejects(ddl: DataFrame) -> DataFrame:
-    """(db, dialect, statement): CREATE TABLE statements that give no catalog rows."""
-    return _read_ddl(ddl).select("db", "dialect", F.explode("_read.rejects").alias("statement"))
-
-
-_COLUMN = r'(?is)^(?:[`"]([^`"]+)[`"]|(\w+))\s+(?:[`"]([^`"]+)[`"]|(\w+(?:\s*\([^)]*\))?))(.*)$'
-_CHECK_IN = r'(?is)CHECK\s*\(\s*[`"]?(\w+)[`"]?\s+IN\s*\(([^)]+)\)'
-_FOREIGN_KEY = r'(?is)FOREIGN\s+KEY\s*\(([^)]+)\)\s*REFERENCES\s+[`"]?(\w+)[`"]?\s*\(([^)]+)\)'
-
-
-def _all(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-
-def _names(listed: Column) -> Column:
-    """``a, `b`, "c"`` as an array of bare names."""
-    return F.transform(F.split(listed, ","), lambda x: F.regexp_replace(F.trim(x), r'^[`"]|[`"]$', ""))
+def _of_tables(ddl: DataFrame, field: str) -> DataFrame:
+    """One row per item of ``field`` of each table: db, dialect, schema_name, table_name and the item's fields."""
+    tables = _read_ddl(ddl).select("db", "dialect", F.explode("_read.tables").alias("_t"))
+    return tables.select("db", "dialect", "_t.schema_name", "_t.table_name", F.inline(f"_t.{field}"))
 
 
-def _labels(listed: Column) -> Column:
-    return _all(listed, r"'([^']*)'", 1)
-
-
-def _ddl_tables(ddl: DataFrame) -> DataFrame:
-    """(db, dialect, enums, table_name, parts) from (db, dialect, ddl)."""
-    found = _read_ddl(ddl).select("db", "dialect", F.col("_read.enums").alias("_enums"), F.explode("_read.tables").alias("_t"))
-    return found.select("db", "dialect", "_enums", "_t.table_name", F.col("_t.parts").alias("_parts"))
-
+def ddl_rejects(ddl: DataFrame) -> DataFrame:
+    """(db, dialect, statement, part, reason): what of CREATE TABLE and TYPE statements could not be read.
 
-_TABLE_PART = r"(?i)^(PRIMARY KEY|FOREIGN KEY|CONSTRAINT|UNIQUE|INDEX|KEY[\s(]|KEY$|CHECK[\s(]|CHECK$)"
+    ``part`` is NULL where the whole statement gives no rows, as one without its end.
+    """
+    return _read_ddl(ddl).select("db", "dialect", F.inline("_read.rejects"))
 
 
 def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
@@ -258,86 +185,25 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
 
     All constraints of a table are read from its own row, so nothing is shuffled.
     """
-    tables = _ddl_tables(ddl)
-    constraints = F.filter("_parts", lambda p: p.rlike(_TABLE_PART))
-    pk_parts = F.filter(constraints, lambda p: p.rlike(r"(?i)PRIMARY KEY") & ~p.rlike(r"(?i)FOREIGN KEY"))
-    tables = tables.select(
-        "db",
-        "dialect",
-        "table_name",
-        "_enums",
-        F.flatten(F.transform(pk_parts, lambda p: _names(F.regexp_extract(p, r"\(([^)]+)\)", 1)))).alias("_pk"),
-        F.transform(
-            F.filter(constraints, lambda p: p.rlike(r"(?i)^UNIQUE")),
-            lambda p: F.lower(F.regexp_extract(p, r"\(([^)]+)\)", 1)),
-        ).alias("_unique"),
-        F.filter(constraints, lambda p: p.rlike(_CHECK_IN)).alias("_checks"),
-        F.filter("_parts", lambda p: ~p.rlike(_TABLE_PART) & p.rlike(_COLUMN)).alias("_cols"),
-    )
-    cols = tables.select("*", F.posexplode_outer("_cols").alias("_at", "_def")).filter(F.col("_def").isNotNull())
-
-    def group(n: int) -> Column:
-        return F.regexp_extract("_def", _COLUMN, n)
-
-    rest = group(5)
-    zone = F.regexp_extract(rest, r"(?i)^\s*(WITH\s+(?:LOCAL\s+)?TIME\s+ZONE)", 1)
-    brackets = F.regexp_extract(rest, r"^((?:\[\])+)", 1)
-    cols = cols.select(
-        "*",
-        F.concat(group(1), group(2)).alias("column_name"),
-        F.concat(group(3), group(4), F.when(zone != "", F.concat(F.lit(" "), zone)).otherwise(F.lit("")), brackets).alias(
-            "_type"
-        ),
-        F.upper(rest).alias("_rest"),
-    )
-    serial = F.upper("_type").contains("SERIAL") | F.col("_rest").contains("SERIAL")
-    inline_pk = F.col("_rest").contains("PRIMARY KEY")
-    in_pk = F.exists("_pk", lambda c: F.lower(c) == F.lower(F.col("column_name")))
-    check = F.filter("_checks", lambda p: F.lower(F.regexp_extract(p, _CHECK_IN, 1)) == F.lower(F.col("column_name")))
-    # try_element_at counts from 1 and gives NULL past the end
-    labels = F.coalesce(
-        _labels(F.regexp_extract(F.try_element_at(check, F.lit(1)), _CHECK_IN, 2)),
-        F.when(F.upper("_type").rlike(r"^ENUM\s*\("), _labels(F.col("_type"))),
-        F.transform(
-            F.try_element_at(
-                F.filter("_enums", lambda e: F.lower(e["type"]) == F.lower(F.col("_type"))), F.lit(1)
-            )["labels"],
-            lambda x: F.regexp_replace(x, "^'|'$", ""),
-        ),
-    )
-    length = F.regexp_extract("_type", r"(?i)(?:VARCHAR2?|CHAR)\s*\((\d+)", 1)
-    return cols.select(
-        "db",
-        "dialect",
-        "table_name",
-        (F.col("_at") + 1).alias("ordinal"),
-        "column_name",
-        F.when(serial, F.lit("INTEGER")).otherwise(F.col("_type")).alias("data_type"),
-        (~F.col("_rest").contains("NOT NULL") & ~inline_pk & ~in_pk).alias("nullable"),
-        (inline_pk | in_pk).alias("is_pk"),
-        (serial | F.col("_rest").contains("AUTO_INCREMENT")).alias("is_auto"),
-        (
-            F.col("_rest").contains("UNIQUE")
-            | F.exists("_unique", lambda u: F.regexp_replace(u, r'[`"]', "") == F.lower(F.col("column_name")))
-        ).alias("is_unique"),
-        F.nullif(length, F.lit("")).cast("int").alias("max_length"),
-        F.when(F.size(labels) > 0, labels).alias("allowed_values"),
-    )
+    return _of_tables(ddl, "columns").drop("schema_name", "default_value")
+
+
+def constraints_from_ddl(ddl: DataFrame) -> DataFrame:
+    """(db, dialect, schema_name, table_name, constraint_name, kind, columns, text), inline constraints included.
+
+    ``kind`` is primary key, unique, check or default; ``text`` has a check's condition or a default's value.
+    """
+    return _of_tables(ddl, "constraints")
 
 
 def foreign_keys_from_ddl(ddl: DataFrame) -> DataFrame:
-    tables = _ddl_tables(ddl)
-    parts = tables.select("db", "dialect", "table_name", F.explode_outer("_parts").alias("_part")).filter(
-        F.col("_part").rlike(_FOREIGN_KEY)
-    )
-    return parts.select(
-        "db",
-        "dialect",
-        "table_name",
-        _names(F.regexp_extract("_part", _FOREIGN_KEY, 1)).alias("columns"),
-        F.regexp_extract("_part", _FOREIGN_KEY, 2).alias("ref_table"),
-        _names(F.regexp_extract("_part", _FOREIGN_KEY, 3)).alias("ref_columns"),
-    )
+    """(db, dialect, table_name, columns, ref_table, ref_columns), then schema_name, constraint_name, ref_schema, on_delete, on_update.
+
+    A key that names no columns means the primary key, as far as the other table is in the file.
+    """
+    keys = _of_tables(ddl, "keys")
+    first = ["db", "dialect", "table_name", "columns", "ref_table", "ref_columns"]
+    return keys.select(*first, *[c for c in keys.columns if c not in first])
 
 
 # --- summaries and choices over a catalog --------------------------------------------

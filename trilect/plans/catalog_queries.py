@@ -90,10 +90,97 @@ def from_ddl(t: Tables) -> DataFrame:
               'id' AS ref_columns FROM part WHERE p_partkey % 2 = 0""",
 )
 def fks_from_ddl(t: Tables) -> DataFrame:
-    keys = c.foreign_keys_from_ddl(t.sql(_DDL))
+    keys = c.foreign_keys_from_ddl(t.sql(_DDL)).select("db", "dialect", "table_name", "columns", "ref_table", "ref_columns")
     return keys.withColumn("columns", F.array_join("columns", ",")).withColumn("ref_columns", F.array_join("ref_columns", ","))
 
 
+# Constraints in other places and spellings, parts that can't be read, and a statement without its end.
+_KEYED = """
+    SELECT p_partkey, 'db' || CAST(p_partkey AS STRING) AS db, 'pg' AS dialect,
+      translate('CREATE TABLE sales.maker (id BIGINT CONSTRAINT pk_m PRIMARY KEY, code VARCHAR(4) DEFAULT ~UNIQUE~);' ||
+      'CREATE TABLE sales."part" (id BIGINT DEFAULT nextval(~a, b~) NOT NULL, ' ||
+      'maker BIGINT REFERENCES sales.maker ON DELETE SET NULL, brand TEXT DEFAULT ~' || lower(p_brand) || '~::text, ' ||
+      'kind TEXT CHECK (kind IN (~it~~s~, ~(' || lower(p_type) || ')~)), ' ||
+      'size INT DEFAULT -' || CAST(p_size AS STRING) || ' CHECK (size < 0), CONSTRAINT two UNIQUE (brand, kind), ' ||
+      'CONSTRAINT out FOREIGN KEY (brand, "size") REFERENCES pub.brands (name, "of") ON UPDATE CASCADE ON DELETE NO ACTION, ' ||
+      'EXCLUDE USING gist (brand WITH =)' || CASE p_partkey % 3 WHEN 0 THEN ', odd INT SPARSE' ELSE '' END || ');' ||
+      CASE p_partkey % 2 WHEN 0 THEN 'CREATE TABLE last (id INT)' ELSE '' END, '~', chr(39)) AS ddl FROM {part}
+    """
+
+
+def _per_part(names: str, *rows: str) -> str:
+    """SQL with the given rows for every part: each lists the values of the columns ``names`` and may end in a condition."""
+    parts = [r.partition(" WHERE ") for r in rows]
+    return " UNION ALL ".join(
+        f"SELECT 'db' || p_partkey AS db, v.* FROM part, LATERAL (SELECT {values}) AS v({names}) WHERE {condition or 'true'}"
+        for values, _, condition in parts
+    )
+
+
+@query(
+    "C2_constraints_from_ddl",
+    _per_part(
+        "table_name, constraint_name, kind, columns, text",
+        "'maker', 'pk_m', 'primary key', 'id', NULL",
+        "'maker', NULL, 'default', 'code', '''UNIQUE'''",
+        "'part', NULL, 'default', 'id', 'nextval(''a, b'')'",
+        "'part', NULL, 'default', 'brand', '''' || lower(p_brand) || '''::text'",
+        "'part', NULL, 'check', 'kind', 'kind IN (''it''''s'', ''(' || lower(p_type) || ')'')'",
+        "'part', NULL, 'default', 'size', '-' || p_size",
+        "'part', NULL, 'check', '', 'size < 0'",
+        "'part', 'two', 'unique', 'brand,kind', NULL",
+    ),
+)
+def constraints(t: Tables) -> DataFrame:
+    found = c.constraints_from_ddl(t.sql(_KEYED)).withColumn("columns", F.array_join("columns", ","))
+    return found.select("db", "table_name", "constraint_name", "kind", "columns", "text")
+
+
+@query(
+    "C2_foreign_keys_qualified",
+    _per_part(
+        "schema_name, table_name, constraint_name, columns, ref_schema, ref_table, ref_columns, on_delete, on_update",
+        "'sales', 'part', NULL, 'maker', 'sales', 'maker', 'id', 'SET NULL', NULL",
+        "'sales', 'part', 'out', 'brand,size', 'pub', 'brands', 'name,of', 'NO ACTION', 'CASCADE'",
+    ),
+)
+def qualified_keys(t: Tables) -> DataFrame:
+    keys = c.foreign_keys_from_ddl(t.sql(_KEYED)).drop("dialect")
+    return keys.withColumn("columns", F.array_join("columns", ",")).withColumn("ref_columns", F.array_join("ref_columns", ","))
+
+
+@query(
+    "C2_columns_with_lists",
+    _per_part(
+        "table_name, ordinal, column_name, data_type, nullable, is_pk, is_unique, allowed_values",
+        "'maker', 1, 'id', 'BIGINT', false, true, false, NULL",
+        "'maker', 2, 'code', 'VARCHAR(4)', true, false, false, NULL",
+        "'part', 1, 'id', 'BIGINT', false, false, false, NULL",
+        "'part', 2, 'maker', 'BIGINT', true, false, false, NULL",
+        "'part', 3, 'brand', 'TEXT', true, false, false, NULL",
+        "'part', 4, 'kind', 'TEXT', true, false, false, 'it''s|(' || lower(p_type) || ')'",
+        "'part', 5, 'size', 'INT', true, false, false, NULL",
+        "'part', 6, 'odd', 'INT', true, false, false, NULL WHERE p_partkey % 3 = 0",
+    ),
+)
+def columns_with_lists(t: Tables) -> DataFrame:
+    found = c.catalog_from_ddl(t.sql(_KEYED)).withColumn("allowed_values", F.array_join("allowed_values", "|"))
+    return found.select("db", "table_name", "ordinal", "column_name", "data_type", "nullable", "is_pk", "is_unique", "allowed_values")
+
+
+@query(
+    "C2_ddl_rejects",
+    _per_part(
+        "statement, part",
+        "'CREATE TABLE part', 'EXCLUDE USING gist (brand WITH =)'",
+        "'CREATE TABLE part', 'odd INT SPARSE' WHERE p_partkey % 3 = 0",
+        "'CREATE TABLE last (id INT)', NULL WHERE p_partkey % 2 = 0",
+    ),
+)
+def unread(t: Tables) -> DataFrame:
+    return c.ddl_rejects(t.sql(_KEYED)).select("db", "statement", "part")
+
+
 @query(
     "C3_classify_type",
     f"""WITH c AS ({plain(CATALOG)}), f AS ({CATALOG_FLAGS})
