@@ -455,3 +455,20 @@ def parse_json(t: Tables) -> DataFrame:
         rejected.select("event_id", none.cast("bigint").alias("k"), "reason")
     )
 
+
+
+# Strings that hold what is repaired between strings; every fifth text has a string without an end.
+@query(
+    "R16_strings_kept",
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_partkey END AS k, CASE WHEN p_partkey % 5 > 0 THEN p_name || ' 007, ] ' || chr(92) || 'q ``` </think>' END AS s,
+              CASE WHEN p_partkey % 5 > 0 THEN CAST(-p_size AS BIGINT) END AS n, CASE WHEN p_partkey % 5 = 0 THEN 'a string without an end' END AS detail FROM part""",
+)
+def strings_kept(t: Tables) -> DataFrame:
+    quote, slash = F.lit('"'), F.lit("\\")
+    doc = F.concat(
+        F.lit('Sure: [{"k": 000'), F.col("p_partkey").cast("string"), F.lit(', "s": "'), "p_name", F.lit(" 007, ] "), slash, F.lit("q ``` </think>"),
+        F.when(F.col("p_partkey") % 5 == 0, "").otherwise(quote), F.lit(', "n": -0'), F.col("p_size").cast("string"), F.lit(",},\n] - done"),
+    )
+    parsed, rejected = r.parse_json_column(t.part.select("p_partkey", doc.alias("doc")), "doc", "array<struct<k:bigint,s:string,n:bigint>>")
+    rows = parsed.select("p_partkey", F.inline("parsed"))
+    return rows.unionByName(rejected.select("p_partkey", "detail"), allowMissingColumns=True)
