@@ -130,6 +130,26 @@ def test_pairs_are_run_and_graded(spark, tmp_path):
     assert row["execution_score"] == "66.7%"
 
 
+def test_a_failing_or_late_query_does_not_take_its_batch_along(spark, tmp_path):
+    """40 pairs run in a few jobs; one query fails while it runs, one never ends."""
+    spark.range(10).createOrReplaceTempView("ten")
+    sql = {
+        7: "SELECT 10 / (id - id) AS x FROM ten",
+        21: "SELECT count(*) AS n FROM range(3000000) a JOIN range(3000000) b ON a.id % 7 <= b.id",
+    }
+    pairs = spark.createDataFrame(
+        [(q, "mysql2pg", "easy", f"d{q // 20}", f"SELECT {q} AS v, id FROM ten", sql.get(q, f"SELECT id, {q} AS v FROM ten")) for q in range(40)],
+        "query_id bigint, direction string, difficulty string, database string, source_sql string, translated_sql string",
+    )
+    folder = tmp_path / "pairs"
+    results, _ = score.evaluate_pairs(spark, pairs, str(folder), timeout=5, workers=2)
+    got = {r["query_id"]: r for r in results.collect()}
+    assert [q for q in got if not got[q]["results_match"]] and {q for q in got if not got[q]["results_match"]} == {7, 21}
+    assert got[7]["source_exec_ok"] and got[21]["source_exec_ok"] and not got[7]["target_exec_ok"] and not got[21]["target_exec_ok"]
+    written = [f for f in (folder / "rows").iterdir() if any(f.glob("*.parquet"))]
+    assert len(written) < 20  # two queries a pair would be 80
+
+
 def test_records_that_can_not_be_used_are_named(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"query_id": "oracle_extra_3", "sql": "SELECT 1"}, {"query_id": 7}, {"sql": "SELECT 2"}]')
     (tmp_path / "b.json").write_text('[{"query_id": 8}, {broken]')

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from itertools import count, groupby, islice, zip_longest
 from threading import Timer
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from trilect.session import configure
 
 # Outcomes of pairs that the driver holds before it writes them.
 STATUS_BATCH = 500
+# Pairs whose rows one job writes.
+BATCH_PAIRS = 16
 
 # The directions in the order they are tried, and the fallback per source dialect.
 DIRECTIONS = [
@@ -175,13 +178,19 @@ def evaluate_pairs(
     session of its own for each database and puts the database's views there; without it
     all pairs use the views of ``spark``.
 
+    Up to ``BATCH_PAIRS`` pairs of a database run as one job: the union of their rows in one
+    write. A batch that fails, or takes longer than ``timeout`` seconds, is halved down
+    to the query that is to blame, which alone gets its error; the others keep their results.
+
     Returns (graded results, one-row report). Results are written under ``path`` by the
     executors and all of them are compared in one job. The driver holds a fixed window of
-    pairs at a time and writes their outcomes in batches.
+    batches at a time and writes their outcomes in batches, too.
     """
     sc = spark.sparkContext
     keys = ["database", "query_id"]
     sessions: dict[str, SparkSession] = {}
+    numbers = count()
+    id_type = pairs.schema["query_id"].dataType
 
     def session(database: str) -> SparkSession:
         if open_database is None:
@@ -193,28 +202,40 @@ def evaluate_pairs(
             open_database(sessions[database], database)
         return sessions[database]
 
-    def run(own: SparkSession, number: int, database: str, query_id: object, side: str, sql: str) -> str:
-        tag = f"trilect-{number}-{side}"
+    def write(planned: list[tuple[tuple, DataFrame]]) -> dict[tuple, str]:
+        """The error of each query, empty if its rows were written."""
+        number = next(numbers)
+        tag = f"trilect-{number}"
         sc.addJobTag(tag)
         timer = Timer(timeout, sc.cancelJobsWithTag, [tag])
         timer.start()
         try:
-            rows = result_rows(own.sql(sql), F.lit(query_id).cast(id_type), side)
             # a folder of its own: concurrent writers must not share a commit
-            named = rows.select(F.lit(database).alias("database"), "query_id", "columns", "cells")
-            named.write.mode("overwrite").parquet(f"{path}/rows/pair={number}/side={side}")
-            return ""
+            _union([rows for _, rows in planned]).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+            return dict.fromkeys([query for query, _ in planned], "")
         except Exception as e:  # whatever the query raised is its outcome
-            return (str(e) or type(e).__name__)[:ERROR_CHARS]
+            if len(planned) == 1:
+                return {planned[0][0]: (str(e) or type(e).__name__)[:ERROR_CHARS]}
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
+        middle = len(planned) // 2
+        return write(planned[:middle]) | write(planned[middle:])
+
+    def run(own: SparkSession, batch: list) -> list[tuple]:
+        planned, errors = [], {}
+        for row in batch:
+            for side, sql in (("source", row.source_sql), ("target", row.translated_sql)):
+                query = (row.query_id, side)
+                try:
+                    rows = result_rows(own.sql(sql), F.lit(row.query_id).cast(id_type), side)
+                    planned.append((query, rows.select(F.lit(row.database).alias("database"), "query_id", "columns", "cells", "side")))
+                except Exception as e:
+                    errors[query] = (str(e) or type(e).__name__)[:ERROR_CHARS]
+        if planned:
+            errors |= write(planned)
+        return [(r.database, r.query_id, errors[r.query_id, "source"], errors[r.query_id, "target"]) for r in batch]
 
-    def both(number: int, own: SparkSession, row) -> tuple[str, object, str, str]:
-        errors = [run(own, number, row.database, row.query_id, s, q) for s, q in (("source", row.source_sql), ("target", row.translated_sql))]
-        return row.database, row.query_id, errors[0], errors[1]
-
-    id_type = pairs.schema["query_id"].dataType
     dialect = [F.split_part("direction", F.lit("2"), F.lit(k)) for k in (1, 2)]
     pinned = [pin_random(pin_time(c, k), k).alias(c) for c, k in zip(("source_sql", "translated_sql"), dialect)]
     todo = pairs.filter(F.coalesce("translated_sql", F.lit("")) != "").select(*keys, *pinned).orderBy(*keys)
@@ -222,31 +243,31 @@ def evaluate_pairs(
         T.StructField("database", T.StringType()), T.StructField("query_id", id_type),
         T.StructField("source_error", T.StringType()), T.StructField("target_error", T.StringType()),
     ])
-    written, batch = False, []
+    written, outcomes = False, []
 
     def flush() -> None:
-        spark.createDataFrame(batch, layout).write.mode("append").parquet(f"{path}/status")
-        batch.clear()
+        spark.createDataFrame(outcomes, layout).write.mode("append").parquet(f"{path}/status")
+        outcomes.clear()
 
     spark.createDataFrame([], layout).write.mode("overwrite").parquet(f"{path}/status")
     with ThreadPoolExecutor(workers) as pool:
         running: set[Future] = set()
-        for number, row in enumerate(todo.toLocalIterator()):
-            running.add(pool.submit(both, number, session(row.database), row))
+        for batch in _batches(todo.toLocalIterator()):
+            running.add(pool.submit(run, session(batch[0].database), batch))
             while len(running) >= 2 * workers:
                 done, running = wait(running, return_when=FIRST_COMPLETED)
-                batch += [f.result() for f in done]
-            if len(batch) >= STATUS_BATCH:
-                written = written or any(not all(o[2:]) for o in batch)
+                outcomes += [o for f in done for o in f.result()]
+            if len(outcomes) >= STATUS_BATCH:
+                written = written or any(not all(o[2:]) for o in outcomes)
                 flush()
-        batch += [f.result() for f in running]
-    written = written or any(not all(o[2:]) for o in batch)
-    if batch:
+        outcomes += [o for f in running for o in f.result()]
+    written = written or any(not all(o[2:]) for o in outcomes)
+    if outcomes:
         flush()
-    fields = "columns array<string>, cells array<struct<s:string,n:double>>, pair bigint, side string"
+    fields = "columns array<string>, cells array<struct<s:string,n:double>>, side string, batch bigint"
     shape = T.StructType([*layout.fields[:2], *T.DataType.fromDDL(fields).fields])
     rows = spark.read.schema(shape).option("basePath", f"{path}/rows").parquet(f"{path}/rows") if written else spark.createDataFrame([], shape)
-    compared = compare_results(rows.drop("pair"), pairs.select(*keys), keys)
+    compared = compare_results(rows.drop("batch"), pairs.select(*keys), keys)
     joined = pairs.join(spark.read.schema(layout).parquet(f"{path}/status"), keys, "left").join(compared, keys, "left")
     results = grade(
         joined.fillna("", ["source_error", "target_error"])
@@ -256,6 +277,20 @@ def evaluate_pairs(
     return results, score_report(results)
 
 
+def _batches(rows: Iterator) -> Iterator[list]:
+    """Rows sorted by database as lists of ``BATCH_PAIRS`` at most, each of one database."""
+    for _, group in groupby(rows, lambda r: r.database):
+        while batch := list(islice(group, BATCH_PAIRS)):
+            yield batch
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """The union as a balanced tree: the plan stays shallow, and each row of it is analysed few times."""
+    while len(frames) > 1:
+        frames = [a.union(b) if b is not None else a for a, b in zip_longest(frames[::2], frames[1::2])]
+    return frames[0]
+
+
 # --- bookkeeping ----------------------------------------------------------------------
 
 

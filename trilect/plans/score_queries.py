@@ -352,45 +352,43 @@ def failures(t: Tables) -> DataFrame:
     return s.failure_sample(t.sql(GRADED), [F.col("query_id")], 20)
 
 
-# Source queries and their translations, right and wrong ones, over the session's views.
-# Pairs made from the nations: four databases with the same ids, each with its own share of
-# the tables. By id: equal texts, one order more, the clock, random numbers, a missing table
-# and a text without translation.
+# Pairs made from the suppliers: a database per nation with its own share of the orders. By
+# id: equal texts, one order more in every fourth database, the clock, random numbers, a missing table and a
+# text without translation.
 _PAIRS = """
-    SELECT concat('db', n_nationkey % 4) AS database, n_nationkey DIV 4 AS query_id, 'easy' AS difficulty,
-           CASE n_nationkey DIV 4 WHEN 3 THEN 'pg2mysql' ELSE 'mysql2pg' END AS direction,
-           CASE n_nationkey DIV 4
+    SELECT concat('db', s_nationkey) AS database, s_suppkey AS query_id, 'easy' AS difficulty,
+           CASE s_suppkey % 6 WHEN 3 THEN 'pg2mysql' ELSE 'mysql2pg' END AS direction,
+           CASE s_suppkey % 6
              WHEN 0 THEN 'SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1'
              WHEN 1 THEN 'SELECT count(*) AS n FROM orders'
              WHEN 2 THEN 'SELECT NOW() AS t, count(*) AS n FROM orders'
              WHEN 3 THEN 'SELECT RANDOM() AS r, max(o_orderkey) AS k FROM orders'
              ELSE 'SELECT 1 AS one' END AS source_sql,
-           CASE n_nationkey DIV 4
+           CASE s_suppkey % 6
              WHEN 0 THEN 'SELECT count(1) AS n, o_orderstatus FROM orders GROUP BY o_orderstatus'
-             WHEN 1 THEN concat('SELECT count(*) + CASE WHEN max(o_custkey) % 4 = 1 THEN 1 ELSE 0 END AS n FROM orders')
+             WHEN 1 THEN concat('SELECT count(*) + ', CASE s_nationkey % 4 WHEN 1 THEN '1' ELSE '0' END, ' AS n FROM orders')
              WHEN 2 THEN 'SELECT cast(CURRENT_TIMESTAMP AS string) AS t, count(*) AS n FROM orders'
              WHEN 3 THEN 'SELECT RAND() AS r, max(o_orderkey) AS k FROM orders'
              WHEN 4 THEN 'SELECT 1 AS one FROM no_such_table'
              ELSE '' END AS translated_sql
-    FROM {nation} WHERE n_nationkey < 24"""
+    FROM {supplier}"""
 
 
 @query(
     "E15_evaluate_pairs",
-    """SELECT 'db' || n_nationkey % 4 AS database, CAST(n_nationkey // 4 AS INTEGER) AS query_id, n_nationkey // 4 < 5 AS translate_ok,
-              n_nationkey // 4 < 5 AS source_exec_ok, n_nationkey // 4 < 4 AS target_exec_ok,
-              n_nationkey // 4 < 4 AND NOT (n_nationkey // 4 = 1 AND n_nationkey % 4 = 1) AS results_match
-       FROM nation WHERE n_nationkey < 24""",
+    """SELECT 'db' || s_nationkey AS database, s_suppkey AS query_id, s_suppkey % 6 < 5 AS translate_ok,
+              s_suppkey % 6 < 5 AS source_exec_ok, s_suppkey % 6 < 4 AS target_exec_ok,
+              s_suppkey % 6 < 4 AND NOT (s_suppkey % 6 = 1 AND s_nationkey % 4 = 1) AS results_match
+       FROM supplier""",
 )
 def evaluate(t: Tables) -> DataFrame:
     def open_database(session: SparkSession, database: str) -> None:
         orders = registry.Tables(session, t.directory).orders
-        orders.filter(F.col("o_custkey") % 4 == int(database[2:])).createOrReplaceTempView("orders")
+        orders.filter(F.col("o_custkey") % 25 == int(database[2:])).createOrReplaceTempView("orders")
 
     ensure_checkpoint_dir(t.spark)
     folder = f"{t.spark.sparkContext.getCheckpointDir()}/pairs-{t.spark.sql('SELECT uuid()').first()[0]}"
-    pairs = t.sql(_PAIRS).withColumn("query_id", F.col("query_id").cast("int"))
-    results, _ = s.evaluate_pairs(t.spark, pairs, folder, timeout=300, open_database=open_database)
+    results, _ = s.evaluate_pairs(t.spark, t.sql(_PAIRS), folder, timeout=300, open_database=open_database)
     return results.select("database", "query_id", "translate_ok", "source_exec_ok", "target_exec_ok", "results_match")
 
 
