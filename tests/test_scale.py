@@ -120,6 +120,31 @@ def test_hierarchy_with_a_boss_of_a_third_of_all(spark):
     assert rel.hierarchy(staff, "id", "boss", max_depth=1).count() == 1000
 
 
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """4,096 rows in a chain, a tail on a cycle and one below a missing parent."""
+    rounds = []
+    monkeypatch.setattr(rel, "cut_round", lambda df: rounds.append(1) or o.cut(df))
+    parent = F.when(F.col("id") > 0, F.col("id") - 1)
+    chain = spark.range(4096).select("id", parent.alias("up"))
+    lost = spark.createDataFrame([(9000, 9001), (9001, 9000), (9002, 9001), (9003, 1_000_000), (9004, 9003)], "id bigint, up bigint")
+    got = rel.hierarchy(chain.unionByName(lost), "id", "up", root_level=1)
+    assert got.filter(F.col("depth") != F.col("id") + 1).isEmpty() and got.count() == 4096
+    assert len(rounds) <= 14
+    assert rel.hierarchy(chain, "id", "up", max_depth=100).count() == 101
+
+
+def test_levels_take_one_exchange(spark):
+    tables = spark.range(400).select(F.lit("d").alias("db"), F.concat(F.lit("t"), "id").alias("table_name"))
+    edges = spark.range(1, 400).select(
+        F.lit("d").alias("db"), F.concat(F.lit("t"), "id").alias("table_name"), F.concat(F.lit("t"), F.col("id") - 1).alias("ref_table")
+    )
+    from trilect.operators.catalog import fk_levels
+
+    levels = fk_levels(tables, edges)
+    assert levels._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert levels.filter(F.concat(F.lit("t"), "level") != F.col("table_name")).isEmpty() and levels.count() == 400
+
+
 def test_query_names_are_plain():
     assert not [n for n in registry.QUERIES if n.startswith("op") or "pipeline" in n or "llm" in n]
 
@@ -138,7 +163,7 @@ def test_many_top_rows_of_a_hot_key(spark, skewed):
     counts = {r.k: r["count"] for r in got.groupBy("k").count().collect()}
     assert counts[7] == 2000 and max(n for k, n in counts.items() if k not in (7, None)) < 20
     assert got.filter("k = 7").agg(F.min("id")).first()[0] == HOT_ROWS - 2000
-    assert "WindowGroupLimit" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in got._jdf.queryExecution().executedPlan().toString()  # numbered over sorted ranges
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

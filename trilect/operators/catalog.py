@@ -403,41 +403,49 @@ def sync_allowed_values(catalog: DataFrame) -> DataFrame:
 # --- foreign-key order ---------------------------------------------------------------
 
 
+def _levels(db: pd.DataFrame) -> pd.DataFrame:
+    """The levels of one database's tables; rows without a ref_table name the tables."""
+    tables = db.loc[db["ref_table"].isna(), "table_name"].unique()
+    known = set(tables)
+    above: dict[str, set[str]] = {t: set() for t in tables}
+    below: dict[str, list[str]] = {t: [] for t in tables}
+    for table, ref in zip(db["table_name"], db["ref_table"]):
+        if table in known and ref in known and table.lower() != ref.lower() and ref not in above[table]:
+            above[table].add(ref)
+            below[ref].append(table)
+    waiting = {t: len(refs) for t, refs in above.items()}
+    level, ready = {}, [t for t in tables if not waiting[t]]
+    depth = 0
+    while ready:
+        level |= dict.fromkeys(ready, depth)
+        freed = []
+        for t in ready:
+            for child in below[t]:
+                waiting[child] -= 1
+                if not waiting[child]:
+                    freed.append(child)
+        ready, depth = freed, depth + 1
+    out = pd.DataFrame({"db": [db["db"].iloc[0]] * len(tables), "table_name": tables})
+    out["level"] = [level.get(t, depth) for t in tables]
+    out["cyclic"] = [t not in level for t in tables]
+    return out
+
+
 def fk_levels(tables: DataFrame, edges: DataFrame) -> DataFrame:
     """(db, table_name, level, cyclic): parents before children, for all databases in one pass.
 
     ``edges`` holds (db, table_name, ref_table). A table is placed once all the
     tables it refers to are; self references and unknown tables do not count.
     Tables on or behind a cycle come last, one level after the rest of their database.
+
+    A database has a few thousand tables at most, so each one's edges meet in one
+    task, behind the only exchange.
     """
-    nodes = tables.select(*TABLE).distinct()
-    live = (
-        edges.select("db", "table_name", "ref_table")
-        .filter(F.lower("table_name") != F.lower("ref_table"))
-        .distinct()
-    )
-    known = nodes.select("db", F.col("table_name").alias("ref_table"))
-    live = cut(lookup_join(live, known, ["db", "ref_table"], "left_semi"))
-    waiting = nodes
-    placed: list[DataFrame] = []
-    level = 0
-    while True:
-        blocked = live.select(*TABLE).distinct().withColumn("_blocked", F.lit(True))
-        state = cut_round(waiting.join(blocked, TABLE, "left"))
-        ready = state.filter(F.col("_blocked").isNull()).select(*TABLE)
-        waiting = state.filter(F.col("_blocked").isNotNull()).select(*TABLE)
-        if ready.isEmpty():
-            break
-        placed.append(ready.withColumn("level", F.lit(level)))
-        done = ready.select("db", F.col("table_name").alias("ref_table"))
-        live = cut_round(lookup_join(live, done, ["db", "ref_table"], "left_anti", counted=True))
-        level += 1
-    levels = reduce(DataFrame.unionByName, placed) if placed else nodes.limit(0).withColumn("level", F.lit(0))
-    last = levels.groupBy("db").agg((F.max("level") + 1).alias("_last"))
-    rest = lookup_join(waiting, last, ["db"], "left")
-    return levels.withColumn("cyclic", F.lit(False)).unionByName(
-        rest.select(*TABLE, F.coalesce("_last", F.lit(0)).alias("level"), F.lit(True).alias("cyclic"))
-    )
+    nodes = tables.select(*TABLE, F.lit(None).cast("string").alias("ref_table"))
+    both = nodes.unionByName(edges.select(*TABLE, "ref_table").filter("ref_table IS NOT NULL"))
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    schema = f"db {kinds['db']}, table_name {kinds['table_name']}, level int, cyclic boolean"
+    return both.groupBy("db").applyInPandas(_levels, schema)
 
 
 def cyclic_tables(tables: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trilect.functions.columns import as_column
 from trilect.operators.ordering import checked_broadcast, lookup_join, positions
+from trilect.operators.ranking import NATIVE_ROWS, numbered_top
 from trilect.operators.relational import top_per_key
 from trilect.session import cut
 from trilect.sources.tables import explode_requirements
@@ -85,18 +86,24 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int)
 
     A stratum's quota never exceeds ``n``, so rows past ``n`` in hash order go before the exchange.
     """
-    order = [hash_order(key, seed), F.col(key)]
     total = max(df.count(), 1)
     quota = (
         df.groupBy(F.col(stratum).alias("_stratum"))
         .agg(F.count(F.lit(1)).alias("_size"))
         .select("_stratum", F.greatest(F.lit(1), bank_round(F.col("_size") / total * n)).alias("_quota"))
     )
-    first = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).filter(
-        F.col("_rank") <= max(n, 1)
-    )
+    first = _ranked(df, stratum, key, max(n, 1), seed)
     taken = first.join(quota, first[stratum].eqNullSafe(quota["_stratum"])).filter(F.col("_rank") <= F.col("_quota"))
-    return taken.orderBy(*order).limit(n).select(*df.columns)
+    return taken.orderBy("_hash", key).limit(n).select(*df.columns)
+
+
+def _ranked(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
+    """The first ``n`` rows of every stratum in hash order, with their ``_hash`` and ``_rank``."""
+    hashed, order = df.withColumn("_hash", hash_order(key, seed)), ["_hash", key]
+    if n > NATIVE_ROWS:
+        return numbered_top(hashed, [stratum], order, n, "_rank")
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    return hashed.withColumn("_rank", rank).filter(F.col("_rank") <= n)
 
 
 def priority_of(kind: str | Column, priority: dict[str, int] | None = None) -> Column:
@@ -124,18 +131,11 @@ def weighted_quota_sample(
 ) -> DataFrame:
     """Per level of ``stratum`` its quota of rows in hash order."""
     wanted = quotas(weights, base)
-    ranked = top_per_key(
-        df.filter(F.col(stratum).isin(list(wanted))),
-        [stratum],
-        [hash_order(key, seed), F.col(key)],
-        max(wanted.values()),
-    )
-    # at most max(quota) rows per level are left to be ranked again
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(key, seed), F.col(key)))
+    ranked = _ranked(df.filter(F.col(stratum).isin(list(wanted))), stratum, key, max(wanted.values()), seed)
     allowed = F.lit(0)
     for level, count in wanted.items():
         allowed = F.when(F.col(stratum) == level, F.lit(count)).otherwise(allowed)
-    return ranked.withColumn("_rank", rank).filter(F.col("_rank") <= allowed).drop("_rank")
+    return ranked.filter(F.col("_rank") <= allowed).select(*df.columns)
 
 
 def coverage_allocate(

@@ -16,16 +16,23 @@ from trilect.operators.ordering import (
     positions,
     range_sorted,
 )
+from trilect.operators.ranking import NATIVE_ROWS, deep_page, numbered_top, ordering
 from trilect.session import cut, cut_round
 
+#: So many rows one task may hold for a page.
+TOP_ROWS = 10_000
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of every key.
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int = 1) -> DataFrame:
+    """The first ``n`` rows of every key; ``order`` has columns, names, or names with `` DESC``.
 
     A literal bound on the row number lets Spark keep ``n`` rows per key and map
-    task before the exchange, so a hot key is cut down where it lies.
+    task before the exchange, so a hot key is cut down where it lies. Spark does so up to
+    ``NATIVE_ROWS``; beyond, see ``ranking.numbered_top``.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if n > NATIVE_ROWS:
+        return numbered_top(df, keys, order, n, "_rank").drop("_rank")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering(order)))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
@@ -43,7 +50,12 @@ def rank_top(
 
 
 def paginate(df: DataFrame, order: Sequence[Column], offset: int, n: int) -> DataFrame:
-    """``LIMIT off, n`` / ``LIMIT n OFFSET off``; ``order`` needs a unique last key to be repeatable."""
+    """``LIMIT off, n`` / ``LIMIT n OFFSET off``; ``order`` needs a unique last key to be repeatable.
+
+    Past ``TOP_ROWS`` rows the page is taken from the ranges that hold it.
+    """
+    if offset + n > TOP_ROWS:
+        return deep_page(df, order, offset, n)
     return df.orderBy(*order).offset(offset).limit(n)
 
 
@@ -83,26 +95,36 @@ def hierarchy(
 ) -> DataFrame:
     """``WITH RECURSIVE`` from the rows without a parent (depth 0), or ``CONNECT BY`` (LEVEL 1: ``root_level=1``).
 
-    ``id_col`` is unique. Level by level, the rows not yet placed look up the level
-    placed last; each row is placed once, and a row on a cycle is never reached, as
-    in the dialects. Only ids go round; the rows are joined once at the end.
+    ``id_col`` is unique. Every row points to an ancestor and knows how far it is; each round a
+    row goes on to where its ancestor points, so a depth of d takes about log2(d) rounds. A row
+    on a cycle, or below a missing parent, never reaches a root and is left out, as in the
+    dialects. Only ids go round; the rows are joined once at the end.
     """
-    ids = df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"))
-    state = cut(ids.withColumn("_depth", F.when(F.col("_parent").isNull(), F.lit(root_level)).cast("int")))
-    placed = state.filter(F.col("_depth").isNotNull())
-    levels = [placed]
-    todo = state.filter(F.col("_depth").isNull()).drop("_depth")
-    depth = root_level
-    while (max_depth is None or depth - root_level < max_depth) and not todo.isEmpty():
-        depth += 1
-        frontier = placed.select(F.col("_id").alias("_parent"), F.lit(depth).alias("_depth"))
-        state = cut_round(lookup_join(todo, frontier, ["_parent"], "left", counted=True))
-        placed = state.filter(F.col("_depth").isNotNull())
-        if placed.isEmpty():
+    ids = cut(df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_above")))
+    done = [ids.filter("_above IS NULL").select("_id", F.lit(root_level).alias("_depth"))]
+    todo = ids.filter("_above IS NOT NULL").withColumn("_far", F.lit(1))
+    reached = 1
+    while (max_depth is None or reached <= max_depth) and not todo.isEmpty():
+        placed = reduce(DataFrame.unionByName, done).select(
+            F.col("_id").alias("_above"), F.lit(None).alias("_next"), F.col("_depth").alias("_add"), F.lit(True).alias("_root")
+        )
+        moving = todo.select(
+            F.col("_id").alias("_above"), F.col("_above").alias("_next"), F.col("_far").alias("_add"), F.lit(False).alias("_root")
+        )
+        stepped = cut_round(
+            lookup_join(todo, moving.unionByName(placed), ["_above"]).select(
+                "_id", F.col("_next").alias("_above"), (F.col("_far") + F.col("_add")).alias("_far"), "_root"
+            )
+        )
+        arrived = stepped.filter("_root").select("_id", F.col("_far").alias("_depth"))
+        if arrived.isEmpty():
             break
-        levels.append(placed)
-        todo = state.filter(F.col("_depth").isNull()).drop("_depth")
-    depths = reduce(DataFrame.unionByName, levels).select(F.col("_id").alias(id_col), F.col("_depth").alias(name))
+        done.append(arrived)
+        todo = stepped.filter("NOT _root").drop("_root")
+        reached *= 2
+    depths = reduce(DataFrame.unionByName, done).select(F.col("_id").alias(id_col), F.col("_depth").alias(name))
+    if max_depth is not None:
+        depths = depths.filter(F.col(name) <= root_level + max_depth)
     return df.join(depths, id_col)
 
 

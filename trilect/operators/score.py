@@ -59,7 +59,7 @@ def join_translations(
         F.max_by(F.coalesce("translated_sql", F.lit("")), seen).alias("translated_sql")
     )
     joined = source.filter(F.coalesce("database", F.lit("")) != "").join(last, list(keys))
-    return joined if per_database is None else top_per_key(joined, ["database"], [F.col("query_id")], per_database)
+    return joined if per_database is None else top_per_key(joined, ["database"], ["query_id"], per_database)
 
 
 def outcome_status(row_count: str | Column, error: str | Column) -> Column:

@@ -562,3 +562,40 @@ def chained(t: Tables) -> DataFrame:
 def newest_two(t: Tables) -> DataFrame:
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
     return top_per_key(rows, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")], 2).drop("o_orderdate")
+
+
+@query(
+    "W3_thousands_per_key",
+    """SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem
+       QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 1500""",
+)
+def first_thousands(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return top_per_key(rows, ["l_returnflag"], ["l_extendedprice DESC", "l_orderkey", "l_linenumber"], 1500).drop("l_extendedprice")
+
+
+@query(
+    "L3_deep_page",
+    "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40 OFFSET 30000",
+)
+def deep(t: Tables) -> DataFrame:
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return paginate(t.lineitem, order, 30_000, 40).select("l_orderkey", "l_linenumber")
+
+
+# Customers in one chain by key, but for every 500th, which points back into its own part of it.
+_CHAIN = """
+    SELECT c_custkey, CASE WHEN c_custkey = first THEN NULL WHEN c_custkey % 500 = 499 AND c_custkey > first + 900 THEN c_custkey + 0
+                      ELSE c_custkey - 1 END AS above
+    FROM {customer} CROSS JOIN (SELECT min(c_custkey) AS first FROM {customer})
+    """
+
+
+@query(
+    "S4_chain",
+    f"""WITH RECURSIVE e AS ({plain(_CHAIN)}), o AS (
+        SELECT c_custkey, 1 AS level FROM e WHERE above IS NULL UNION ALL SELECT e.c_custkey, o.level + 1 FROM e JOIN o ON e.above = o.c_custkey)
+        SELECT c_custkey, CAST(level AS INTEGER) AS level FROM o""",
+)
+def chain(t: Tables) -> DataFrame:
+    return hierarchy(t.sql(_CHAIN), "c_custkey", "above", root_level=1, name="level").drop("above")
