@@ -154,3 +154,22 @@ def test_literal_letters(spark):
     when = F.lit("2024-01-02").cast("date")
     assert one(spark, d.date_format(when, '"Year" YYYY"-T-"MM', "pg")) == "Year 2024-T-01"
     assert one(spark, d.date_format(when, "%Y%% %m", "mysql")) == "2024% 01"
+
+
+@pytest.mark.parametrize(
+    "value, scale, want",
+    [
+        (2.499999999, 0, "2"), (2.4999999999999, 0, "2"), (2.5, 0, "3"), (-2.5, 0, "-3"), (0.0004999999999999999, 3, "0.000"), (0.0005, 3, "0.001"),
+        (1e21, 0, "1000000000000000000000"), (123456789012345.67, 1, "123456789012345.7"), (1e-30, 2, "0.00"), (None, 2, None),
+    ],
+)
+def test_numbers_are_rounded_once(spark, value, scale, want):
+    df = spark.createDataFrame([(value,)], "v double")
+    got = df.select(d.to_numeric("v", 38, scale).cast("string").alias("v")).first()["v"]
+    assert got == want
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    df = spark.sql("SELECT 1234567890123456789.55BD AS x, 1e21D AS big, -1e300D AS low, '2.499999999999999999' AS t")
+    got = df.select(d.to_signed("x"), d.to_signed("big"), d.to_signed("low"), d.to_signed("t"), d.to_numeric("x", 21, 1).cast("string"))
+    assert tuple(got.first()) == (1234567890123456790, 2**63 - 1, -(2**63), 2, "1234567890123456789.6")

@@ -84,9 +84,30 @@ def truncate(x: str | Column, digits: int) -> Column:
     return F.when(F.abs(value) < F.lit(_WHOLE_FROM), cut(value.cast("decimal(38,18)"))).otherwise(large)
 
 
+def _rounded(x: Column, scale: int, kind: str) -> Column:
+    """``x`` rounded once, half up, from all its digits, as ``kind``.
+
+    A decimal of 38 digits can't hold every double, so the digits after the point depend on the
+    size: 37 of them below 1, where a double has the most, 18 up to 1e20, none beyond.
+    """
+    size = F.abs(x.cast("double"))
+
+    def of(held: int) -> Column:
+        exact = x.try_cast(f"decimal(38,{held})")
+        return (F.round(exact, scale) if held else exact).cast(kind)
+
+    return F.when(size < 1, of(37)).when(size < 1e20, of(18)).otherwise(of(0))
+
+
 def to_signed(x: str | Column) -> Column:
-    """CAST AS SIGNED / ::INTEGER / CAST AS INTEGER: rounds where Spark's cast would truncate."""
-    return F.round(as_column(x).cast("decimal(28,8)"), 0).cast("bigint")
+    """CAST AS SIGNED / ::INTEGER / CAST AS INTEGER: rounds where Spark's cast would truncate.
+
+    What lies beyond 64 bits becomes the largest or smallest value, as CAST AS SIGNED has it.
+    """
+    value = as_column(x)
+    high, low = F.lit(2**63 - 1), F.lit(-(2**63))
+    size = value.cast("double")
+    return F.when(size >= float(2**63), high).when(size <= -float(2**63), low).otherwise(_rounded(value, 0, "bigint"))
 
 
 def to_text(x: str | Column) -> Column:
@@ -94,7 +115,7 @@ def to_text(x: str | Column) -> Column:
 
 
 def to_numeric(x: str | Column, precision: int, scale: int) -> Column:
-    return F.round(as_column(x).cast("decimal(38,10)"), scale).cast(f"decimal({precision},{scale})")
+    return _rounded(as_column(x), scale, f"decimal({precision},{scale})")
 
 
 def to_date(x: str | Column) -> Column:

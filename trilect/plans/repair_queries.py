@@ -472,3 +472,21 @@ def strings_kept(t: Tables) -> DataFrame:
     parsed, rejected = r.parse_json_column(t.part.select("p_partkey", doc.alias("doc")), "doc", "array<struct<k:bigint,s:string,n:bigint>>")
     rows = parsed.select("p_partkey", F.inline("parsed"))
     return rows.unionByName(rejected.select("p_partkey", "detail"), allowMissingColumns=True)
+
+
+@query(
+    "R11_decimal_digits",
+    """SELECT p_partkey, k || '12345678901234.25' AS price, k || '.5' AS rate, CASE WHEN k < 10 THEN k || '.0' ELSE k || '' END AS small,
+              k || '000.0' AS power FROM (SELECT p_partkey, p_partkey + 1 AS k FROM part)""",
+)
+def decimal_digits(t: Tables) -> DataFrame:
+    key = (F.col("p_partkey") + 1).cast("string")
+    raw = t.part.select(
+        "p_partkey",
+        F.concat(key, F.lit("12345678901234.250")).alias("price"),
+        F.concat(key, F.lit(".4999")).alias("rate"),
+        key.alias("small"),
+        F.concat(key, F.lit("e3")).alias("power"),
+    )
+    kinds = {"price": "DECIMAL(30,2)", "rate": "NUMERIC(12,2)", "small": "NUMBER(2,1)", "power": "DECIMAL(20,4)"}
+    return r.coerce_columns(raw, {c: {"data_type": k} for c, k in kinds.items()}, "p_partkey")

@@ -358,3 +358,19 @@ def pinned(t: Tables) -> DataFrame:
 
 
 
+
+
+@query(
+    "D18_rounded_once",
+    """SELECT p_partkey, CAST(p_partkey AS BIGINT) AS below, CAST(p_partkey + 1 AS BIGINT) AS half, 9223372036854775807 AS large,
+              CAST(p_partkey AS VARCHAR) || '.4' AS tenth FROM part""",
+)
+def rounded_once(t: Tables) -> DataFrame:
+    key = F.col("p_partkey").cast("double")
+    return t.part.select(
+        "p_partkey",
+        d.to_signed(key + 0.499999999).alias("below"),
+        d.to_signed(key + 0.5).alias("half"),
+        d.to_signed((key + 1) * 1e21).alias("large"),
+        d.to_numeric(F.concat(F.col("p_partkey").cast("string"), F.lit(".449999999999999")), 20, 1).cast("string").alias("tenth"),
+    )

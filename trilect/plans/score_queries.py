@@ -485,3 +485,23 @@ def pending(t: Tables) -> DataFrame:
     checks = t.sql(_PROGRESS).withColumnRenamed("c_custkey", "db")
     return s.pending(t.customer.select(F.col("c_custkey").alias("db")), t.sql(_OUTPUTS), checks)
 
+
+
+@query(
+    "E3_number_digits",
+    """SELECT p_partkey, CAST(CAST(p_partkey + 1 AS DOUBLE) / 8192 AS VARCHAR) AS small, CAST(CAST(p_partkey AS DOUBLE) * 1048576 + 0.5 AS VARCHAR) AS large,
+              true AS same FROM part""",
+)
+def number_digits(t: Tables) -> DataFrame:
+    small = (F.col("p_partkey") + 1).cast("double") / 8192
+
+    def cell(s: Column, n: Column) -> Column:
+        return F.struct(s.cast("string").alias("s"), n.cast("double").alias("n"))
+
+    text = m.number_text(small)
+    return t.part.select(
+        "p_partkey",
+        text.alias("small"),
+        m.number_text(F.col("p_partkey").cast("double") * 1048576 + 0.5).alias("large"),
+        m.cells_equal(cell(F.lit(None), small), cell(text, F.lit(None))).alias("same"),
+    )
