@@ -118,3 +118,69 @@ def test_every_word_of_the_table_gets_a_class_by_its_own_counts(spark):
     scored = lm.score(spark.createDataFrame([(1, f"{even[0]} {odd[0]}"), (2, f"{odd[0]} {even[0]}")], "doc_id int, text string"), model)
     right, wrong = (r.score for r in scored.orderBy("doc_id").collect())
     assert right > wrong
+
+
+def test_contexts_equal_a_count_of_all_neighbours(documents):
+    """Words beside core words are counted by class in the map task, all others through joins; both tell the same."""
+    texts = documents.select("text")
+    lines = [tokens(r.text) for r in texts.collect()]
+    frequent = [w for w, _ in collections.Counter(t for x in lines for t in x if t).most_common(30)]
+    core, width = {w: k % 4 for k, w in enumerate(frequent)}, 5
+    hash_of = {}
+
+    def class_of(w):
+        return width - 1 if w == b"" else core[w] if w in core else zlib.crc32(w) % 4
+
+    want, matrix = collections.Counter(), np.zeros((width, width))
+    for x in lines:
+        for a, b in zip([b"", *x], x):
+            matrix[class_of(a), class_of(b)] += 1
+            if a and a not in core:
+                want[a, class_of(b)] += 1
+            if b and b not in core:
+                want[b, class_of(a) + width] += 1
+    words = sorted({w for x in lines for w in x if w and w not in core})
+    hash_of = dict(zip(words, lm.hashed(words).tolist()))
+    spark = documents.sparkSession
+    free = spark.createDataFrame([(hash_of[w], class_of(w)) for w in words], "word bigint, k int")
+    beside = lm.count_neighbours(texts, core, width).cache()
+    met = lm.contexts(beside, free, width).cache()
+    assert {(r.word, r.key): r.n for r in met.collect()} == {(hash_of[w], key): n for (w, key), n in want.items()}
+    assert (lm.class_pairs(beside, met, width) == matrix).all()
+
+
+def test_the_best_class_is_the_best_of_all():
+    """Against taking a word out and putting it into every class, its neighbours' classes held."""
+    rng = np.random.default_rng(5)
+    width, words = 4, 40
+    follows = rng.integers(50, 200, (width, width)).astype(float)
+    home = rng.integers(0, width - 1, words)
+    key, n, begins = [], [], [0]
+    for _ in range(words):
+        some = rng.choice(2 * width, rng.integers(1, 2 * width), replace=False)
+        key += some.tolist()
+        n += rng.integers(1, 12, len(some)).tolist()
+        begins.append(len(key))
+    key, n, begins = np.array(key), np.array(n, float), np.array(begins)
+    got = lm.best_classes(home, begins, key, n, follows)
+    for i in range(words):
+        scores = []
+        for k in range(width - 1):
+            m = follows.copy()
+            for c, x in zip(key[begins[i] : begins[i + 1]], n[begins[i] : begins[i + 1]]):
+                for at, sign in ((home[i], -1), (k, 1)):
+                    if c < width:
+                        m[at, c] += sign * x
+                    else:
+                        m[c - width, at] += sign * x
+            scores.append(lm.information(m))
+        assert scores[got[i]] >= max(scores) - 1e-6 or got[i] == home[i]
+
+
+def test_sweeps_go_on_until_nothing_moves(spark):
+    rng = np.random.default_rng(6)
+    even, odd = ([f"{k}{n}x" for n in range(30)] for k in "ab")
+    texts = [(" ".join(f"{rng.choice(even + ['p'] * 60)} {rng.choice(odd + ['q'] * 60)}" for _ in range(10)),) for _ in range(200)]
+    model = lm.train(spark.createDataFrame(texts, "text string"), clustered=2, endings=1, classes=2, listed=10, sweeps=None)
+    of = {r.word: r.k for r in model["words"].collect()}
+    assert {of[w] for w in even if w in of} == {of["p"]} and {of[w] for w in odd if w in of} == {of["q"]}

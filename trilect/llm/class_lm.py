@@ -5,7 +5,7 @@ word ending for all others, are put into classes by exchange: a symbol at a time
 the class that raises the mutual information of adjacent classes most, until no symbol
 moves. From there every other word of the table moves on its own, by its own counts with
 the classes beside it: all at once per sweep, in Spark, for as long as the information of
-all adjacent words' classes rises. A token then has the smoothed probability of its class
+all adjacent words' classes rises (a half or a quarter of them where all at once lower it). A token then has the smoothed probability of its class
 after the last one's, times the smoothed probability of the word in its class.
 
 Sizes on the driver are fixed by parameters: the bigram table of ``CLUSTERED`` words and
@@ -27,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilect.llm.shared import crc_remainder, slices, text_of
-from trilect.session import store
+from trilect.llm.shared import crc_remainder, drop, release, slices, text_of
+from trilect.operators.ordering import lookup_join
+from trilect.session import configure, store
 
 CLUSTERED, ENDINGS, CLASSES, LISTED = 2048, 512, 64, 1 << 17
 #: Weight, in tokens, of the class frequencies in a class's successors.
 BACKOFF = 20.0
 SWEEPS = 12
-#: Sweeps over the whole word table, at most.
+#: Sweeps over the whole word table, at most; None: until nothing moves.
 TABLE_SWEEPS = 2
 SLICE_BYTES = 8 << 20
 #: The end of a text in word tables; no word is empty.
@@ -163,39 +165,88 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, total: int, cla
     return of
 
 
-def count_word_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b, n): adjacent words, the ends of texts included."""
+def hashed(words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 of each word; spellings stay in the word table alone."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _texts(batches, 0):
-            words, codes, ends = tokenize(rows)
-            end = len(words)
-            line = np.append(end, np.insert(codes, ends, end))
-            pairs, n = np.unique(line[:-1] * (end + 1) + line[1:], return_counts=True)
-            spelled = pa.array([w.decode() for w in words] + [END], pa.string())
-            a, b = (spelled.take(pa.array(x)) for x in np.divmod(pairs, end + 1))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(n, pa.int64())], names=["a", "b", "n"])
 
-    return texts.select("text").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def count_neighbours(texts: DataFrame, core: dict[bytes, int], width: int) -> DataFrame:
+    """(a, b, key, n) of adjacent words; ``core`` has the classes of the words that never move.
 
+    A word beside a core word is counted in the map task with the core word's class: a is its
+    hash, key the class, or ``width`` + class where the core word stands before it. Of two core
+    words only key remains, left class * ``width`` + right class. Two others are counted as the
+    hashes a and b. The end of texts is a core word of the last class.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(core)
 
-def contexts(pairs: DataFrame, classes_of: DataFrame, width: int) -> DataFrame:
-    """(word, k, key, n): how often each word stands before a class (key below ``width``) and after one."""
-    known = classes_of.select("word", "k")
-    left = pairs.join(known.withColumnsRenamed({"word": "a", "k": "ka"}), "a")
-    both = left.join(known.withColumnsRenamed({"word": "b", "k": "kb"}), "b")
-    before = F.struct(F.col("a").alias("word"), F.col("ka").alias("k"), F.col("kb").alias("key"))
-    after = F.struct(F.col("b").alias("word"), F.col("kb").alias("k"), (F.col("ka") + width).alias("key"))
-    sides = both.select(F.explode(F.array(before, after)).alias("x"), "n")
-    return sides.groupBy("x.word", "x.k", "x.key").agg(F.sum("n").alias("n"))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
 
-def class_pairs(met: DataFrame, width: int) -> np.ndarray:
-    """The class-by-class counts, from the words' contexts."""
-    follows = np.zeros((width, width))
-    for r in met.filter(F.col("key") < width).groupBy("k", "key").agg(F.sum("n").alias("n")).collect():
-        follows[r["k"], r["key"]] = r["n"]
-    return follows
+        def rows(keys: list[np.ndarray], size: int) -> list[pa.Array]:
+            """The distinct combinations of keys below ``size`` with their numbers."""
+            first, second = keys
+            both, n = np.unique(first * size + second, return_counts=True)
+            return [*np.divmod(both, size), n]
+
+        for _, batch in _texts(batches, 0):
+            words, codes, ends = tokenize(batch)
+            words.append(END.encode())
+            end = len(words) - 1
+            k = np.array([known.get(w, -1) for w in words], np.int64)
+            k[end] = width - 1
+            of_word = hashed(words)
+            line = np.append(end, np.insert(codes, ends, end))
+            a, b = line[:-1], line[1:]
+            ka, kb = k[a], k[b]
+            fixed_a, fixed_b = ka >= 0, kb >= 0
+            out = []
+            both = fixed_a & fixed_b
+            x, y, n = rows([ka[both], kb[both]], width)
+            out.append((None, None, x * width + y, n))
+            word = np.concatenate([a[~fixed_a & fixed_b], b[fixed_a & ~fixed_b]])
+            key = np.concatenate([kb[~fixed_a & fixed_b], ka[fixed_a & ~fixed_b] + width])
+            x, y, n = rows([word, key], 2 * width)
+            out.append((of_word[x], None, y, n))
+            free = ~fixed_a & ~fixed_b
+            x, y, n = rows([a[free], b[free]], len(words))
+            out.append((of_word[x], of_word[y], None, n))
+            for x, y, key, n in out:
+                size = len(n)
+                whole = [pa.nulls(size, t) if v is None else pa.array(v, t) for v, t in ((x, pa.int64()), (y, pa.int64()), (key, pa.int32()), (n, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(whole, names=["a", "b", "key", "n"])
+
+    found = texts.select("text").mapInArrow(run, "a bigint, b bigint, key int, n bigint")
+    return found.groupBy("a", "b", "key").agg(F.sum("n").alias("n"))
+
+
+def contexts(neighbours: DataFrame, classes_of: DataFrame, width: int) -> DataFrame:
+    """(word, k, key, n, core): how often each word stands before a class (key below ``width``) and after one.
+
+    ``core`` is the part of n that comes from core words. Only pairs of two other words meet classes by joins.
+    """
+    known = classes_of.select("word", "k")
+    pairs = neighbours.filter("b IS NOT NULL").select("a", "b", "n")
+    left = lookup_join(pairs, known.withColumnsRenamed({"word": "a", "k": "ka"}), ["a"])
+    both = lookup_join(left, known.withColumnsRenamed({"word": "b", "k": "kb"}), ["b"])
+    before = F.struct(F.col("a").alias("word"), F.col("kb").alias("key"))
+    after = F.struct(F.col("b").alias("word"), (F.col("ka") + width).alias("key"))
+    none = F.lit(0).cast("bigint").alias("core")
+    sides = both.select(F.explode(F.array(before, after)).alias("x"), "n").select("x.word", "x.key", "n", none)
+    fixed = neighbours.filter("b IS NULL AND a IS NOT NULL").select(F.col("a").alias("word"), "key", "n", F.col("n").alias("core"))
+    met = fixed.unionByName(sides).groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("core").alias("core"))
+    return lookup_join(met, known, ["word"])
+
+
+def class_pairs(neighbours: DataFrame, met: DataFrame, width: int) -> np.ndarray:
+    """The class-by-class counts: of two core words, of a word before anything, and of a core word before it."""
+    follows = np.zeros(width * width)
+    core = neighbours.filter("a IS NULL").select("key", "n")
+    before = met.filter(F.col("key") < width).select((F.col("k") * width + F.col("key")).alias("key"), "n")
+    after = met.filter(F.col("key") >= width).select(((F.col("key") - width) * width + F.col("k")).alias("key"), F.col("core").alias("n"))
+    for r in core.unionByName(before).unionByName(after).groupBy("key").agg(F.sum("n").alias("n")).collect():
+        follows[r["key"]] = r["n"]
+    return follows.reshape(width, width)
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -233,12 +284,12 @@ def best_classes(home: np.ndarray, begins: np.ndarray, key: np.ndarray, n: np.nd
     return np.where(gain[rows, best] > gain[rows, home] + 1e-9, best, home)
 
 
-def moved(met: DataFrame, fixed: dict[bytes, int], follows: np.ndarray) -> DataFrame:
-    """(word, k): each word's best class; the ``fixed`` words and the end keep theirs."""
-    shared = met.sparkSession.sparkContext.broadcast((set(fixed) | {END.encode()}, follows))
+def moved(met: DataFrame, follows: np.ndarray) -> DataFrame:
+    """(word, k, home): each word's best class, and the one that it has."""
+    shared = met.sparkSession.sparkContext.broadcast(follows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stay, matrix = shared.value
+        matrix = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -247,11 +298,10 @@ def moved(met: DataFrame, fixed: dict[bytes, int], follows: np.ndarray) -> DataF
                 keys, n = (x.to_numpy() for x in lists.flatten().flatten())
                 home = batch.column(1).to_numpy()
                 best = best_classes(home, begins, keys, n.astype(np.float64), matrix)
-                held = np.array([w.encode() in stay for w in batch.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(held, home, best), pa.int32())], names=["word", "k"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32()), batch.column(1)], names=["word", "k", "home"])
 
     each = met.groupBy("word").agg(F.min("k").alias("k"), F.collect_list(F.struct("key", "n")).alias("beside"))
-    return each.mapInArrow(run, "word string, k int")
+    return each.mapInArrow(run, "word bigint, k int, home int")
 
 
 def frequent_words(words: DataFrame, most: int) -> pa.Table:
@@ -271,8 +321,11 @@ def frequent_words(words: DataFrame, most: int) -> pa.Table:
     return words.filter((step >= least) | (F.col("word") == END)).toArrow()
 
 
-def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, listed: int = LISTED, sweeps: int = TABLE_SWEEPS) -> dict:
-    """Learns from a ``text`` column. ``words`` is the stored table of all words' counts and classes; the rest has a fixed size."""
+def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS, classes: int = CLASSES, listed: int = LISTED, sweeps: int | None = TABLE_SWEEPS) -> dict:
+    """Learns from a ``text`` column. ``words`` is the stored table of all words' counts and classes; the rest has a fixed size.
+
+    ``sweeps`` limits the sweeps over the whole word table; with None they go on until nothing moves.
+    """
     counted = store(count_words(texts))
     tokens, types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     taken = frequent_words(counted, listed)
@@ -280,6 +333,7 @@ def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS,
     ranked = sorted((w for w in counts if w != END.encode()), key=lambda w: (-counts[w], w))
     chosen = [w.decode() for w in ranked[:clustered]]
     total = len(chosen) + endings + 1
+    release(texts.sparkSession)
     pairs = count_bigrams(texts, chosen, endings).toArrow()
     left, right = (x.astype(np.int32) for x in np.divmod(pairs["pair"].to_numpy(), total))
     n = pairs["n"].to_numpy()
@@ -298,19 +352,39 @@ def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k, pa.int32())], names=["word", "k"])
 
     placed = store(counted.mapInArrow(start, "word string, k int"))
-    beside = store(count_word_pairs(texts))
-    met = store(contexts(beside, placed, width))
-    follows = class_pairs(met, width)
-    for _ in range(sweeps):
-        other = store(moved(met, core, follows))
-        met = store(contexts(beside, other, width))
-        now = class_pairs(met, width)
-        if information(now) <= information(follows):
+    beside = store(count_neighbours(texts, {w: int(of[k]) for w, k in core.items()}, width))
+    own = F.xxhash64("word")
+    free = placed.filter(F.col("word") != END).select(own.alias("word"), "k")
+    met = store(contexts(beside, free, width))
+    follows = class_pairs(beside, met, width)
+    release(texts.sparkSession)
+    done = 0
+    while sweeps is None or done < sweeps:
+        done += 1
+        better = store(moved(met, follows))
+        if better.filter("k <> home").isEmpty():
+            break
+        # All words at once; if they spoil each other's moves, one half of them, then one quarter.
+        for part in (1, 2, 4):
+            stays = F.pmod("word", F.lit(part)) != 0
+            other = better.select("word", F.when(stays, F.col("home")).otherwise(F.col("k")).alias("k"))
+            tried = store(contexts(beside, other, width))
+            now = class_pairs(beside, tried, width)
+            release(texts.sparkSession)
+            if information(now) > information(follows):
+                break
+            drop(tried)
+        else:
             break
-        placed, follows = other, now
+        drop(met)
+        free, met, follows = other, tried, now
+    release(texts.sparkSession)
     share = (follows.sum(0) + 0.5) / (follows.sum() + 0.5 * width)
     steps = np.log10((follows + BACKOFF * share) / (follows.sum(1, keepdims=True) + BACKOFF))
-    words = store(counted.join(placed, "word"))
+    # Core words have no row of their own in ``free`` once a sweep was made.
+    last = free.select(F.col("word").alias("own"), F.col("k").alias("now"))
+    classed = lookup_join(placed.withColumn("own", own), last, ["own"], "left").select("word", F.coalesce("now", "k").alias("k"))
+    words = store(counted.join(classed, "word"))
     taken = frequent_words(words, listed)
     own = {w.encode(): k for w, k in zip(taken["word"].to_pylist(), taken["k"].to_pylist()) if w != END}
     # Tokens and types of each class, for the words' share in it; counted over the whole table.
@@ -386,6 +460,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
 
 def score_held_out(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     """Learns from the texts whose crc32 remainder isn't ``held`` and scores all."""
+    configure(docs.sparkSession)
     texts = docs.filter(crc_remainder("doc_id", modulus) != held).select(text_of("text").alias("text"))
     model = train(texts)
     return score(docs, model).withColumns({"held_out": crc_remainder("doc_id", modulus) == held, "train_tokens": F.lit(model["tokens"]).cast("bigint")})

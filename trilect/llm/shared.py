@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -60,3 +61,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
         begins = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows] if batch.num_rows else []
         for a, b in zip(begins, begins[1:]):
             yield batch.slice(a, b - a)
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete a table that ``store`` wrote, once nothing reads it any more."""
+    sc = stored.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("store-"):
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished jobs' shuffle files now; Spark deletes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
