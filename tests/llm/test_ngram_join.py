@@ -98,15 +98,6 @@ def test_odd_rows(odd_docs, no_docs):
     assert nj.ngram_join(no_docs).count() == 0
 
 
-def test_one_of_each_component_stays(odd_docs, no_docs):
-    kept = nj.one_of_each(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = sorted((r.doc_id or 0) for r in kept.collect())
-    # 5 is a copy of 4 and 8 of 7; both texts of 10 are components of that name, of which one stays.
-    assert ids == [0, 0, 1, 2, 3, 4, 6, 7, 9, 10, 11]
-    assert nj.one_of_each(no_docs).count() == 0
-
-
 def test_one_row_of_each_component_stays_whatever_the_ids(make_docs, odd_docs, no_docs):
     rng = random.Random(6)
     texts = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "ABCDE"}

@@ -25,8 +25,26 @@ def test_run_is_the_stages_in_a_row(spark, documents, data_dir):
     assert sorted((r.doc_id, r.ids) for r in got) == sorted((r.doc_id, r.ids) for r in wanted)
 
 
+def test_run_takes_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """NULLs, clashing columns, repeated rows and no rows at all, through all stages in a row."""
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert all(r.agrees for r in got.collect()) and (name == "odd" or got.count() == 0)
+
+
+def test_the_first_stage_is_the_ledger(spark, documents, odd_docs, data_dir):
+    from trilect.llm.quality_rules import quality_rules
+
+    for docs in (documents, odd_docs):
+        kept = sorted(repr((r.doc_id, r.text)) for r in corpus_pipeline.keep_good(spark, docs, data_dir).collect())
+        judged = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+        assert {k for k in kept} <= {repr((r.doc_id, r.text)) for r in docs.collect()}
+        assert len(kept) == quality_rules(docs).filter("kept").count() and judged
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_the_rest_works_without_the_package():
@@ -47,7 +65,7 @@ def test_oracle_columns(name, spark, data_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
     rel = con.sql(ORACLES[name])
     df = QUERIES[name](spark, data_dir)

@@ -17,9 +17,11 @@ Other columns of the input are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilect.llm.shared import text_of, word_count
@@ -113,9 +115,15 @@ def mix_sources(
     share: float = SHARE,
     most: int = MOST,
     seed: int = SEED,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row doc_id, source, size, source_size, target, copies (how often it is taken) and taken (in words)."""
-    sized = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text_of(text)).alias("size")))
+    """Per row doc_id, source, size, source_size, target, copies (how often it is taken) and taken (in words).
+
+    The columns ``also`` are kept, and decide between rows of the same id.
+    """
+    sized = store(
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text_of(text)).alias("size"), *also)
+    )
     counted = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     aims = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
 
@@ -132,27 +140,32 @@ def mix_sources(
         .applyInPandas(plan, f"source {kind}, size bigint, source_size bigint, target double, base int, more bigint")
     )
     seeded: Column = F.xxhash64(F.lit(seed), "doc_id")
-    placed = positions(sized.withColumn("_seeded", seeded), ["_seeded", "doc_id"], within=["source", "size"], name="_place")
+    placed = positions(sized.withColumn("_seeded", seeded), ["_seeded", "doc_id", *also], within=["source", "size"], name="_place")
     joined = null_safe_join(placed, checked_broadcast(plans), ["source", "size"])
     copies = F.col("base") + F.when(F.col("_place") <= F.col("more"), 1).otherwise(0)
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), *also
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
-    Rows that agree in doc_id, source and size share out their copies by the hash of the text.
+    Rows that agree in doc_id, source and text share out their copies evenly; they are numbered
+    over sorted ranges, so any number of them may agree (ids may be NULL throughout).
     """
-    keys = ["doc_id", "source", "size"]
-    taken = mix_sources(docs).groupBy(*keys).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
-    taken = cut(taken.withColumn("n", F.size("copies")))
+    keys = ["doc_id", "source", "size", "of_text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = rows.withColumns({"doc_id": F.col("_doc.doc_id"), "source": F.col("_doc.source"), "size": word_count(text_of(F.col("_doc.text")))})
-    single = null_safe_join(rows, checked_broadcast(taken.filter("n = 1").drop("n")), keys).withColumn("place", F.lit(1))
-    several = null_safe_join(rows, checked_broadcast(taken.filter("n > 1").drop("n")), keys)
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("_doc.text")))
-    several = several.withColumn("place", F.row_number().over(order))
-    each = single.unionByName(several).select("_doc", F.get("copies", F.col("place") - 1).alias("copies")).filter("copies > 0")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")
+    text = text_of(F.col("_doc.text"))
+    rows = rows.withColumns(
+        {"doc_id": F.col("_doc.doc_id"), "source": F.col("_doc.source"), "size": word_count(text), "of_text": F.xxhash64(text)}
+    )
+    taken = mix_sources(rows.withColumn("text", F.col("_doc.text")), also=["of_text"])
+    share = cut(taken.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")))
+    single = null_safe_join(rows, checked_broadcast(share.filter("n = 1").drop("n")), keys)
+    several = null_safe_join(rows, checked_broadcast(share.filter("n > 1")), keys)
+    placed = positions(several.withColumn("_at", F.monotonically_increasing_id()), ["_at"], within=keys, name="_place")
+    extra = F.when(F.col("_place") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    shared = placed.withColumn("copies", F.expr("copies div n") + extra)
+    each = single.select("_doc", "copies").unionByName(shared.select("_doc", "copies")).filter("copies > 0")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("_doc.*")

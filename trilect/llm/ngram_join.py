@@ -395,23 +395,6 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
     return result.select("doc_id", "n_shingles", own.alias("component_id"), "of_text")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row of ``docs`` for each component, that with the smallest doc_id; rows with a NULL doc_id all stay.
-
-    Where rows share that doc_id, the text with the least hash stays, and of equal rows one.
-    """
-    judged = ngram_join(docs, width, num, den).filter("doc_id = component_id")
-    least = judged.groupBy("doc_id").agg(F.min("of_text").alias("of_text"))
-    counted = judged.groupBy("doc_id", "of_text").agg(F.count(F.lit(1)).alias("n"))
-    stay = cut(least.join(counted, ["doc_id", "of_text"]))
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    hashed = hashed.withColumns({"doc_id": F.col("_doc.doc_id").cast("bigint"), "of_text": F.xxhash64(text_of(F.col("_doc.text")))})
-    single = hashed.join(checked_broadcast(stay.filter("n = 1").drop("n")), ["doc_id", "of_text"], "left_semi")
-    several = hashed.join(checked_broadcast(stay.filter("n > 1").drop("n")), ["doc_id", "of_text"], "left_semi")
-    kept = single.unionByName(several.dropDuplicates(["doc_id"])).unionByName(hashed.filter("doc_id is null"))
-    return kept.select("_doc.*")
-
-
 def one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row of ``docs`` for each component, whatever the ids: rows are told apart by doc_id and text.
 

@@ -167,9 +167,9 @@ def quality_rules(docs: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns only."""
-    measured = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), measurements(text_of("text")).alias("_m"))
-    fails = [F.expr(condition) for condition in (RULES[r] for r in dict.fromkeys((*BASE, *POLICIES[policy])))]
+    """The rows of ``docs`` that the policy keeps, with their own columns only: the ledger beside each row, then the policy."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     # Rules name measurements; the document is out of their reach, whatever its columns are called.
-    judged = measured.select("_doc", "_m.*").withColumn("_failed", reduce(lambda a, b: a | b, fails))
-    return judged.filter(~F.col("_failed")).select("_doc.*")
+    entries = ledger(rows, doc_id="_doc", text="_doc.text")
+    base = F.col("failed").bitwiseAND(F.lit(mask_of(BASE))) == 0
+    return apply_policy(entries, policy).filter(F.col("kept") & base).select("doc_id.*")
