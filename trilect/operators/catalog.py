@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from trilect.functions.columns import as_column
 from trilect.functions.ddl import read_ddl
-from trilect.operators.ordering import lookup_join, null_safe_join, positions
+from trilect.operators.ordering import checked_broadcast, lookup_join, null_safe_join, positions
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
-from trilect.session import cut, cut_round
+from trilect.session import cut, store
 
 # --- type classes -------------------------------------------------------------
 
@@ -584,32 +584,44 @@ def shorten_identifiers(names: DataFrame, scope: Sequence[str], name: str, max_l
     """(scope, name, short_name): names over ``max_len`` cut and closed with 4 md5 digits, unique within a scope.
 
     Short forms differ in more than case. Of names with one form the first keeps it; the
-    others are cut further and numbered, with two digits while these last. A number whose
-    form some name has already is left for the next width, as is a name past the numbers of
-    a width; each round handles only the names that still clash.
+    others are cut further and numbered, with two digits while these last, then with three,
+    and so on. Numbers whose form some name has already are passed over.
+
+    Forms are grouped once and clashing names picked out once. A width is one round over the
+    clashing names: the n-th of a stem gets the n-th number that is free.
     """
-    distinct = names.select(*scope, name).distinct()
     form = F.concat(F.left(F.col(name), F.lit(max_len - 4)), F.left(F.md5(name), F.lit(4)))
-    long = distinct.filter(F.char_length(name) > max_len).withColumn("_form", form)
-    keyed = long.withColumn("_key", F.upper("_form"))
-    nth = cut(positions(keyed, [name], [*scope, "_key"], "_nth"))
-    done = nth.filter("_nth = 1").select(*scope, name, F.col("_form").alias("short_name"))
-    rest, width = nth.filter("_nth > 1").select(*scope, name, "_form"), 2
+    key, within = F.upper(form).alias("_key"), [*scope, "_key"]
+    long = names.filter(F.char_length(name) > max_len).select(*scope, name, key)
+    firsts = store(long.groupBy(*within).agg(F.min(name).alias(name), F.max(name).alias("_last")))
+    clash = firsts.filter(F.col(name) != F.col("_last")).select(*within, F.col(name).alias("_first"))
+    others = null_safe_join(long, checked_broadcast(clash), within).filter(F.col(name) != F.col("_first"))
+    rest, width = cut(others.select(*scope, name, form.alias("_form")).distinct()), 2
+    given = [firsts.select(*scope, name, form.alias("short_name"))]
+    taken = [firsts.select(*within)]
     while not rest.isEmpty():
         if width > max_len:
             raise ValueError(f"{max_len} characters are too few for the clashing names")
-        stem = F.left("_form", F.lit(max_len - width))
-        least = 0 if width == 2 else 10 ** (width - 1) - 1
-        grouped = rest.withColumn("_stem", stem).withColumn("_key", F.upper(stem))
-        tried = cut(positions(grouped, [name], [*scope, "_key"], "_n").withColumn("_n", F.col("_n") + F.lit(least)))
-        number = F.lpad(F.col("_n").cast("string"), width, "0")
-        formed = tried.filter(F.col("_n") < 10**width).withColumn("short_name", F.concat("_stem", number))
-        taken = done.select(*scope, F.upper("short_name").alias("_key")).withColumn("_used", F.lit(True))
-        met = cut(null_safe_join(formed.withColumn("_key", F.upper("short_name")), taken, [*scope, "_key"], "left"))
-        done = cut(done.unionByName(met.filter("_used is null").select(*scope, name, "short_name")))
-        left = tried.filter(F.col("_n") >= 10**width).unionByName(met.filter("_used").select(*tried.columns))
-        rest, width = cut(left.select(*scope, name, "_form")), width + 1
-    return done
+        cut_to, least = max_len - width, 0 if width == 2 else 10 ** (width - 1) - 1
+        grouped = rest.withColumn("_stem", F.left("_form", F.lit(cut_to))).withColumn("_key", F.upper("_stem"))
+        ranked = cut(positions(grouped, [name], within, "_n"))
+        # The numbers that are taken behind each stem: at most 10 ** width.
+        stems = ranked.select(*within).distinct()
+        digits = F.substring("_key", cut_to + 1, width)
+        numbers = reduce(DataFrame.unionByName, taken).filter(digits.rlike(f"^[0-9]{{{width}}}$"))
+        numbers = numbers.select(*scope, F.left("_key", F.lit(cut_to)).alias("_key"), digits.cast("bigint").alias("_number"))
+        numbers = null_safe_join(numbers.filter(F.col("_number") > least), stems, within)
+        lists = numbers.groupBy(*within).agg(F.sort_array(F.collect_set("_number")).alias("_taken"))
+        # The n-th free number has n free ones up to it: taken ones with fewer free ones below are passed.
+        free_below = F.transform(F.coalesce("_taken", F.array().cast("array<bigint>")), lambda t, i: t - F.lit(least + 1) - i)
+        passed = F.size(F.filter(free_below, lambda g: g < F.col("_n")))
+        placed = null_safe_join(ranked, lists, within, "left").withColumn("_at", F.col("_n") + passed + F.lit(least))
+        placed = cut(placed.withColumn("short_name", F.concat("_stem", F.lpad(F.col("_at").cast("string"), width, "0"))).drop("_taken"))
+        fits = F.col("_at") < 10**width
+        given.append(placed.filter(fits).select(*scope, name, "short_name"))
+        taken.append(placed.filter(fits).select(*scope, F.upper("short_name").alias("_key")))
+        rest, width = placed.filter(~fits).select(*scope, name, "_form"), width + 1
+    return reduce(DataFrame.unionByName, given)
 
 
 def normalize_identifier(name: str | Column) -> Column:
