@@ -53,3 +53,19 @@ def test_odd_rows(spark):
 def test_scores_past_a_long_raise(spark):
     with pytest.raises(Exception, match="too large"):
         result(frame(spark, [(0, [1e13, 1.0]), (1, [1e13, 2.0])]))
+
+
+@pytest.mark.parametrize("blocks", [(4096, 512), (1, 1)])
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, [4e13, 0.0]), (1, [1.0, 2.0]), (2, [3.0, 4.0])],
+        [(0, [1e7, 0.0]), (1, [0.0, 1e7]), (2, [3.0, 4.0]), (4, [0.0, 1e10]), (6, [0.25, -1e10])],
+        [(0, [1.0, 0.5]), (1, [-1e300, 0.0]), (2, [2.0, 1e12]), (3, [3.0, -1e13])],
+    ],
+)
+def test_finite_components_of_any_size_take_part(spark, rows, blocks):
+    """A score that a long can't hold only matters where it would be returned."""
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = top_k(df, F.col("vec_id") % 5 == 0, k=2, candidate_block=blocks[0], query_block=blocks[1]).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_force(rows, 2)

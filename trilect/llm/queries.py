@@ -233,8 +233,9 @@ WITH c AS (
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          coalesce(list_sum([q.v[i] * c.v[i] for i in range(1, least(len(q.v), len(c.v)) + 1)]), 0)::BIGINT AS score
-  FROM c AS q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+         , q.v AS same
+  FROM (SELECT DISTINCT vec_id, v FROM c WHERE vec_id % 50 = 0) AS q JOIN c ON c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, same ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

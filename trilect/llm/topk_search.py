@@ -10,11 +10,15 @@ Components become floor(scale * x) with x as double. Defined cases: rows with a
 vector, or with a NULL or non-finite component, take no part. A dimension that one of two
 vectors lacks counts as 0, so an empty vector scores 0. A query meets no row of its own
 id; other repeated rows are candidates each. A query that is repeated with the same vector
-is answered once. Scores that a long can't hold raise an error. Other columns are not read.
+is answered once. Finite components of any size take part; a score that is to be returned
+and that a long can't hold raises an error. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from trilect.llm.shared import parts_for
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
+#: From here on doubles skip whole numbers, and products are worked out exactly.
+EXACT = 2.0**53
 
 
 def _dense(vectors: pa.ListArray | pa.ChunkedArray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,17 +36,22 @@ def _dense(vectors: pa.ListArray | pa.ChunkedArray, scale: float) -> tuple[np.nd
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    weights = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-    if len(weights) and np.abs(weights).max() >= 2**53:
-        raise ValueError("a component is too large for an exact score")
+    parts = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    with np.errstate(over="ignore"):
+        weights = np.floor(scale * parts)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     dims = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     there = weights != 0
-    return rows[there], dims[there], weights[there].astype(np.int64)
+    whole = weights[there]
+    if len(whole) and np.abs(whole).max() >= EXACT:
+        whole = np.array([math.floor(Fraction(x) * Fraction(scale)) for x in parts[there].tolist()], object)
+    else:
+        whole = whole.astype(np.int64)
+    return rows[there], dims[there], whole
 
 
 def best_of_block(queries: pa.Table, candidates: pa.Table, k: int, scale: float) -> dict[str, np.ndarray]:
-    """For each query its k best candidates of this block: query row, candidate id and score."""
+    """For each query its k best candidates of this block: query row, candidate id, score, and past (1 above a long, -1 below)."""
     candidates = candidates.sort_by("vec_id")
     ids = candidates["vec_id"].to_numpy()
     rows, dims, weights = _dense(candidates["v"], scale)
@@ -52,9 +63,9 @@ def best_of_block(queries: pa.Table, candidates: pa.Table, k: int, scale: float)
     bound = 0
     if len(weights) and len(q_weights):
         bound = int(np.abs(weights).max()) * int(np.abs(q_weights).max()) * n_dims
-    if bound >= 2**63:
-        raise ValueError("a score could be too large for a long")
-    kind = np.int32 if bound < 2**31 else np.int64
+    # Where a sum might leave a long, the block's sums are Python integers.
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
+    of_kind = int if kind is object else kind
     weights = weights.astype(kind)
     postings = [(slice(None) if b - a == len(ids) else rows[a:b], weights[a:b]) for a, b in zip(begins, begins[1:])]
     q_begins = np.searchsorted(q_rows, np.arange(queries.num_rows + 1))
@@ -65,7 +76,7 @@ def best_of_block(queries: pa.Table, candidates: pa.Table, k: int, scale: float)
         for d, w in zip(q_dims[q_begins[q] : q_begins[q + 1]], q_weights[q_begins[q] : q_begins[q + 1]]):
             if d < n_dims:
                 where, posting = postings[d]
-                scores[where] += kind(w) * posting
+                scores[where] += of_kind(w) * posting
         a, b = np.searchsorted(ids, [own, own + 1])
         others = np.delete(np.arange(len(ids)), slice(a, b)) if b > a else np.arange(len(ids))
         mine = scores[others]
@@ -75,8 +86,10 @@ def best_of_block(queries: pa.Table, candidates: pa.Table, k: int, scale: float)
             pick = np.concatenate([above, equal[: k - len(above)]])
         else:
             pick = np.arange(len(mine))
-        found.append((np.full(len(pick), q), ids[others[pick]], mine[pick].astype(np.int64)))
-    names = ("query", "vec_id", "score")
+        best = mine[pick]
+        past = (best >= 2**63).astype(np.int64) - (best < -(2**63)).astype(np.int64) if kind is object else np.zeros(len(pick), np.int64)
+        found.append((np.full(len(pick), q), ids[others[pick]], np.where(past == 0, best, 0).astype(np.int64), past))
+    names = ("query", "vec_id", "score", "past")
     if not found:
         return {n: np.zeros(0, np.int64) for n in names}
     return {n: np.concatenate([f[i] for f in found]) for i, n in enumerate(names)}
@@ -116,14 +129,15 @@ def top_k(
         mine = best.pop("query")
         return pa.table(
             {"query_id": q["query_id"].to_numpy()[mine], "same": q["same"].to_numpy()[mine], **best},
-            schema=pa.schema([(n, pa.int64()) for n in ("query_id", "same", "vec_id", "score")]),
+            schema=pa.schema([(n, pa.int64()) for n in ("query_id", "same", "vec_id", "score", "past")]),
         )
 
     best = (
         left.groupBy("qb", "stripe")
         .cogroup(right.groupBy("qb", "stripe"))
-        .applyInArrow(meet, "query_id bigint, same bigint, vec_id bigint, score bigint")
+        .applyInArrow(meet, "query_id bigint, same bigint, vec_id bigint, score bigint, past bigint")
     )
-    order = Window.partitionBy("query_id", "same").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "same").orderBy(F.col("past").desc(), F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("past") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score is too large for a long")).cast("bigint"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
