@@ -308,3 +308,25 @@ _CASES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE N
 )
 def align(t: Tables) -> DataFrame:
     return x.case_insensitive_align(t.sql(_CASES).toDF("ID", "Name", "NAME"), ["Id", "Name", "missing"])
+
+
+def _whole_inserts(dialect: str) -> str:
+    """All columns of orders: doubles with their shortest digits, times in the dialect's form."""
+    q = "`" if dialect == "mysql" else '"'
+    names = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+    head = f"INSERT INTO {q}orders{q} ({', '.join(q + c + q for c in names)}) VALUES"
+    price = "CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE rtrim(printf('%.6f', o_totalprice), '0') END"
+    moment = "'''' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ''''"
+    if dialect == "oracle":
+        moment = f"'TO_TIMESTAMP(' || {moment} || ', ''YYYY-MM-DD HH24:MI:SS'')'"
+    values = f"o_orderkey || ', ' || o_custkey || ', ''' || o_orderstatus || ''', ' || {price} || ', ' || {moment} || ', ''' || o_orderpriority || ''''"
+    rows = f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, '(' || {values} || ')' AS r FROM orders"
+    if dialect == "oracle":
+        return f"SELECT n AS batch_no, '{head} ' || r || ';' AS statement FROM ({rows})"
+    return f"""SELECT CAST(floor(n / 50) AS BIGINT) AS batch_no, '{head}' || chr(10) || string_agg('  ' || r, ',' || chr(10) ORDER BY n) || ';' AS statement
+        FROM ({rows}) GROUP BY 1"""
+
+
+@per_dialect("EX5_all_columns", {k: _whole_inserts(k) for k in ("mysql", "pg", "oracle")})
+def whole_inserts(t: Tables, dialect: str) -> DataFrame:
+    return x.insert_statements(t.orders, "orders", dialect, ["o_orderkey"])
