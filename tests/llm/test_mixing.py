@@ -61,6 +61,37 @@ def test_lengths_of_one_document_give_a_seeded_share():
     assert (other != more).any() and (fit(lengths, np.ones(4000, np.int64), 0.5 * size)[1] == more).all()
 
 
+@pytest.mark.parametrize("n", [300, 500, 600, 2000])
+def test_the_draw_is_seeded_at_every_size(n):
+    lengths = np.arange(1, n + 1)
+    half = int(lengths.sum()) // 2
+    base, more = fit(lengths, np.ones(n, np.int64), half)
+    assert base == 0 and int((more * lengths).sum()) == half
+    for fifth in np.array_split(more, 5):
+        assert abs(fifth.sum() - n / 10) <= 0.15 * n / 10
+
+
+def test_the_draw_gives_back_for_an_exact_sum():
+    lengths, counts = np.array([2, 7, 40, 90]), np.array([1, 1, 30, 30])
+    size = int((lengths * counts).sum())
+    for target in range(1, size, 97):
+        taken = int((fit(lengths, counts, target)[1] * lengths).sum())
+        floor = target * counts // size
+        free = [range(int(c - f) + 1) for c, f in zip(counts, floor)]
+        sums = {int((floor * lengths).sum()) + sum(n * x for n, x in zip(pick, lengths.tolist())) for pick in itertools.product(*free)}
+        assert taken == max(s for s in sums if s <= target)
+
+
+def test_long_documents_are_fitted_in_time():
+    rng = np.random.default_rng(0)
+    lengths = np.unique(np.append(rng.integers(20, 6000, 4000), [1_000_000, 700_001]))
+    counts = rng.integers(1, 60, len(lengths))
+    size = int((lengths * counts).sum())
+    for share in (0.31, 1.5):
+        base, more = fit(lengths, counts, share * size)
+        assert (more <= counts).all() and abs(base * size + int((more * lengths).sum()) - share * size) <= 1
+
+
 def test_targets(spark):
     sizes = {"b": 100, "B": 4000, "é": 300, "": 50, None: 900, "a": 0, "z": 70}
     order = ["", "B", "a", "b", "z", "é", None]

@@ -2,10 +2,11 @@
 
 Documents are counted by exact length (in words) per source. A source's budget takes all
 its documents as often as it can; of the remaining budget every length gives the whole
-documents of its proportional share. Where the fractions that are left over make more than
-``EXACT`` words, lengths give one document more each by a seeded draw in proportion to their
-fraction. The last words, ``EXACT`` or four times the longest document at most, are fitted by
-a bounded knapsack over the lengths that are left, long ones first. Which documents of a
+documents of its proportional share, and of the fractions that are left over it gives one
+document more by a seeded draw in proportion to them. What the draw is kept from, twice the
+longest document, is fitted by a bounded knapsack over the documents that are left, in a
+seeded order. Where these can't make the sum, the draw gives back twice as much, and so on:
+up to ``EXACT`` words, or all fractions of a source that has fewer. Which documents of a
 length are taken is decided by a seeded order.
 
 Defined cases: a NULL or blank text has size 0 and takes no words. NULL is a source of its
@@ -32,7 +33,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Mixed size over input size, and the most that a document or source is taken.
 SHARE, MOST = 1.5, 2
 SEED = 20240115
-#: Remaining words up to which the knapsack is solved exactly, unless the longest document is longer.
+#: Words up to which the draw gives back for an exact sum, unless twice the longest document is more.
 EXACT = 1 << 16
 
 
@@ -72,23 +73,47 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST
     more = [rest * c // size for c in counts]
     left = [c - k for c, k in zip(counts, more)]
     rest -= sum(a * b for a, b in zip(lengths, more))
-    by_length = sorted((k for k in range(len(lengths)) if lengths[k]), key=lambda k: -lengths[k])
-    reserve = max(exact // 2, 2 * max(lengths))
-    if rest > max(exact, reserve):
-        # In the order of length, the draw is never two documents off its share, so its words
-        # are less than twice the longest document off.
-        drawn = 1 - reserve / rest
-        place = float(np.random.default_rng(seed).random())
-        for k in reversed(by_length):
-            place += (budget % size) * counts[k] % size / size * drawn
-            if place >= 1:
-                more[k], left[k], rest, place = more[k] + 1, left[k] - 1, rest - lengths[k], place - 1
-    # Bounded knapsack: first[s] is the piece (length, number) by which s words were first reached.
+    fractions = [(budget % size) * c % size / size for c in counts]
+    reserve, best = 2 * max(lengths), None
+    while True:
+        part = max(0.0, 1 - reserve / rest) if rest else 0.0
+        drawn = draw(lengths, fractions, part, seed)
+        need = rest - sum(a * b for a, b in zip(lengths, drawn))
+        fitted, short = knapsack(lengths, [n - d for n, d in zip(left, drawn)], need, seed)
+        if best is None or short < best[0]:
+            best = short, [a + b + c for a, b, c in zip(more, drawn, fitted)]
+        if not short or not part or reserve >= exact:
+            return base, np.array(best[1], np.int64)
+        reserve = min(2 * reserve, exact)
+
+
+def draw(lengths: list[int], fractions: list[float], part: float, seed: int) -> list[int]:
+    """One document or none of each length, by ``part`` of its fraction.
+
+    In the order of length, the draw is never two documents off its share, so its words are
+    less than twice the longest document off.
+    """
+    taken, place = [0] * len(lengths), float(np.random.default_rng(seed).random())
+    for k in sorted((k for k in range(len(lengths)) if lengths[k]), key=lambda k: lengths[k]):
+        place += fractions[k] * part
+        if place >= 1:
+            taken[k], place = 1, place - 1
+    return taken
+
+
+def knapsack(lengths: list[int], left: list[int], rest: int, seed: int) -> tuple[list[int], int]:
+    """How many documents of each length come nearest to ``rest`` from below, and the words short of it.
+
+    Lengths come in turn as in a seeded order of the documents left; it ends at an exact sum.
+    """
+    rng = np.random.default_rng(seed + 1)
+    turn = rng.exponential(size=len(lengths)) / np.maximum(left, 1)
+    # first[s] is the piece (length, number) by which s words were first reached.
     pieces: list[tuple[int, int]] = []
     first = np.full(rest + 1, -1, np.int32)
     first[0] = 0
-    for k in by_length:
-        n, step = min(left[k], rest // lengths[k]), 1
+    for k in np.argsort(turn, kind="stable"):
+        n, step = min(left[k], rest // lengths[k]) if lengths[k] else 0, 1
         while n > 0 and first[rest] < 0:
             step = min(step, n)
             pieces.append((k, step))
@@ -99,11 +124,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST
         if first[rest] >= 0:
             break
     words = int(np.flatnonzero(first >= 0)[-1])
+    taken, short = [0] * len(lengths), rest - words
     while words:
         k, n = pieces[first[words] - 1]
-        more[k] += n
+        taken[k] += n
         words -= n * lengths[k]
-    return base, np.array(more, np.int64)
+    return taken, short
 
 
 def mix_sources(
