@@ -1,6 +1,11 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 
-from trilect.llm.language_id import address, declared, identify, visible
+from trilect.llm.language_id import BUCKETS, DECLARED, TEMPER, TRIGRAM, WIDER, address, declared, identify, trigrams, visible
 
 TEXT = {
     "en": "the quick brown fox and the lazy dog went over to that other thing with them",
@@ -43,6 +48,79 @@ def test_other_evidence_decides_where_the_text_says_nothing(spark, docs):
     assert all(0.5 < got[k][1] < 1 for k in (20, 21, 22, 23, 40))
 
 
+def made(lang):
+    """Words of a language of its own."""
+    rng = random.Random(lang)
+    letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+    return [" ".join("".join(rng.choices(letters, k=rng.randrange(3, 8))) for _ in range(60)) for _ in range(2)]
+
+
+def test_three_hundred_languages(spark):
+    langs = [f"l{k:03d}" for k in range(300)]
+    taught = spark.createDataFrame([(k, made(x)[0] + " " + made(x)[1], x) for k, x in enumerate(langs)], "doc_id bigint, text string, lang string")
+    pages = [(k, f"http://{x}.org/", page(made(x)[k % 2])) for k, x in enumerate(langs)]
+    got = result(identify(frame(spark, pages), taught))
+    assert len(got) == 300 and sum(got[k][0] == x for k, x in enumerate(langs)) == 300
+
+
+def by_hand(docs, pages):
+    """The same evidence, page by page in plain loops."""
+    counts = {}
+    for lang, text in docs:
+        if lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(trigrams(text).tolist())
+    names = sorted(x for x in counts if counts[x])
+    rows = []
+    for page_id, host, said, text in pages:
+        found = trigrams(text).tolist()
+        logs = []
+        for x in names:
+            size = sum(counts[x].values())
+            value = sum(math.log((counts[x][t] + TRIGRAM) / (size + TRIGRAM * BUCKETS)) for t in found)
+            logs.append(value * min(1.0, TEMPER / len(found)) if found else 0.0)
+        own = np.exp(np.array(logs) - np.logaddexp.reduce(logs))
+        rows.append((page_id, host, said, own))
+
+    def total(keep):
+        return sum((r[3] for r in rows if keep(r)), np.zeros(len(names)))
+
+    def share(sums, wider):
+        return (np.maximum(sums, 0) + WIDER * wider) / (sums.sum() + WIDER)
+
+    def cut(host, k):
+        return None if host is None else ".".join(host.split(".")[-k:])
+
+    result, kinds = {}, {r[2] for r in rows if r[2]}
+    over_all = share(total(lambda r: True), np.full(len(names), 1 / len(names)))
+    for page_id, host, said, own in rows:
+        by_suffix = share(total(lambda r: cut(r[1], 1) == cut(host, 1)), over_all)
+        by_domain = share(total(lambda r: cut(r[1], 2) == cut(host, 2)), by_suffix)
+        prior = over_all if host is None else share(total(lambda r: r[1] == host) - own, by_domain)
+        odds = np.zeros(len(names))
+        if said:
+            spoken = total(lambda r: r[2] is not None)
+            odds = np.log((total(lambda r: r[2] == said) + DECLARED) / (spoken + DECLARED * (len(kinds) + 1)))
+        found = np.log(own) + np.log(prior) + odds
+        result[page_id] = (names[int(found.argmax())], 1 / np.exp(found - found.max()).sum())
+    return result
+
+
+@pytest.mark.parametrize("block", [1, 3, 128])
+def test_posteriors_by_hand_in_blocks_of_any_size(spark, block):
+    rng, langs = random.Random(7), ["aa", "bb", "cc", "dd", "eé,"]
+    docs = [(x, " ".join(made(x))) for x in langs] + [("zz", ""), (None, "abc"), ("aa", None)]
+    pages = []
+    for k in range(40):
+        words = made(rng.choice(langs))[0].split()[: rng.randrange(0, 12)]
+        host = rng.choice(["www.a.com", "b.a.com", "c.org", "org", None])
+        pages.append((k, host, rng.choice(["aa", "bb", "xx", None]), " ".join(words + made(rng.choice(langs))[1].split()[: rng.randrange(0, 9)])))
+    rows = [(k, f"http://{host}/x" if host else None, page(text, said)) for k, host, said, text in pages]
+    taught = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(docs)], "doc_id bigint, text string, lang string")
+    got, wanted = result(identify(frame(spark, rows), taught, block=block)), by_hand(docs, pages)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()}
+    assert all(got[k][1] == pytest.approx(wanted[k][1], rel=1e-6) for k in wanted)
+
+
 def test_odd_rows(spark, docs):
     rows = [(1, None, None), (1, None, None), (None, "not a url", ""), (2, "http://", "<p>" + TEXT["en"] * 5000)]
     found = identify(frame(spark, rows), docs)
