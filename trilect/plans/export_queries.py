@@ -254,6 +254,19 @@ def query_corpus_rejects(t: Tables) -> DataFrame:
     return io.query_corpus_rejects(t.spark, _corpus(t), lines=True).select("reason", "record")
 
 
+@query(
+    "IO1_read_query_arrays",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS query_id, '{"}' || o_orderpriority || chr(10) || '[' AS sql FROM orders""",
+)
+def query_arrays(t: Tables) -> DataFrame:
+    """Texts with quotes and brackets in them, a file of about two hundred records each."""
+    folder = _folder(t, "arrays")
+    record = F.struct(F.col("o_orderkey").alias("query_id"), F.concat(F.lit('{"}'), F.col("o_orderpriority"), F.lit("\n[")).alias("sql"))
+    files = t.orders.groupBy(F.floor(F.col("o_orderkey") / 200).alias("f")).agg(F.collect_list(record).alias("records"))
+    files.select(F.to_json("records").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return io.read_query_corpus(t.spark, folder).select("query_id", "sql")
+
+
 @query(
     "IO2_read_differences",
     "SELECT 'd' || p_partkey AS id, p_name AS feature, p_brand AS category, p_type AS requirement FROM part",
@@ -273,6 +286,24 @@ def differences(t: Tables) -> DataFrame:
     return read.select("id", "feature", "category", "requirement")
 
 
+@query(
+    "IO2_rejects",
+    """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'no id' ELSE 'not json' END AS reason,
+              '{"feature":"' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '"}' ELSE '", oops}' END AS record
+       FROM part WHERE p_partkey % 5 < 2""",
+)
+def difference_rejects(t: Tables) -> DataFrame:
+    """Entries without an id and entries that are damaged, among others."""
+    folder = _folder(t, "damaged")
+    key = F.col("p_partkey").cast("string")
+    head = F.when(F.col("p_partkey") % 5 < 2, F.concat(F.lit('{"feature":"'), key)).otherwise(F.concat(F.lit('{"id":"'), key))
+    tail = F.when((F.col("p_partkey") % 2 != 0) & (F.col("p_partkey") % 5 < 2), '", oops}').otherwise('"}')
+    files = t.part.groupBy(F.floor(F.col("p_partkey") / 100).alias("f")).agg(F.collect_list(F.concat(head, tail)).alias("entries"))
+    text = F.concat(F.lit('{"differences": ['), F.array_join("entries", ", "), F.lit("]}"))
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return io.difference_rejects(t.spark, folder).select("reason", "record")
+
+
 _FILED = f"SELECT query_id, 'db' || CAST(query_id % 12 AS STRING) AS database, dialect, sql FROM ({QUERY_TEXTS}) q"
 
 

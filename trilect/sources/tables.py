@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trilect.operators.ordering import checked_broadcast
+from trilect.session import cut
+from trilect.sources.json_records import json_records
+
 # Record layouts, stated so that no read ever infers a schema.
 SOURCE_QUERY = T.StructType(
     [
@@ -72,44 +76,80 @@ def read_jdbc_table(
 _CORRUPT = "_corrupt_record"
 
 
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of (file, offset, record) rows, with the text of what isn't an object of JSON."""
+    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    read = F.from_json("record", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    parsed = records.withColumn("_read", F.when(F.col("record").startswith("{"), read))
+    broken = F.when(F.col("_read").isNull(), F.coalesce("record", F.lit(""))).otherwise(F.col(f"_read.{_CORRUPT}"))
+    return parsed.select(*[F.col(f"_read.{f}").alias(f) for f in schema.fieldNames()], broken.alias(_CORRUPT), "file", "offset")
+
+
 def _records(spark: SparkSession, path: str, schema: T.StructType, lines: bool) -> DataFrame:
-    """Records with the text of those that can't be read, and their file."""
+    """Records with the text of those that can't be read, their file and, of arrays, their offset."""
+    if not lines:
+        return _parsed(json_records(spark, path, r"\A\s*\[", 1), schema)
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    read = spark.read.schema(wide).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-    return read.json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    read = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+    return read.json(path).select("*", F.col("_metadata.file_path").alias("file"), F.lit(None).cast("bigint").alias("offset"))
+
 
+def _rejects(records: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    whole = F.to_json(F.struct(*schema.fieldNames()))
+    reason = F.when(F.col(_CORRUPT).isNotNull(), F.lit("not json")).when(F.col(key).isNull(), F.lit("no id"))
+    rows = records.select("file", "offset", reason.alias("reason"), F.coalesce(_CORRUPT, whole).alias("record"))
+    return rows.filter("reason is not null")
 
-def read_query_corpus(spark: SparkSession, path: str, schema: T.StructType = SOURCE_QUERY, lines: bool = False) -> DataFrame:
+
+def _kept(records: DataFrame, key: str, salvage: bool) -> DataFrame:
+    """Sound records with an id; without ``salvage``, those of files that are sound throughout."""
+    sound = records.filter(F.col(_CORRUPT).isNull() & F.col(key).isNotNull())
+    if salvage:
+        return sound
+    broken = cut(records.filter(F.col(_CORRUPT).isNotNull()).select("file").distinct())
+    return sound.join(checked_broadcast(broken), "file", "left_anti")
+
+
+def read_query_corpus(
+    spark: SparkSession, path: str, schema: T.StructType = SOURCE_QUERY, lines: bool = False, salvage: bool = False
+) -> DataFrame:
     """Query records, from JSON arrays or, with ``lines``, one record a line; ids are kept as text.
 
-    An array is read by one task, however long its file; large corpora should be lines.
-    What isn't here is in ``query_corpus_rejects``.
+    Both are read in splits. An array file with a broken part is refused whole, unless
+    ``salvage`` asks for its sound records. What isn't JSON is in ``query_corpus_rejects``.
     """
-    kept = _records(spark, path, schema, lines).filter(F.col(_CORRUPT).isNull() & F.col("query_id").isNotNull())
-    return kept.select(*schema.fieldNames())
+    return _kept(_records(spark, path, schema, lines), "query_id", salvage or lines).select(*schema.fieldNames())
 
 
 def query_corpus_rejects(spark: SparkSession, path: str, schema: T.StructType = SOURCE_QUERY, lines: bool = False) -> DataFrame:
-    """(file, reason, record): records that aren't JSON, or a whole array that isn't, and records without an id."""
-    all_ = _records(spark, path, schema, lines)
-    whole = F.to_json(F.struct(*schema.fieldNames()))
-    reason = F.when(F.col(_CORRUPT).isNotNull(), F.lit("not json")).when(F.col("query_id").isNull(), F.lit("no id"))
-    return all_.select("file", reason.alias("reason"), F.coalesce(_CORRUPT, whole).alias("record")).filter("reason is not null")
+    """(file, offset, reason, record): records that aren't JSON and records without an id.
 
+    The offset is where the record's part of an array file begins, NULL with ``lines``.
+    """
+    return _rejects(_records(spark, path, schema, lines), schema, "query_id")
 
-def read_differences(spark: SparkSession, path: str) -> DataFrame:
-    """``{"differences": [...]}`` files as one row per difference; the last entry of an id wins."""
-    schema = T.StructType([T.StructField("differences", T.ArrayType(DIFFERENCE))])
-    entries = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .json(path)
-        .select(F.col("_metadata.file_path").alias("_file"), F.posexplode("differences").alias("_at", "d"))
-    )
-    last = entries.groupBy("d.id").agg(F.max_by("d", F.struct("_file", "_at")).alias("d"))
+
+def _difference_records(spark: SparkSession, path: str) -> DataFrame:
+    return _parsed(json_records(spark, path, r'(?s)\A.*?"differences"\s*:\s*\[', 2), DIFFERENCE)
+
+
+def read_differences(spark: SparkSession, path: str, salvage: bool = False) -> DataFrame:
+    """``{"differences": [...]}`` files as one row per difference; the last entry of an id wins.
+
+    A file with a broken part is refused whole, unless ``salvage`` asks for its sound entries.
+    What isn't JSON is in ``difference_rejects``.
+    """
+    kept = _kept(_difference_records(spark, path), "id", salvage)
+    entry = F.struct(*DIFFERENCE.fieldNames())
+    last = kept.groupBy("id").agg(F.max_by(entry, F.struct("file", "offset")).alias("d"))
     return last.select("d.*")
 
 
+def difference_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, reason, record): entries that aren't JSON and entries without an id."""
+    return _rejects(_difference_records(spark, path), DIFFERENCE, "id")
+
+
 def explode_requirements(differences: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(keep.., id, feature, category, kind, ordinal, requirement), one row per listed requirement."""
     kinds = F.array(
