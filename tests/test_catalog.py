@@ -146,6 +146,28 @@ def test_ddl_with_brackets_of_any_depth(spark):
     ]
 
 
+def test_each_ddl_text_is_read_once_and_on_all_cores(spark):
+    ddl = spark.range(40).select(
+        F.concat(F.lit("d"), "id").alias("db"), F.lit("pg").alias("dialect"), F.concat(F.lit("CREATE TABLE t (id INT, odd INT SPARSE, k INT UNIQUE REFERENCES t"), "id", F.lit(");")).alias("ddl")
+    ).coalesce(1)
+    for found, n in ((c.catalog_from_ddl, 120), (c.constraints_from_ddl, 40), (c.foreign_keys_from_ddl, 40), (c.ddl_rejects, 40)):
+        df = found(ddl)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and df.count() == n
+
+
+def test_tokens_keep_gaps_and_unended_comments():
+    from trilect.functions.ddl import tokens_of
+
+    got = [(t.kind, t.value, t.spaced) for t in tokens_of("a /* b */ -- c\n 'x''y' \"n\"=1 'open -- end", "pg")]
+    assert got == [
+        ("word", "a", False), ("text", "'x''y'", True), ("name", '"n"', True), ("mark", "=", False), ("word", "1", False),
+        ("mark", "'", True), ("word", "open", False),
+    ]
+    assert [t.value for t in tokens_of("a /* b ; c", "mysql")] == ["a"] and not list(tokens_of("  -- ; x", "pg"))
+
+
 def one_table(spark, ddl, dialect="pg"):
     df = spark.createDataFrame([("d", dialect, ddl)], "db string, dialect string, ddl string")
     columns = {r.column_name: r for r in c.catalog_from_ddl(df).collect()}

@@ -7,19 +7,22 @@ nullable, is_pk, is_auto, is_unique, max_length, allowed_values). Foreign keys:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trilect.functions.columns import as_column
 from trilect.functions.ddl import read_ddl
 from trilect.operators.ordering import checked_broadcast, lookup_join, null_safe_join, positions
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
-from trilect.session import cut, store
+from trilect.session import cut, spread, store
 
 # --- type classes -------------------------------------------------------------
 
@@ -141,35 +144,48 @@ def catalog_from_frames(frames: dict[str, DataFrame], db: str, primary_keys: dic
     return reduce(DataFrame.unionByName, out)
 
 
-_READ = """struct<
-  tables: array<struct<schema_name: string, table_name: string,
-    columns: array<struct<ordinal: int, column_name: string, data_type: string, nullable: boolean, is_pk: boolean, is_auto: boolean,
-      is_unique: boolean, max_length: int, allowed_values: array<string>, default_value: string>>,
-    constraints: array<struct<constraint_name: string, kind: string, columns: array<string>, text: string>>,
-    keys: array<struct<constraint_name: string, columns: array<string>, ref_schema: string, ref_table: string,
-      ref_columns: array<string>, on_delete: string, on_update: string>>>>,
-  rejects: array<struct<statement: string, part: string, reason: string>>>"""
+_TABLE = "schema_name string, table_name string"
+_READ = {
+    "columns": f"""{_TABLE}, ordinal int, column_name string, data_type string, nullable boolean, is_pk boolean, is_auto boolean,
+        is_unique boolean, max_length int, allowed_values array<string>, default_value string""",
+    "constraints": f"{_TABLE}, constraint_name string, kind string, columns array<string>, text string",
+    "keys": f"""{_TABLE}, constraint_name string, columns array<string>, ref_schema string, ref_table string,
+        ref_columns array<string>, on_delete string, on_update string""",
+    "rejects": "statement string, part string, reason string",
+}
+# Files that are read before their rows are handed on.
+_FILES = 1000
 
 
-def _read_ddl(ddl: DataFrame) -> DataFrame:
-    """(db, dialect, ddl) with what ``read_ddl`` finds in each file.
+def _read_ddl(ddl: DataFrame, field: str) -> DataFrame:
+    """db, dialect and the fields of ``field``, one row per item that ``read_ddl`` finds in the files (db, dialect, ddl).
 
     Brackets nest to any depth, which no regular expression follows, so each file's text
-    is read by a small function; files are independent.
+    is read by a small function; files are independent, and spread over all cores. Every
+    text is read once: the rows come flat, so that no filter of lists reads it again.
     """
-
-    @F.pandas_udf(_READ)
-    def read(texts: pd.Series, dialects: pd.Series) -> pd.DataFrame:
-        found = [read_ddl(t or "", d or "") for t, d in zip(texts, dialects)]
-        return pd.DataFrame(found, columns=["tables", "rejects"])
-
-    return ddl.select("db", "dialect", read("ddl", "dialect").alias("_read"))
-
-
-def _of_tables(ddl: DataFrame, field: str) -> DataFrame:
-    """One row per item of ``field`` of each table: db, dialect, schema_name, table_name and the item's fields."""
-    tables = _read_ddl(ddl).select("db", "dialect", F.explode("_read.tables").alias("_t"))
-    return tables.select("db", "dialect", "_t.schema_name", "_t.table_name", F.inline(f"_t.{field}"))
+    found = T.DataType.fromDDL(_READ[field])
+    names = found.fieldNames()
+
+    def items(text: str | None, dialect: str | None) -> list[tuple]:
+        read = read_ddl(text or "", dialect or "")
+        if field == "rejects":
+            return [tuple(r[n] for n in names) for r in read["rejects"]]
+        return [(x["schema_name"], x["table_name"], *[i[n] for n in names[2:]]) for x in read["tables"] for i in x[field]]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _FILES):
+                files = whole.slice(begin, _FILES)
+                read = [items(t, d) for t, d in zip(files["ddl"].to_pylist(), files["dialect"].to_pylist())]
+                of = pa.array([k for k, some in enumerate(read) for _ in some], pa.int64())
+                columns = list(zip(*[i for some in read for i in some])) or [()] * len(names)
+                cells = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([files["db"].take(of), files["dialect"].take(of), *cells], ["db", "dialect", *names])
+
+    kinds = [f.type for f in to_arrow_schema(found)]
+    texts = spread(ddl.select("db", "dialect", "ddl"))
+    return texts.mapInArrow(rows, T.StructType([texts.schema["db"], texts.schema["dialect"], *found.fields]))
 
 
 def ddl_rejects(ddl: DataFrame) -> DataFrame:
@@ -177,7 +193,7 @@ def ddl_rejects(ddl: DataFrame) -> DataFrame:
 
     ``part`` is NULL where the whole statement gives no rows, as one without its end.
     """
-    return _read_ddl(ddl).select("db", "dialect", F.inline("_read.rejects"))
+    return _read_ddl(ddl, "rejects")
 
 
 def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
@@ -185,7 +201,7 @@ def catalog_from_ddl(ddl: DataFrame) -> DataFrame:
 
     All constraints of a table are read from its own row, so nothing is shuffled.
     """
-    return _of_tables(ddl, "columns").drop("schema_name", "default_value")
+    return _read_ddl(ddl, "columns").drop("schema_name", "default_value")
 
 
 def constraints_from_ddl(ddl: DataFrame) -> DataFrame:
@@ -193,7 +209,7 @@ def constraints_from_ddl(ddl: DataFrame) -> DataFrame:
 
     ``kind`` is primary key, unique, check or default; ``text`` has a check's condition or a default's value.
     """
-    return _of_tables(ddl, "constraints")
+    return _read_ddl(ddl, "constraints")
 
 
 def foreign_keys_from_ddl(ddl: DataFrame) -> DataFrame:
@@ -201,7 +217,7 @@ def foreign_keys_from_ddl(ddl: DataFrame) -> DataFrame:
 
     A key that names no columns means the primary key, as far as the other table is in the file.
     """
-    keys = _of_tables(ddl, "keys")
+    keys = _read_ddl(ddl, "keys")
     first = ["db", "dialect", "table_name", "columns", "ref_table", "ref_columns"]
     return keys.select(*first, *[c for c in keys.columns if c not in first])
 
