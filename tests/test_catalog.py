@@ -126,6 +126,15 @@ def test_short_names_are_unique_whatever_clashes(spark):
     assert max(len(r.short_name) for r in got) == 30
 
 
+def test_passed_numbers_are_counted_by_running_sums_over_sorted_ranges(spark):
+    """A hot stem's names and taken numbers lie in several partitions; ties pass nothing."""
+    names = [(s, n, False) for s, top in (("hot", 3000), ("b", 4), (None, 3)) for n in range(1, top + 1)]
+    taken = [("hot", g, True) for g in range(0, 3000, 7) for _ in range(3)] + [("b", 0, True), ("b", 4, True), (None, 1, True), ("c", 1, True)]
+    rows = spark.createDataFrame(names + taken, "_key string, _n bigint, _passed boolean")
+    got = {(r["_key"], r["_n"]): r["_before"] for r in c._with_passed(rows, ["_key"]).collect()}
+    assert got == {(s, n): sum(t == s and g < n for t, g, _ in taken) for s, n, _ in names}
+
+
 def test_ddl_with_brackets_of_any_depth(spark):
     deep = "CHECK (" + "(" * 12 + "s = ANY (ARRAY['a'::text, 'b);,('::text])" + ")" * 12 + ")"
     ddl = f"""

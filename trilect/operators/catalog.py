@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trilect.functions.columns import as_column
 from trilect.functions.ddl import read_ddl
-from trilect.operators.ordering import checked_broadcast, lookup_join, null_safe_join, positions
+from trilect.operators.ordering import checked_broadcast, lookup_join, null_safe_join, offsets_of, positions, range_sorted
 from trilect.operators.profile import KEY_NAMES
 from trilect.operators.relational import full_key_diff, ordered_list
 from trilect.session import cut, spread, store
@@ -596,6 +596,17 @@ def reconcile_names(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def _with_passed(rows: DataFrame, within: Sequence[str]) -> DataFrame:
+    """The rows that are not ``_passed`` with ``_before``: how many passed ones of their group have a smaller ``_n``."""
+    staged = range_sorted(rows, [*within, "_n", "_passed"])
+    one = F.when(F.col("_passed"), 1).otherwise(0)
+    offsets = offsets_of(staged, within, {"_before": one}).drop("_first")
+    here = Window.partitionBy("_pid", *within).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = staged.withColumn("_here", F.coalesce(F.sum(one).over(here), F.lit(0)))
+    joined = null_safe_join(local, checked_broadcast(offsets), ["_pid", *within]).filter(~F.col("_passed"))
+    return joined.withColumn("_before", F.col("_before") + F.col("_here")).drop("_here", "_pid", "_mid", "_passed")
+
+
 def shorten_identifiers(names: DataFrame, scope: Sequence[str], name: str, max_len: int = 30) -> DataFrame:
     """(scope, name, short_name): names over ``max_len`` cut and closed with 4 md5 digits, unique within a scope.
 
@@ -604,7 +615,8 @@ def shorten_identifiers(names: DataFrame, scope: Sequence[str], name: str, max_l
     and so on. Numbers whose form some name has already are passed over.
 
     Forms are grouped once and clashing names picked out once. A width is one round over the
-    clashing names: the n-th of a stem gets the n-th number that is free.
+    clashing names: the n-th of a stem gets the n-th number that is free. Names and taken
+    numbers meet in one sorted order, so that no list of numbers is read for every name.
     """
     form = F.concat(F.left(F.col(name), F.lit(max_len - 4)), F.left(F.md5(name), F.lit(4)))
     key, within = F.upper(form).alias("_key"), [*scope, "_key"]
@@ -620,19 +632,18 @@ def shorten_identifiers(names: DataFrame, scope: Sequence[str], name: str, max_l
             raise ValueError(f"{max_len} characters are too few for the clashing names")
         cut_to, least = max_len - width, 0 if width == 2 else 10 ** (width - 1) - 1
         grouped = rest.withColumn("_stem", F.left("_form", F.lit(cut_to))).withColumn("_key", F.upper("_stem"))
-        ranked = cut(positions(grouped, [name], within, "_n"))
+        ranked = positions(grouped, [name], within, "_n")
         # The numbers that are taken behind each stem: at most 10 ** width.
-        stems = ranked.select(*within).distinct()
         digits = F.substring("_key", cut_to + 1, width)
         numbers = reduce(DataFrame.unionByName, taken).filter(digits.rlike(f"^[0-9]{{{width}}}$"))
         numbers = numbers.select(*scope, F.left("_key", F.lit(cut_to)).alias("_key"), digits.cast("bigint").alias("_number"))
-        numbers = null_safe_join(numbers.filter(F.col("_number") > least), stems, within)
-        lists = numbers.groupBy(*within).agg(F.sort_array(F.collect_set("_number")).alias("_taken"))
+        numbers = positions(numbers.filter(F.col("_number") > least).distinct(), ["_number"], within, "_i")
         # The n-th free number has n free ones up to it: taken ones with fewer free ones below are passed.
-        free_below = F.transform(F.coalesce("_taken", F.array().cast("array<bigint>")), lambda t, i: t - F.lit(least + 1) - i)
-        passed = F.size(F.filter(free_below, lambda g: g < F.col("_n")))
-        placed = null_safe_join(ranked, lists, within, "left").withColumn("_at", F.col("_n") + passed + F.lit(least))
-        placed = cut(placed.withColumn("short_name", F.concat("_stem", F.lpad(F.col("_at").cast("string"), width, "0"))).drop("_taken"))
+        # Names by n and taken numbers by these free ones lie in one order; running sums count the passed.
+        passing = numbers.select(*within, (F.col("_number") - F.lit(least) - F.col("_i")).alias("_n"), F.lit(True).alias("_passed"))
+        both = ranked.withColumn("_passed", F.lit(False)).unionByName(passing, allowMissingColumns=True)
+        placed = _with_passed(both, within).withColumn("_at", F.col("_n") + F.col("_before") + F.lit(least))
+        placed = cut(placed.withColumn("short_name", F.concat("_stem", F.lpad(F.col("_at").cast("string"), width, "0"))))
         fits = F.col("_at") < 10**width
         given.append(placed.filter(fits).select(*scope, name, "short_name"))
         taken.append(placed.filter(fits).select(*scope, F.upper("short_name").alias("_key")))
