@@ -21,11 +21,20 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Bytes that a task reads of a shuffle, unless the session names its own. Shuffled rows are
+# compressed up to twenty-five times here, and a sort holds them unpacked.
+TASK_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32m",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    for key, value in TASK_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
