@@ -75,3 +75,12 @@ def test_differences_over_many_splits(small_splits, tmp_path):
     assert got == {e["id"]: (e["feature"], e["test_requirements"]["query_patterns"]) for e in entries}
     rejects = io.difference_rejects(small_splits, str(tmp_path)).collect()
     assert [(r.file.rpartition("/")[2], r.reason, r.record) for r in rejects] == [("a.json", "no id", '{"feature":"none"}')]
+
+
+def test_array_files_are_read_and_parsed_once(spark, tmp_path, capsys):
+    (tmp_path / "a.json").write_text(json.dumps([{"query_id": "1", "sql": "}"}, {"query_id": "2", "sql": "["}]))
+    kept = io.read_query_corpus(spark, str(tmp_path))
+    (tmp_path / "a.json").unlink()
+    assert sorted((r.query_id, r.sql) for r in kept.collect()) == [("1", "}"), ("2", "[")]
+    kept.explain(True)
+    assert "from_json" not in capsys.readouterr().out

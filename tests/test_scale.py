@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from trilect.operators import ordering as o
 from trilect.operators import relational as rel
-from trilect.plans import registry, suite
+from trilect.plans import registry, score_queries, suite
+from trilect.session import configure
 
 HOT_ROWS, COLD_ROWS = 6000, 12000
 
@@ -187,3 +188,19 @@ def test_a_job_leaves_nothing_behind(spark):
         assert spark.sparkContext.getCheckpointDir().split("/")[-2].startswith("scratch-")
     assert {f for f in os.listdir(base) if f.startswith("scratch-")} == before
     assert cut(spark.range(5)).count() == 5
+
+
+def test_a_task_reads_little_of_a_shuffle_unless_the_session_says_more(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert spark.conf.get(key) == "8m"
+    own = spark.newSession()
+    own.conf.set(key, "1m")
+    assert configure(own).conf.get(key) == "1m"
+
+
+def test_mismatch_sample_joins_the_few_equal_queries_by_broadcast(spark, data_dir, monkeypatch):
+    asked = []
+    joined = score_queries.lookup_join
+    monkeypatch.setattr(score_queries, "lookup_join", lambda *a, **k: asked.append(joined(*a, **k)) or asked[-1])
+    suite.QUERIES["E6_mismatch_sample"](spark, data_dir)
+    assert ["BroadcastHashJoin" in plan_of(f) for f in asked] == [True]
