@@ -149,6 +149,21 @@ def test_contexts_equal_a_count_of_all_neighbours(documents):
     assert (lm.class_pairs(beside, met, width) == matrix).all()
 
 
+def test_words_meet_their_first_classes_without_a_join(documents):
+    """The classes by ending come with the counted neighbours; joining them tells the same."""
+    texts = documents.select("text")
+    counted = collections.Counter(w for r in texts.collect() for w in tokens(r.text) if w)
+    core, width, first = {w: k % 4 for k, (w, _) in enumerate(counted.most_common(30))}, 5, np.array([2, 0, 3, 1, 1])
+    words = [w for w in counted if w not in core]
+    rows = [(h, int(first[lm.ending(w, len(first))])) for h, w in zip(lm.hashed(words).tolist(), words)]
+    beside = lm.count_neighbours(texts, core, width, first).cache()
+    free = documents.sparkSession.createDataFrame(rows, "word bigint, k int")
+    plain, joined = lm.contexts(beside, None, width), lm.contexts(beside, free, width)
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    told = [sorted(map(tuple, x.select("word", "key", "k", "n", "core").collect())) for x in (plain, joined)]
+    assert told[0] == told[1] and len(told[0]) > 100
+
+
 def test_the_best_class_is_the_best_of_all():
     """Against taking a word out and putting it into every class, its neighbours' classes held."""
     rng = np.random.default_rng(5)

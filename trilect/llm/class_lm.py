@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trilect.llm.shared import crc_remainder, drop, release, slices, text_of
@@ -170,18 +170,23 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).astype(np.int64)
 
 
-def count_neighbours(texts: DataFrame, core: dict[bytes, int], width: int) -> DataFrame:
+def count_neighbours(texts: DataFrame, core: dict[bytes, int], width: int, first: np.ndarray | None = None) -> DataFrame:
     """(a, b, key, n) of adjacent words; ``core`` has the classes of the words that never move.
 
     A word beside a core word is counted in the map task with the core word's class: a is its
     hash, key the class, or ``width`` + class where the core word stands before it. Of two core
     words only key remains, left class * ``width`` + right class. Two others are counted as the
     hashes a and b. The end of texts is a core word of the last class.
+
+    ``first`` has the classes by ending that all other words start in (0 without it). They are
+    part of the keys: 2 * ``width`` * class is added to the key of a word beside a core word, and
+    two others have the key left class * ``width`` + right class.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(core)
+    starts = np.zeros(1, np.int64) if first is None else first
+    shared = texts.sparkSession.sparkContext.broadcast((core, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, starts = shared.value
 
         def rows(keys: list[np.ndarray], size: int) -> list[pa.Array]:
             """The distinct combinations of keys below ``size`` with their numbers."""
@@ -195,6 +200,7 @@ def count_neighbours(texts: DataFrame, core: dict[bytes, int], width: int) -> Da
             end = len(words) - 1
             k = np.array([known.get(w, -1) for w in words], np.int64)
             k[end] = width - 1
+            begin = np.array([0 if c >= 0 else starts[ending(w, len(starts))] for w, c in zip(words, k)], np.int64)
             of_word = hashed(words)
             line = np.append(end, np.insert(codes, ends, end))
             a, b = line[:-1], line[1:]
@@ -207,10 +213,10 @@ def count_neighbours(texts: DataFrame, core: dict[bytes, int], width: int) -> Da
             word = np.concatenate([a[~fixed_a & fixed_b], b[fixed_a & ~fixed_b]])
             key = np.concatenate([kb[~fixed_a & fixed_b], ka[fixed_a & ~fixed_b] + width])
             x, y, n = rows([word, key], 2 * width)
-            out.append((of_word[x], None, y, n))
+            out.append((of_word[x], None, begin[x] * 2 * width + y, n))
             free = ~fixed_a & ~fixed_b
             x, y, n = rows([a[free], b[free]], len(words))
-            out.append((of_word[x], of_word[y], None, n))
+            out.append((of_word[x], of_word[y], begin[x] * width + begin[y], n))
             for x, y, key, n in out:
                 size = len(n)
                 whole = [pa.nulls(size, t) if v is None else pa.array(v, t) for v, t in ((x, pa.int64()), (y, pa.int64()), (key, pa.int32()), (n, pa.int64()))]
@@ -220,22 +226,32 @@ def count_neighbours(texts: DataFrame, core: dict[bytes, int], width: int) -> Da
     return found.groupBy("a", "b", "key").agg(F.sum("n").alias("n"))
 
 
-def contexts(neighbours: DataFrame, classes_of: DataFrame, width: int) -> DataFrame:
-    """(word, k, key, n, core): how often each word stands before a class (key below ``width``) and after one.
+def contexts(neighbours: DataFrame, classes_of: DataFrame | None, width: int) -> DataFrame:
+    """(word, key, k, n, core): how often each word stands before a class (key below ``width``) and after one.
 
-    ``core`` is the part of n that comes from core words. Only pairs of two other words meet classes by joins.
+    ``core`` is the part of n that comes from core words. Only pairs of two other words meet classes by joins,
+    and none do without ``classes_of``: the classes that words start in are in the keys.
     """
-    known = classes_of.select("word", "k")
-    pairs = neighbours.filter("b IS NOT NULL").select("a", "b", "n")
-    left = lookup_join(pairs, known.withColumnsRenamed({"word": "a", "k": "ka"}), ["a"])
-    both = lookup_join(left, known.withColumnsRenamed({"word": "b", "k": "kb"}), ["b"])
-    before = F.struct(F.col("a").alias("word"), F.col("kb").alias("key"))
-    after = F.struct(F.col("b").alias("word"), (F.col("ka") + width).alias("key"))
+
+    def part(divisor: int) -> tuple[Column, Column]:
+        return F.floor(F.col("key") / divisor).cast("int"), F.col("key") % divisor
+
+    pairs = neighbours.filter("b IS NOT NULL")
+    first, key = part(2 * width)
+    fixed = neighbours.filter("b IS NULL AND a IS NOT NULL").select(F.col("a").alias("word"), key.alias("key"), first.alias("k"), "n", F.col("n").alias("core"))
+    if classes_of is None:
+        ka, kb = part(width)
+        both = pairs.select("a", "b", "n", ka.alias("ka"), kb.alias("kb"))
+    else:
+        known = classes_of.select("word", "k")
+        left = lookup_join(pairs.select("a", "b", "n"), known.withColumnsRenamed({"word": "a", "k": "ka"}), ["a"])
+        both = lookup_join(left, known.withColumnsRenamed({"word": "b", "k": "kb"}), ["b"])
+        fixed = lookup_join(fixed.drop("k"), known, ["word"])
+    before = F.struct(F.col("a").alias("word"), F.col("kb").alias("key"), F.col("ka").alias("k"))
+    after = F.struct(F.col("b").alias("word"), (F.col("ka") + width).alias("key"), F.col("kb").alias("k"))
     none = F.lit(0).cast("bigint").alias("core")
-    sides = both.select(F.explode(F.array(before, after)).alias("x"), "n").select("x.word", "x.key", "n", none)
-    fixed = neighbours.filter("b IS NULL AND a IS NOT NULL").select(F.col("a").alias("word"), "key", "n", F.col("n").alias("core"))
-    met = fixed.unionByName(sides).groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("core").alias("core"))
-    return lookup_join(met, known, ["word"])
+    sides = both.select(F.explode(F.array(before, after)).alias("x"), "n").select("x.word", "x.key", "x.k", "n", none)
+    return fixed.unionByName(sides).groupBy("word", "key", "k").agg(F.sum("n").alias("n"), F.sum("core").alias("core"))
 
 
 def class_pairs(neighbours: DataFrame, met: DataFrame, width: int) -> np.ndarray:
@@ -352,16 +368,19 @@ def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k, pa.int32())], names=["word", "k"])
 
     placed = store(counted.mapInArrow(start, "word string, k int"))
-    beside = store(count_neighbours(texts, {w: int(of[k]) for w, k in core.items()}, width))
+    beside = store(count_neighbours(texts, {w: int(of[k]) for w, k in core.items()}, width, of[len(chosen) : -1]))
+    release(texts.sparkSession)
     own = F.xxhash64("word")
     free = placed.filter(F.col("word") != END).select(own.alias("word"), "k")
-    met = store(contexts(beside, free, width))
+    met = store(contexts(beside, None, width))
     follows = class_pairs(beside, met, width)
     release(texts.sparkSession)
     done = 0
     while sweeps is None or done < sweeps:
         done += 1
         better = store(moved(met, follows))
+        drop(met)  # every word's contexts are counted anew below
+        release(texts.sparkSession)
         if better.filter("k <> home").isEmpty():
             break
         # All words at once; if they spoil each other's moves, one half of them, then one quarter.
@@ -376,8 +395,9 @@ def train(texts: DataFrame, clustered: int = CLUSTERED, endings: int = ENDINGS,
             drop(tried)
         else:
             break
-        drop(met)
         free, met, follows = other, tried, now
+    for done_with in (beside, met):
+        drop(done_with)
     release(texts.sparkSession)
     share = (follows.sum(0) + 0.5) / (follows.sum() + 0.5 * width)
     steps = np.log10((follows + BACKOFF * share) / (follows.sum(1, keepdims=True) + BACKOFF))
