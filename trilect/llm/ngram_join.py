@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from trilect.llm.components import components
 from trilect.llm.hashing import mix, sums_by
-from trilect.llm.shared import parts_for, slices, text_of
+from trilect.llm.shared import lean, lean_table, parts_for, slices, text_of
 from trilect.operators.ordering import checked_broadcast
 from trilect.session import cut, store
 
@@ -150,7 +150,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 "sketch": pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()),
             })
 
-    return docs.mapInArrow(run, "doc_id bigint, of_text bigint, n_shingles bigint, node binary, sketch binary")
+    return docs.mapInArrow(lambda b: lean(run(b)), "doc_id bigint, of_text bigint, n_shingles bigint, node binary, sketch binary")
 
 
 def short(node: bytes | Column) -> Column:
@@ -193,7 +193,7 @@ def packed_signatures(docs: DataFrame, width: int, threshold: Threshold, buckets
 
     columns = ["bucket", "signatures", "nodes", "counts"]
     types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return docs.mapInArrow(run, "bucket int, signatures binary, nodes binary, counts binary")
+    return docs.mapInArrow(lambda b: lean(run(b)), "bucket int, signatures binary, nodes binary, counts binary")
 
 
 def shared_groups(table: pa.Table) -> pa.Table:
@@ -288,7 +288,7 @@ def likely_pairs(table: pa.Table, threshold: Threshold, everything: bool) -> pa.
 
 
 def comparer(threshold: Threshold, everything: bool) -> Callable[[pa.Table], pa.Table]:
-    return lambda groups: likely_pairs(groups, threshold, everything)
+    return lambda groups: lean_table(likely_pairs(groups, threshold, everything))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
@@ -310,7 +310,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold)
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similar boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: lean(run(b)), "a binary, b binary, similar boolean")
 
 
 def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,7 +332,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
     groups = store(
         packed_signatures(named, width, threshold, buckets)
         .groupBy("bucket")
-        .applyInArrow(shared_groups, "gid bigint, member bigint")
+        .applyInArrow(lambda t: lean_table(shared_groups(t)), "gid bigint, member bigint")
         .distinct()
     )
     # A group beyond a block is compared block by block.
@@ -361,7 +361,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
                 names = pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([names, batch.column(1)], names=["node", "text"])
 
-        return taken.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+        return taken.mapInArrow(lambda b: lean(run(b)), "node binary, text string").dropDuplicates(["node"])
 
     tasks = max(partitions, parts_for(met.count(), TASK))
     roots, refuted, linked = None, None, None

@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilect.llm.shared import slices
+from trilect.llm.shared import lean, slices
 
 MARK = "▁"
 #: Segments with more symbols get a heap.
 SIDE_BY_SIDE = 64
 #: Text bytes that are encoded at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Pieces:
@@ -247,4 +247,4 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = f"doc_id {kind}, n_tokens bigint, agrees boolean, {rest}"
     names = [c.split()[0] for c in schema.split(", ")]
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda b: lean(run(b)), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 from collections.abc import Callable, Iterator
@@ -63,6 +64,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system: it stays for later tasks and stages beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, which gives its memory back at the end."""
+    yield from batches
+    give_back()
+
+
+def lean_table(table: pa.Table) -> pa.Table:
+    """The result of a group, whose other memory is given back."""
+    give_back()
+    return table
+
+
 def drop(stored: DataFrame) -> None:
     """Delete a table that ``store`` wrote, once nothing reads it any more."""
     sc = stored.sparkSession.sparkContext

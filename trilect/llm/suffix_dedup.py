@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trilect.llm.hashing import mix
-from trilect.llm.shared import parts_for, slices, text_of
+from trilect.llm.shared import lean, lean_table, parts_for, slices, text_of
 from trilect.llm.suffix_sort import sort_suffixes
 from trilect.operators.ordering import checked_broadcast, null_safe_join, positions
 from trilect.session import store
@@ -378,27 +378,27 @@ def remove_repeats(
         T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("of_text", T.LongType()),
         T.StructField("text", T.BinaryType()), *[source.schema[c] for c in extra],
     ])
-    packed = shape.mapInArrow(compress, kinds)
+    packed = shape.mapInArrow(lambda b: lean(compress(b)), kinds)
     long = source.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text")
     shared = (
-        long.mapInArrow(lambda b: _send_anchors(b, anchor_buckets), "bucket int, packed binary")
+        long.mapInArrow(lambda b: lean(_send_anchors(b, anchor_buckets)), "bucket int, packed binary")
         .groupBy("bucket")
-        .applyInArrow(lambda t: _shared_anchors(t, parts), "part int, packed binary")
+        .applyInArrow(lambda t: lean_table(_shared_anchors(t, parts)), "part int, packed binary")
     )
     segments = (
         packed.select("part", "doc_id", "of_text", "text")
         .groupBy("part")
         .cogroup(shared.groupBy("part"))
-        .applyInArrow(lambda t, s: _send_segments(t, s, anchor_buckets, segment_buckets), "bucket int, packed binary")
+        .applyInArrow(lambda t, s: lean_table(_send_segments(t, s, anchor_buckets, segment_buckets)), "bucket int, packed binary")
     )
-    covered = segments.groupBy("bucket").applyInArrow(lambda t: _covered(t, parts), "part int, packed binary")
+    covered = segments.groupBy("bucket").applyInArrow(lambda t: lean_table(_covered(t, parts)), "part int, packed binary")
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     result = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", spans),
         T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[source.schema[c] for c in extra],
     ])
     arrow = to_arrow_schema(result)
-    return packed.groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(lambda t, c: _remove(t, c, arrow), result)
+    return packed.groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(lambda t, c: lean_table(_remove(t, c, arrow)), result)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
