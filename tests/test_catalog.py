@@ -244,3 +244,18 @@ def test_the_reader_travels_with_the_job():
     code = f"import pickle, sys; f = pickle.loads(bytes.fromhex('{sent}')); print(f('CREATE TABLE t (a INT);', 'pg')['tables'][0]['table_name'], 'trilect' in sys.modules)"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/")
     assert out.stdout.split() == ["t", "False"], out.stderr
+
+
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_names_of_small_databases_meet_without_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(c, "PAIRS", most)
+    keyed = []
+    monkeypatch.setattr(c, "_edit_keys", lambda df, name, make=c._edit_keys: keyed.append(name) or make(df, name))
+    rng = random.Random(5)
+    sides = [["".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(40)] + ["", "é1", "日本x"][k:] for k in range(2)]
+    rows = [spark.createDataFrame([("d", x) for x in names] + [(None, "abc"), ("d", None)], "db string, name string") for names in sides]
+    got = {x["name"]: (x["match"], x["score"]) for x in c.reconcile_names(*rows).collect()}
+    expected = best_names(*sides)
+    expected.pop("", None)  # nothing begins with an empty name or is close to it
+    assert got == expected
+    assert bool(keyed) == (most == 0)

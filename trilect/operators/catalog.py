@@ -487,6 +487,8 @@ def force_self_refs_nullable(catalog: DataFrame, fk_columns: DataFrame) -> DataF
 # --- names ---------------------------------------------------------------------------
 
 _ANY = "\u0001"  # stands for one replaced character
+# Pairs of names that a database may form.
+PAIRS = 1 << 22
 
 
 def _one_edit(text: Column) -> Column:
@@ -526,15 +528,58 @@ def reconcile_names(left: DataFrame, right: DataFrame) -> DataFrame:
     left name's length; one that starts with the left name scores that length, and
     counts only as a prefix match. Among equal scores the first name wins.
 
-    No pairs are formed: two names are within two edits exactly when dropping or
+    The names of a database meet pair by pair where that takes fewer rows than their edit
+    keys would, and ``PAIRS`` at most; those of larger databases meet by keys.
+    """
+
+    def side(df: DataFrame, is_left: bool) -> DataFrame:
+        return df.select("db", F.lower("name").alias("name"), F.lit(is_left).alias("_left"))
+
+    ends = [F.min("_left").alias("_least"), F.max("_left").alias("_left")]
+    named = side(left, True).unionByName(side(right, False)).groupBy("db", "name").agg(*ends)
+    lone = store(named.filter(F.col("_least") == F.col("_left")).drop("_least"))
+    # a name of n characters has about 2 * n * n keys
+    keys = F.sum(F.char_length("name").cast("bigint") * F.char_length("name") * 2 + 1)
+    pairs = F.count_if("_left") * F.count_if(~F.col("_left"))
+    sizes = store(lone.groupBy("db").agg((pairs <= F.least(keys, F.lit(PAIRS))).alias("_few")))
+
+    def sides(few: bool) -> tuple[DataFrame, DataFrame]:
+        dbs = sizes.filter(F.col("_few") == F.lit(few)).select("db")
+        own = lookup_join(lone, dbs, ["db"], "left_semi", counted=True)
+        return own.filter("_left").drop("_left"), own.filter(~F.col("_left")).drop("_left")
+
+    by_pairs = _reconcile_by_pairs(*sides(True))
+    if sizes.filter(~F.col("_few")).isEmpty():
+        return by_pairs
+    return by_pairs.unionByName(_reconcile_by_keys(*sides(False)))
+
+
+def _reconcile_by_pairs(lone_left: DataFrame, lone_right: DataFrame) -> DataFrame:
+    prefix = F.col("match").startswith(F.col("name"))
+    near = F.levenshtein("name", "match", 2) >= 0
+
+    def first(condition: Column) -> Column:
+        return F.min(F.when(condition, F.col("match")))
+
+    return (
+        lone_left.join(lone_right.withColumnRenamed("name", "match"), "db")
+        .filter((F.col("name") != "") & (prefix | near))
+        .groupBy("db", "name")
+        .agg(first(~prefix).alias("_edit"), first(prefix).alias("_prefix"))
+        .select(
+            "db",
+            "name",
+            F.coalesce("_edit", "_prefix").alias("match"),
+            (F.char_length("name") * F.when(F.col("_edit").isNull(), 1).otherwise(10)).alias("score"),
+        )
+    )
+
+
+def _reconcile_by_keys(lone_left: DataFrame, lone_right: DataFrame) -> DataFrame:
+    """No pairs are formed: two names are within two edits exactly when dropping or
     masking characters, two in all, makes them the same text. The right side keeps
     one name per such text before the join.
     """
-    left_names = left.select("db", F.lower("name").alias("name")).distinct()
-    right_names = right.select("db", F.lower("name").alias("name")).distinct()
-    lone_left = left_names.join(right_names, ["db", "name"], "left_anti")
-    lone_right = right_names.join(left_names, ["db", "name"], "left_anti")
-
     prefixes = (
         lone_right.select(
             "db",
@@ -569,7 +614,7 @@ def reconcile_names(left: DataFrame, right: DataFrame) -> DataFrame:
     # Both sides are laid out by (db, key) once, which serves the grouping and the join.
     # The planner takes the sides for as small as the names they come from and would
     # broadcast one, so a merge join is asked for.
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(lone_left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     right_keys = (
         _edit_keys(lone_right.withColumnRenamed("name", "match"), "match")
         .select("db", "_key", "match", F.col("_drops").alias("_right_drops"), continued.alias("_continued"))
