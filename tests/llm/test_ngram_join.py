@@ -1,10 +1,12 @@
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from trilect.llm import ngram_join as nj
+from trilect.session import ensure_checkpoint_dir
 
 
 def shingles(text, width):
@@ -120,3 +122,18 @@ def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_signatures_travel_in_four_bytes(make_docs):
+    docs = make_docs([(k, " ".join(f"w{k}x{j}" for j in range(80))) for k in range(3)]).select("doc_id", "text")
+    for r in nj.packed_signatures(docs, 3, nj.Threshold(4, 5), 2).collect():
+        assert len(r.signatures) == 4 * np.frombuffer(r.counts, np.uint32).sum()
+
+
+def test_only_what_stays_is_left_on_disk(spark, make_docs):
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
+    before = set(folder.rglob("store-*"))
+    kept = nj.one_per_component(make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")]))
+    assert len(set(folder.rglob("store-*")) - before) == 1 and not list(folder.rglob("scratch-*"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]

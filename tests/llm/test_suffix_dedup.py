@@ -113,3 +113,11 @@ def test_rows_without_an_id_of_their_own_are_judged(make_docs):
     assert {t for i, t in out if i == 7} in ({"<" + q + ">", ""}, {q, "<>"})
     assert {t for i, t in out if i is None} - {"-+"} in ({own, "="}, {"", "=" + own})
     assert len(out) == len(rows)
+
+
+def test_texts_with_other_columns_are_exchanged_once(spark):
+    passage = "the same fifty bytes or more of a passage that is in both of them "
+    docs = spark.createDataFrame([(1, "a " + passage, "en"), (2, "b " + passage, "de")], "doc_id bigint, text string, lang string")
+    done = sd.remove_repeats(docs, carry=["lang"], as_text=True)
+    assert [(r.doc_id, r._carried_0, r.kept) for r in sorted(done.collect())] == [(1, "en", "a " + passage), (2, "de", "b")]
+    assert "ReusedExchange" in done._jdf.queryExecution().executedPlan().toString()

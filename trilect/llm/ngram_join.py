@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from trilect.llm.components import components
 from trilect.llm.hashing import mix, sums_by
-from trilect.llm.shared import lean, lean_table, parts_for, slices, text_of
+from trilect.llm.shared import lean, lean_table, parts_for, release, slices, text_of
 from trilect.operators.ordering import checked_broadcast
-from trilect.session import cut, store
+from trilect.session import cut, scratch, store, store_folder
 
 SLICE_BYTES = 4 << 20
 #: Signatures in a bucket, members of a group that are compared in one block, and members of
@@ -161,7 +161,8 @@ def short(node: bytes | Column) -> Column:
 def packed_signatures(docs: DataFrame, width: int, threshold: Threshold, buckets: int) -> DataFrame:
     """(bucket, signatures, nodes, counts): per slice of texts and bucket the signatures of its distinct sets.
 
-    Nodes are their first halves; a node's signatures follow one another, ``counts`` of them.
+    Nodes are their first halves; a node's signatures follow one another, ``counts`` of them. Of a
+    signature four bytes travel; what agrees in them by chance is one more group to sift.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def packed_signatures(docs: DataFrame, width: int, threshold: Threshold, buckets
                     seen.add(node)
                     nodes.append(int.from_bytes(node[:8], "big", signed=True))
                     found.append(signatures(features, threshold))
-            if not found:
+            if not any(map(len, found)):  # the smallest sets have no signatures
                 continue
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             each = np.concatenate(found)
@@ -187,8 +188,8 @@ def packed_signatures(docs: DataFrame, width: int, threshold: Threshold, buckets
                 a, b = begins[k], begins[k + 1]
                 if b > a:
                     own, counts = np.unique(owner[a:b], return_counts=True)
-                    six = (each[a:b] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((k, six.tobytes(), names[own].tobytes(), counts.astype(np.uint32).tobytes()))
+                    low = (each[a:b] // np.uint64(buckets)).astype(np.uint32)
+                    rows.append((k, low.tobytes(), names[own].tobytes(), counts.astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
 
     columns = ["bucket", "signatures", "nodes", "counts"]
@@ -200,9 +201,7 @@ def shared_groups(table: pa.Table) -> pa.Table:
     """Of one bucket the groups of nodes with a common signature: (gid, member), each group once."""
     signatures_, members = [], []
     for s, n, c in zip(*(table[x].to_pylist() for x in ("signatures", "nodes", "counts"))):
-        wide = np.zeros((len(s) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
-        signatures_.append(wide.view(np.uint64).ravel())
+        signatures_.append(np.frombuffer(s, np.uint32))
         members.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.uint32)))
     s, m = np.concatenate(signatures_), np.concatenate(members)
     order = np.lexsort((m, s))
@@ -335,6 +334,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
         .applyInArrow(lambda t: lean_table(shared_groups(t)), "gid bigint, member bigint")
         .distinct()
     )
+    release(docs.sparkSession)
     # A group beyond a block is compared block by block.
     sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     large = cut(sizes.filter("blocks > 1").select("gid", "blocks"))
@@ -384,6 +384,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, doc
         links = judged.filter("similar").select("a", "b")
         linked = links if linked is None else linked.unionByName(links)
         roots = cut(components(linked))
+        release(docs.sparkSession)
     best = nodes.select("node", "doc_id")
     if roots is not None:
         grouped = best.join(roots, "node")
@@ -404,11 +405,13 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = rows.withColumns({"doc_id": F.col("_doc.doc_id").cast("bigint"), "of_text": F.xxhash64(text_of(F.col("_doc.text")))})
     rows = rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "of_text"))
-    judged = ngram_join(rows.select("row", F.col("_doc.text").alias("text")), width, num, den, doc_id="row")
-    members = judged.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     keys = rows.select("row", "doc_id", "of_text").distinct()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "of_text", "row", "n")).alias("least")
-    stay = cut(members.join(keys, "row").groupBy("component_id").agg(least).select("least.row", "least.n"))
+    place = store_folder(docs.sparkSession)
+    with scratch(docs.sparkSession):  # later stages need the disk; only what stays is kept
+        judged = ngram_join(rows.select("row", F.col("_doc.text").alias("text")), width, num, den, doc_id="row")
+        members = judged.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+        stay = store(members.join(keys, "row").groupBy("component_id").agg(least).select("least.row", "least.n"), place)
     single = rows.join(checked_broadcast(stay.filter("n = 1").drop("n")), "row", "left_semi")
     several = rows.join(checked_broadcast(stay.filter("n > 1").drop("n")), "row", "left_semi")
     return single.unionByName(several.dropDuplicates(["row"])).select("_doc.*")

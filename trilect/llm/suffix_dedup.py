@@ -136,8 +136,8 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         for k, at in _split((each % np.uint64(buckets)).astype(np.int64), buckets):
             # Documents follow one another, so an id and the number of its hashes are enough.
             change = np.flatnonzero(np.append(True, owner[at][1:] != owner[at][:-1]))
-            six = (each[at] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((k, _pack(np.ascontiguousarray(six).ravel(), owner[at][change], np.diff(np.append(change, len(at))).astype(np.uint32))))
+            low = (each[at] // np.uint64(buckets)).astype(np.uint32)
+            rows.append((k, _pack(low, owner[at][change], np.diff(np.append(change, len(at))).astype(np.uint32))))
         yield from _packed_rows(rows, "bucket").to_batches()
 
 
@@ -148,10 +148,8 @@ def _shared_anchors(table: pa.Table, parts: int) -> pa.Table:
     bucket = table["bucket"][0].as_py()
     hashes, owners = [], []
     for block in table["packed"].to_pylist():
-        six, ids, counts = _unpack(block, np.uint8, np.int64, np.uint32)
-        wide = np.zeros((len(six) // 6, 8), np.uint8)
-        wide[:, :6] = six.reshape(-1, 6)
-        hashes.append(wide.view(np.uint64).ravel())
+        low, ids, counts = _unpack(block, np.uint32, np.int64, np.uint32)
+        hashes.append(low)
         owners.append(np.repeat(ids, counts))
     each, owner = np.concatenate(hashes), np.concatenate(owners)
     order = np.argsort(each, kind="stable")
@@ -166,9 +164,8 @@ def _shared_anchors(table: pa.Table, parts: int) -> pa.Table:
     for part, at in _split(_parts_of(owner, parts), parts):
         at = at[np.argsort(owner[at], kind="stable")]
         change = np.flatnonzero(np.append(True, owner[at][1:] != owner[at][:-1]))
-        six = np.ascontiguousarray(each[at].view(np.uint8).reshape(-1, 8)[:, :6])
         counts = np.diff(np.append(change, len(at))).astype(np.uint32)
-        rows.append((part, _pack(np.array([bucket], np.int64), six.ravel(), frequent[at], owner[at][change], counts)))
+        rows.append((part, _pack(np.array([bucket], np.int64), each[at], frequent[at], owner[at][change], counts)))
     return _packed_rows(rows, "part")
 
 
@@ -179,16 +176,13 @@ def _send_segments(texts: pa.Table, shared: pa.Table, anchor_buckets: int, bucke
     opener = zstandard.ZstdDecompressor()
     names, owners, often = [], [], []
     for block in shared["packed"].to_pylist():
-        bucket, six, flags, ids, counts = _unpack(block, np.int64, np.uint8, np.uint8, np.int64, np.uint32)
+        bucket, low, flags, ids, counts = _unpack(block, np.int64, np.uint32, np.uint8, np.int64, np.uint32)
         often.append(flags)
-        wide = np.zeros((len(six) // 6, 8), np.uint8)
-        wide[:, :6] = six.reshape(-1, 6)
-        low = wide.view(np.uint64).ravel()
-        names.append(low * np.uint64(anchor_buckets) + np.uint64(bucket[0]))
+        names.append(low.astype(np.uint64) * np.uint64(anchor_buckets) + np.uint64(bucket[0]))
         owners.append(np.repeat(ids, counts))
     if not names:
         return _packed_rows([], "bucket")
-    # Six bytes are compared on both sides; what agrees by chance only costs a segment.
+    # Four bytes are compared on both sides; what agrees by chance only costs a segment.
     wanted, owner, often = np.concatenate(names), np.concatenate(owners), np.concatenate(often)
     order = np.lexsort((wanted, owner))
     wanted, owner, often = wanted[order], owner[order], often[order]
@@ -198,7 +192,7 @@ def _send_segments(texts: pa.Table, shared: pa.Table, anchor_buckets: int, bucke
     entries: list[tuple[int, int, int]] = []
     covered: list[tuple[np.uint64, int, int, int, int]] = []
     rows = zip(texts["doc_id"].to_pylist(), texts["of_text"].to_pylist(), texts["text"].to_pylist())
-    low_bits = np.uint64((1 << 48) - 1)
+    low_bits = np.uint64((1 << 32) - 1)
     for i, h, packed in sorted((r for r in rows if r[0] in begins), key=lambda r: r[:2]):
         text = opener.decompress(packed)
         if len(text) < LENGTH:
@@ -385,9 +379,9 @@ def remove_repeats(
         .groupBy("bucket")
         .applyInArrow(lambda t: lean_table(_shared_anchors(t, parts)), "part int, packed binary")
     )
+    # All columns come along, so that one exchange of the texts serves both steps.
     segments = (
-        packed.select("part", "doc_id", "of_text", "text")
-        .groupBy("part")
+        packed.groupBy("part")
         .cogroup(shared.groupBy("part"))
         .applyInArrow(lambda t, s: lean_table(_send_segments(t, s, anchor_buckets, segment_buckets)), "bucket int, packed binary")
     )

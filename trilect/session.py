@@ -98,19 +98,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints for ``store``."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``cut`` for wide flat rows that are read more than once: a table beside the checkpoints.
 
     Later passes read only the columns they need. Rows with nested values are
-    cheaper to checkpoint as they are.
+    cheaper to checkpoint as they are. With a ``folder`` the table lies there, whatever its columns.
     """
-    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.NullType)) for f in df.schema.fields):
-        return cut(df)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    if folder is None:
+        if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.NullType)) for f in df.schema.fields):
+            return cut(df)
+        folder = store_folder(df.sparkSession)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:
