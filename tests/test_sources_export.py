@@ -150,6 +150,23 @@ def test_a_failing_or_late_query_does_not_take_its_batch_along(spark, tmp_path):
     assert len(written) < 20  # two queries a pair would be 80
 
 
+def test_queries_of_a_batch_share_tasks_and_files(spark, tmp_path):
+    """Small results go into few files, and names and ids of any kind come through as they are."""
+    spark.range(10).createOrReplaceTempView("ten")
+    odd = "it's \\ ${x} d"
+    cases = [(q, f"SELECT id AS `{odd}`, {q} AS v FROM ten", f"SELECT {q} AS v, id AS `{odd}` FROM ten") for q in range(15)]
+    cases += [(-(10**18), "SELECT CAST('2024-01-01' AS DATE) AS d, true AS b", "SELECT '2024-01-01' AS d, 1 AS b")]
+    pairs = spark.createDataFrame(
+        [(q, "mysql2pg", "easy", odd, a, b) for q, a, b in [*cases, (None, "SELECT 1 AS x", "SELECT 1 AS x")]],
+        "query_id bigint, direction string, difficulty string, database string, source_sql string, translated_sql string",
+    )
+    results, _ = score.evaluate_pairs(spark, pairs, str(tmp_path / "pairs"), workers=2 * spark.sparkContext.defaultParallelism)
+    got = {r["query_id"]: (r["database"], r["target_exec_ok"], r["results_match"]) for r in results.collect()}
+    assert all(got[q] == (odd, True, True) for q, _, _ in cases) and len(got) == 17
+    batches = [len(list(f.glob("*.parquet"))) for f in (tmp_path / "pairs" / "rows").iterdir() if f.is_dir()]
+    assert sorted(batches) == [1, 1]  # one file for each query would be 32 and 2
+
+
 def test_records_that_can_not_be_used_are_named(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"query_id": "oracle_extra_3", "sql": "SELECT 1"}, {"query_id": 7}, {"sql": "SELECT 2"}]')
     (tmp_path / "b.json").write_text('[{"query_id": 8}, {broken]')
