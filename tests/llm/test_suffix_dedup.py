@@ -52,6 +52,32 @@ def test_lying_hashes_are_found_out(monkeypatch):
     assert windows == sorted(windows) and equal.tolist() == [False] + [a == b for a, b in zip(windows, windows[1:])]
 
 
+def test_ties_are_sorted_by_bytes_alone(monkeypatch):
+    """Suffixes that agree in an anchor, as those of a hot bucket do, need no hashed comparison of two."""
+
+    def compared(self, at, length):
+        raise AssertionError("two suffixes were compared by hashes")
+
+    monkeypatch.setattr(HashedText, "hashes", compared)
+    rng = random.Random(2)
+    hot = bytes(rng.choice(b"abcd") for _ in range(30))
+    data = b"".join(bytes(rng.choice(b"ab") for _ in range(25)) + hot for _ in range(300)) + b"\xff" * 60
+    starts = np.arange(len(data) - 50)
+    order, equal = sort_suffixes(np.frombuffer(data, np.uint8), starts, 50)
+    windows = [data[k : k + 50] for k in order]
+    assert windows == sorted(windows) and sorted(order) == starts.tolist()
+    assert equal.tolist() == [False] + [a == b for a, b in zip(windows, windows[1:])]
+
+
+def test_texts_hashed_together_have_their_own_anchors(monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 500)
+    rng = random.Random(3)
+    rows = [(k, bytes(rng.choice(b"abc") for _ in range(rng.choice([50, 51, 80, 700])))) for k in range(40)]
+    found = list(sd._anchored(rows))
+    assert [r for r, _ in found] == rows
+    assert all(np.array_equal(a, sd.anchors(np.frombuffer(t, np.uint8))) for (_, t), a in found)
+
+
 def test_common_extension():
     text = np.frombuffer(b"abcabdabcabe" * 6, np.uint8)
     t = HashedText(text, 10)

@@ -27,7 +27,8 @@ the named and the carried columns are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,12 @@ from trilect.session import store
 
 LENGTH, K = 50, 20
 SLICE_BYTES = 8 << 20
+#: Text bytes that are hashed at a time, so that short texts share the calls and all stays near the core.
+BLOCK_BYTES = 32 << 10
 #: Text bytes per document part, per bucket of anchors and per bucket of segments.
 PART, ANCHOR_BUCKET, SEGMENT_BUCKET = 16 << 20, 16 << 20, 4 << 20
+#: Segments that are held one by one before they are packed.
+PIECES = 1 << 16
 #: Documents beyond which an anchor's strings are dealt out one by one instead of as segments.
 FREQUENT = 2048
 
@@ -83,6 +88,24 @@ def _bytes(text: bytes | str) -> np.ndarray:
     return np.frombuffer(text if isinstance(text, bytes) else text.encode(), np.uint8)
 
 
+def _anchored(rows: Iterable[tuple]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each row, whose last value is a text of ``LENGTH`` bytes or more, with the anchors of the text.
+
+    Several texts are hashed at a time: a string lies in one of them, whatever follows it.
+    """
+    held, size = [], 0
+    for row in chain(rows, [None]):
+        if held and (row is None or size + len(row[-1]) > BLOCK_BYTES):
+            joined, at = anchors(_bytes(b"".join(r[-1] for r in held))), 0
+            for r in held:
+                yield r, joined[at : at + len(r[-1]) - LENGTH + 1]
+                at += len(r[-1])
+            held, size = [], 0
+        if row is not None:
+            held.append(row)
+            size += len(row[-1])
+
+
 def _parts_of(doc_ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(doc_ids.astype(np.int64).view(np.uint64), 6) % np.uint64(parts)).astype(np.int32)
 
@@ -118,6 +141,16 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[begins], begins, np.append(begins[1:], len(key))
 
 
+def _offsets(texts: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def _spelled(texts: pa.LargeBinaryArray) -> np.ndarray:
+    """All bytes of the texts, one text after the other."""
+    ends, held = _offsets(texts), texts.buffers()[2]
+    return np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
 def _packed_rows(rows: list[tuple[int, bytes]], name: str) -> pa.Table:
     return pa.table({name: pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -125,8 +158,10 @@ def _packed_rows(rows: list[tuple[int, bytes]], name: str) -> pa.Table:
 def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1, SLICE_BYTES):
         hashes, owners = [], []
-        for i, text in zip(*(c.to_pylist() for c in batch.columns[:2])):
-            own = np.unique(anchors(_bytes(text)))
+        rows = ((i, text.encode()) for i, text in zip(*(c.to_pylist() for c in batch.columns[:2])))
+        for (i, _), anchor in _anchored(rows):
+            own = np.sort(anchor[np.append(True, anchor[1:] != anchor[:-1])])
+            own = own[np.append(True, own[1:] != own[:-1])]
             hashes.append(own)
             owners.append(np.full(len(own), i, np.int64))
         if not hashes:
@@ -187,56 +222,64 @@ def _send_segments(texts: pa.Table, shared: pa.Table, anchor_buckets: int, bucke
     order = np.lexsort((wanted, owner))
     wanted, owner, often = wanted[order], owner[order], often[order]
     begins = {int(i): (a, b) for i, a, b in zip(*_runs(owner))}
-    pieces: dict[bytes, int] = {}
-    held: list[tuple[np.uint64, int]] = []  # what deals out each distinct segment, and its smallest doc_id
-    entries: list[tuple[int, int, int]] = []
-    covered: list[tuple[np.uint64, int, int, int, int]] = []
     rows = zip(texts["doc_id"].to_pylist(), texts["of_text"].to_pylist(), texts["text"].to_pylist())
     low_bits = np.uint64((1 << 32) - 1)
-    for i, h, packed in sorted((r for r in rows if r[0] in begins), key=lambda r: r[:2]):
-        text = opener.decompress(packed)
-        if len(text) < LENGTH:
-            continue
-        anchor = anchors(_bytes(text))
+    pieces: list[pa.Array] = []
+    dealt, owners_, of_text, start = [], [], [], []  # of each segment what deals it out, and where it comes from
+    spelled: list[bytes] = []
+    opened = ((i, h, opener.decompress(t)) for i, h, t in sorted((r for r in rows if r[0] in begins), key=lambda r: r[:2]))
+    for (i, h, text), anchor in _anchored(r for r in opened if len(r[-1]) >= LENGTH):
         a, b = begins[i]
-        name = ((anchor // np.uint64(anchor_buckets)) & low_bits) * np.uint64(anchor_buckets) + anchor % np.uint64(anchor_buckets)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         last = np.append(first[1:], len(anchor))
-        at = np.minimum(np.searchsorted(wanted[a:b], name[first]), b - a - 1)
-        meets = wanted[a:b][at] == name[first]
+        own = anchor[first]
+        name = ((own // np.uint64(anchor_buckets)) & low_bits) * np.uint64(anchor_buckets) + own % np.uint64(anchor_buckets)
+        at = np.minimum(np.searchsorted(wanted[a:b], name), b - a - 1)
+        meets = wanted[a:b][at] == name
         single = often[a:b][at][meets] > 0
-        begin, end = first[meets], last[meets]
-        # A frequent anchor's run becomes its single strings.
-        runs = [(s, e, False) for s, e in zip(begin[~single].tolist(), end[~single].tolist())]
-        runs += [(s, s + 1, True) for x, y in zip(begin[single].tolist(), end[single].tolist()) for s in range(x, y)]
-        for s, e, alone in runs:
-            piece = text[s : e - 1 + LENGTH]
-            k = pieces.setdefault(piece, len(pieces))
-            if k == len(held):
-                held.append((np.uint64(zlib.crc32(piece)) if alone else anchor[s], i))
-            if held[k][1] == i:
-                entries.append((k, h, s))
-            else:
-                covered.append((held[k][0], i, h, s, s + len(piece)))
-    if not pieces:
+        begin, end, by = first[meets], last[meets] - 1 + LENGTH, own[meets]
+        if single.any():
+            # A frequent anchor's run becomes its single strings.
+            strings = np.where(single, end - begin - LENGTH + 1, 1)
+            run = np.repeat(np.arange(len(begin)), strings)
+            inner = np.arange(len(run)) - np.repeat(np.cumsum(strings) - strings, strings)
+            begin, end, by = begin[run] + inner, np.where(single[run], begin[run] + inner + LENGTH, end[run]), by[run]
+            alone = np.flatnonzero(single[run])
+            by[alone] = [zlib.crc32(text[s : s + LENGTH]) for s in begin[alone].tolist()]
+        spelled += [text[s:e] for s, e in zip(begin.tolist(), end.tolist())]
+        dealt.append(by)
+        owners_.append(np.full(len(begin), i, np.int64))
+        of_text.append(np.full(len(begin), h, np.int64))
+        start.append(begin)
+        if len(spelled) > PIECES:
+            pieces.append(pa.array(spelled, pa.large_binary()))
+            spelled = []
+    pieces.append(pa.array(spelled, pa.large_binary()))
+    if not sum(map(len, pieces)):
         return _packed_rows([], "bucket")
-    spelled = list(pieces)
-    sizes = np.fromiter(map(len, spelled), np.uint32, len(spelled))
-    owners_ = np.array([i for _, i in held], np.int64)
-    of = lambda x: (mix(np.array(x, np.uint64), 7) % np.uint64(buckets)).astype(np.int64)
-    piece_bucket = of([x for x, _ in held])
-    entry = np.array(entries, np.int64).reshape(-1, 3)
-    settled = np.array([c[1:] for c in covered], np.int64).reshape(-1, 4)
-    entries_in = dict(_split(piece_bucket[entry[:, 0]], buckets))
-    settled_in = dict(_split(of([c[0] for c in covered]), buckets)) if covered else {}
+    coded = pa.chunked_array(pieces).combine_chunks().dictionary_encode()
+    del pieces, spelled
+    # Documents come by id: a segment belongs to the first that has it, and covers it in later ones.
+    code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    dealt, owner, of_text, start = (np.concatenate(x) for x in (dealt, owners_, of_text, start))
+    m = len(distinct)
+    held = np.zeros(m, np.int64)
+    held[code[::-1]] = np.arange(len(code))[::-1]
+    holder = owner[held]
+    piece_bucket = (mix(dealt[held], 7) % np.uint64(buckets)).astype(np.int64)
+    sizes = np.diff(_offsets(distinct)).astype(np.uint32)
+    entry = holder[code] == owner
+    settled = np.column_stack([owner, of_text, start, start + sizes[code]])[~entry]
+    settled_in = dict(_split(piece_bucket[code[~entry]], buckets))
+    code, of_text, start = code[entry], of_text[entry], start[entry]
+    entries_in = dict(_split(piece_bucket[code], buckets))
     none = np.zeros(0, np.int64)
-    local = np.zeros(len(spelled), np.int64)
+    local = np.zeros(m, np.int64)
     out = []
     for k, at in _split(piece_bucket, buckets):
         local[at] = np.arange(len(at))
-        e, c = entry[entries_in[k]], settled[settled_in.get(k, none)]
-        text = np.frombuffer(b"".join(spelled[x] for x in at), np.uint8)
-        out.append((k, _pack(text, sizes[at], owners_[at], local[e[:, 0]], e[:, 1], e[:, 2], c.ravel())))
+        e, c = entries_in[k], settled[settled_in.get(k, none)]
+        out.append((k, _pack(_spelled(distinct.take(pa.array(at))), sizes[at], holder[at], local[code[e]], of_text[e], start[e], c.ravel())))
     return _packed_rows(out, "bucket")
 
 
@@ -272,12 +315,8 @@ def _covered(table: pa.Table, parts: int) -> pa.Table:
     out.append(np.column_stack([owner[which], of_text, start, start + size[which]])[whole])
     of, own, of_text, start = of[~whole], owner[which][~whole], of_text[~whole], start[~whole]
     # Strings of different segments can be equal only where the segments' anchors are.
-    begin = np.zeros(m, np.int64)
-    begin[code[::-1]] = offsets[:-1][::-1]
-    extent = np.zeros(m, np.int64)
-    extent[code] = size
-    joined = np.concatenate([text[b : b + e] for b, e in zip(begin.tolist(), extent.tolist())])
-    begin = np.append(0, np.cumsum(extent))[:-1]
+    joined, offsets = _spelled(coded.dictionary), _offsets(coded.dictionary)
+    begin, extent = offsets[:-1] - offsets[0], np.diff(offsets)
     hashes = piece_hashes(joined)
     hashes = np.append(hashes, np.full(K - 1, np.iinfo(np.uint64).max, np.uint64))
     inside = np.arange(len(joined)) - np.repeat(begin, extent) <= np.repeat(extent, extent) - K

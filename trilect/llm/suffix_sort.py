@@ -1,4 +1,4 @@
-"""Sorting suffixes by their first bytes with hashed comparisons."""
+"""Sorting suffixes by their first bytes, and hashed comparisons of single ones."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes that are sorted as one number.
 _KEY = 8
 
 
@@ -43,76 +44,40 @@ class HashedText:
         return (length < self.reach) & (self.text[np.minimum(a + length, last)] < self.text[np.minimum(b + length, last)])
 
 
-def _merge_runs(t: HashedText, order: np.ndarray, group_begin: np.ndarray, group_end: np.ndarray, width: int) -> None:
-    """Merges, in place, neighbouring sorted runs of ``width`` inside every group of ``order``."""
-    at = np.flatnonzero(group_end - group_begin > width)
-    if not len(at):
-        return
-    begin, end = group_begin[at], group_end[at]
-    run = (at - begin) // width
-    left = run % 2 == 0
-    own_begin = begin + run * width
-    other_begin = np.where(left, np.minimum(own_begin + width, end), own_begin - width)
-    other_end = np.where(left, np.minimum(other_begin + width, end), own_begin)
-    own = order[at]
-    # How many of the other run come first: strictly smaller ones for the left run, else not larger ones.
-    low, high = other_begin.copy(), other_end.copy()
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        middle = (low[open_] + high[open_]) // 2
-        mine, theirs, is_left = own[open_], order[middle], left[open_]
-        before = np.empty(len(open_), bool)
-        before[is_left] = t.less(theirs[is_left], mine[is_left], _KEY)
-        before[~is_left] = ~t.less(mine[~is_left], theirs[~is_left], _KEY)
-        low[open_] = np.where(before, middle + 1, low[open_])
-        high[open_] = np.where(before, high[open_], middle)
-    place = np.where(left, own_begin, other_begin) + (at - own_begin) + (low - other_begin)
-    order[place] = own
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; behind the end there are zeros."""
+    padded = np.append(text, np.zeros(_KEY - 1, np.uint8))
+    words = np.zeros(len(text), np.uint64)
+    for k in range(_KEY):
+        words = (words << np.uint64(8)) | padded[k : k + len(text)]
+    return words
 
 
 def sort_suffixes(text: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at ``starts`` by their first ``reach`` bytes, and which equal the one before.
 
-    The first eight bytes are sorted as numbers. Groups that agree there are mergesorted,
-    comparing two suffixes by the hashes of their common extension. At the end neighbours
-    are compared byte by byte; should a hash have lied, the bytes themselves are sorted.
-    ``text`` has at least ``reach`` >= 8 bytes from every start on.
+    Eight bytes are sorted as numbers, then the next eight within the groups that agree so far, and so
+    on; what differs from all others takes part no longer. The last eight may lie over bytes
+    that were sorted before. ``text`` has at least ``reach`` >= 8 bytes from every start on.
     """
     if not len(starts):
         return starts, np.zeros(0, bool)
-    key = np.zeros(len(starts), np.uint64)
-    for k in range(_KEY):
-        key = (key << np.uint64(8)) | text[starts + k]
-    first = np.argsort(key, kind="stable")
-    order, key = starts[first], key[first]
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(new, len(order)))
-    begins, ends = np.repeat(new, sizes), np.repeat(new + sizes, sizes)
-    width, largest = 1, int(sizes.max())
-    if largest > 1:
-        t = HashedText(text, reach)
-        while width < largest:
-            _merge_runs(t, order, begins, ends, width)
-            width *= 2
-    equal, sorted_ = _neighbours(text, order, reach)
-    if not sorted_:
-        order = order[np.lexsort(np.lib.stride_tricks.sliding_window_view(text, reach)[order].T[::-1])]
-        equal, _ = _neighbours(text, order, reach)
+    words = _words(text)
+    key = words[starts]
+    order = np.argsort(key)
+    key, order = key[order], starts[order]
+    equal = np.append(False, key[1:] == key[:-1])
+    for at in [*range(_KEY, reach - _KEY, _KEY), reach - _KEY]:
+        tied = np.flatnonzero(equal | np.append(equal[1:], False))
+        if not len(tied):
+            break
+        group, own = np.cumsum(~equal[tied]), order[tied]
+        key = words[own + at]
+        by_key = np.argsort(key)
+        rank = np.cumsum(np.append(True, key[by_key][1:] != key[by_key][:-1]))
+        both = (group[by_key] << 32) | rank
+        by_group = np.argsort(both)
+        order[tied] = own[by_key[by_group]]
+        both = both[by_group]
+        equal[tied] = np.append(False, both[1:] == both[:-1])
     return order, equal
-
-
-def _neighbours(text: np.ndarray, order: np.ndarray, reach: int, chunk: int = 1 << 18) -> tuple[np.ndarray, bool]:
-    """Which suffixes equal the one before, byte by byte, and whether all are in order."""
-    equal, sorted_ = np.zeros(len(order), bool), True
-    views = np.lib.stride_tricks.sliding_window_view(text, reach)
-    for a in range(1, len(order), chunk):
-        here, before = views[order[a : a + chunk]], views[order[a - 1 : a - 1 + len(order[a : a + chunk])]]
-        differ = here != before
-        any_ = differ.any(1)
-        at = differ.argmax(1)
-        rows = np.arange(len(at))
-        equal[a : a + chunk] = ~any_
-        sorted_ &= bool((~any_ | (before[rows, at] < here[rows, at])).all())
-    return equal, sorted_
